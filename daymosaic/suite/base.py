@@ -211,5 +211,5 @@ def compose(sql: str) -> str:
     body = sql.strip()
     if body[:5].upper() == "WITH ":
         body = body[5:]
-        return "WITH " + ",\n".join(views + [""]) .rstrip() + "\n" + body if views else sql
+        return "WITH " + ",\n".join([*views, body]) if views else sql
     return ("WITH " + ",\n".join(views) + "\n" + body) if views else body
