@@ -8,12 +8,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(c: Column | str) -> Column:
+    """Take blanks, tabs and line ends off both sides."""
+    return F.trim(c, F.lit(" \t\r\n\f\v"))
+
+
 def norm_upper(c: Column | str) -> Column:
-    return F.upper(F.trim(c))
+    return F.upper(strip(c))
 
 
 def norm_lower(c: Column | str) -> Column:
-    return F.lower(F.trim(c))
+    return F.lower(strip(c))
 
 
 def composite_key(*parts: Column) -> Column:

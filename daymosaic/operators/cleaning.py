@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymosaic.functions.numeric import nan_to_null, numeric_or_null
+from daymosaic.functions.text import strip
 
 
 class MissingColumns(ValueError):
@@ -38,7 +39,7 @@ def drop_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def norm_keys(df: DataFrame, cols: Sequence[str], case: str = "upper") -> DataFrame:
     change = {"upper": F.upper, "lower": F.lower, "keep": lambda c: c}[case]
-    return df.withColumns({c: change(F.trim(F.col(c).cast("string"))) for c in cols})
+    return df.withColumns({c: change(strip(F.col(c).cast("string"))) for c in cols})
 
 
 def range_check(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -112,10 +113,10 @@ WIND_10M_TO_2M = 0.748
 
 def search(df: DataFrame, text: str, cols: Sequence[str], exact: bool = False) -> DataFrame:
     """Case-insensitive equality or substring over any of the columns."""
-    wanted = F.lower(F.trim(F.lit(text)))
+    wanted = F.lower(strip(F.lit(text)))
     hit = F.lit(False)
     for c in cols:
-        value = F.lower(F.trim(F.col(c)))
+        value = F.lower(strip(F.col(c)))
         hit = hit | ((value == wanted) if exact else value.contains(wanted))
     return df.filter(hit)
 

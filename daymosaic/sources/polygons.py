@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daymosaic.functions.text import strip
+
 # Property names under which boundary files keep their attributes.
 ENTITY_ALIASES = ("entity", "district", "DISTRICT", "District", "lgd_districtname", "dtname", "NAME_2")
 REGION_ALIASES = ("region", "state", "STATE_UT", "State", "lgd_statename", "stname", "NAME_1")
@@ -56,9 +58,9 @@ def read_polygons(spark: SparkSession, path: str,
         F.get(q, F.lit(0)).alias("x"), F.get(q, F.lit(1)).alias("y")))
     rings = F.flatten(F.transform(multi, lambda poly: F.transform(
         poly, lambda r, i: orient(ring(r), i == 0))))
-    return f.select(F.trim(_first_alias(F.col("p"), region_aliases)).alias("region"),
-                    F.trim(_first_alias(F.col("p"), entity_aliases)).alias("entity"),
-                    F.trim(_first_alias(F.col("p"), code_aliases)).alias("code"),
+    return f.select(strip(_first_alias(F.col("p"), region_aliases)).alias("region"),
+                    strip(_first_alias(F.col("p"), entity_aliases)).alias("entity"),
+                    strip(_first_alias(F.col("p"), code_aliases)).alias("code"),
                     "geometry_type", rings.alias("rings"))
 
 

@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = compose(sql)
+            ORACLE[name] = sql
         return fn
     return add
 
@@ -182,6 +182,11 @@ NEEDS = {"ev": ["ent"], "obs": ["ev"], "skel": ["ent", "cal"], "panel": ["skel",
          "scored": ["scored0"]}
 
 
+def oracle_sql() -> dict[str, str]:
+    """Every registered SQL with the shared views it needs in front."""
+    return {name: compose(sql) for name, sql in ORACLE.items()}
+
+
 def define(name: str, sql: str, *needs: str) -> None:
     """Add a shared SQL view to the prelude."""
     PRELUDE[name] = sql
