@@ -74,3 +74,8 @@ def _reverse(name: str) -> Column:
     closed by a mark above all of them so that a prefix counts as smaller."""
     codes = F.transform(F.split(F.col(name), ""), lambda ch: -F.ascii(ch))
     return F.concat(codes, F.array(F.lit(1)))
+
+
+def history_order() -> list[Column]:
+    """Oldest date first, most probable first within a date."""
+    return [F.col("prediction_date"), F.col("risk_probability").desc(), F.col("region"), F.col("entity")]

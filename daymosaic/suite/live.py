@@ -1 +1,168 @@
-"""Registered queries."""
+"""Live features, scoring, history and verification on derived predictions."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from daymosaic.functions.numeric import sigmoid
+from daymosaic.functions.text import risk_label
+from daymosaic.operators import history as H
+from daymosaic.plans import live as LV
+from daymosaic.suite.base import DAY_KEYS, KEYS, define, entities, observed, panel, query, side
+
+START, LIVE, END = dt.date(2000, 10, 1), dt.date(2000, 11, 11), dt.date(2000, 11, 20)
+
+
+def live_panel(spark, d):
+    o = observed(spark, d).select(*DAY_KEYS, "event_count")
+    hist = o.filter((F.col("date") >= F.lit(START)) & (F.col("date") < F.lit(dt.date(2000, 11, 14))))
+    live = o.filter(F.col("date").between(F.lit(LIVE), F.lit(END)))
+    return LV.live_panel(entities(spark, d), hist, live, LV.season_span(START, END))
+
+
+define("livep", """SELECT region, entity, date, event_count FROM panel
+  WHERE date BETWEEN DATE '2000-10-01' AND DATE '2000-11-20'""", "panel")
+define("livef", """SELECT *, lag(event_count, 1) OVER w AS event_lag_1d, lag(event_count, 3) OVER w AS event_lag_3d,
+    lag(event_count, 7) OVER w AS event_lag_7d, CASE WHEN count(*) OVER w3 = 3 THEN avg(event_count) OVER w3 END
+      AS event_mean_3d, CASE WHEN count(*) OVER w7 = 7 THEN avg(event_count) OVER w7 END AS event_mean_7d
+  FROM livep WINDOW w AS (PARTITION BY region, entity ORDER BY date),
+    w3 AS (PARTITION BY region, entity ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
+    w7 AS (PARTITION BY region, entity ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""", "livep")
+
+
+@query("live_panel", "SELECT * FROM livep")
+def live_panel_(spark, d):
+    return live_panel(spark, d)
+
+
+@query("live_features", "SELECT *, 2000 AS year FROM livef")
+def live_features(spark, d):
+    return LV.live_features(live_panel(spark, d))
+
+
+@query("live_readiness", """SELECT name, true AS passed, '0' AS detail FROM (VALUES ('complete_panel'),
+  ('unique_key'), ('entities_not_ready')) t(name) WHERE (SELECT count(*) FROM livep) > 0""")
+def live_readiness(spark, d):
+    return LV.readiness(live_panel(spark, d))
+
+
+def scorer(df):
+    z = (F.lit(-1.5) + F.col("event_lag_1d") * 0.5 + F.col("event_mean_7d") * 0.4 + F.col("side_count") * 0.25)
+    return df.withColumn("risk_probability", F.round(sigmoid(z), 6))
+
+
+SCORE = """WITH pr AS (SELECT region, entity, date - make_date(year(date), 10, 1) + 1 AS dos,
+    avg(event_count) AS prior FROM obs WHERE year(date) < 2000 GROUP BY ALL),
+  n AS (SELECT f.*, f.date + 1 AS prediction_date, s.side_count FROM livef f
+    JOIN side s ON s.region = f.region AND s.entity = f.entity AND s.date = f.date + 1
+    WHERE f.date = (SELECT max(date) FROM livef)),
+  g AS (SELECT n.* REPLACE (CASE WHEN n.event_mean_7d > 1.2 THEN NULL ELSE n.event_mean_7d END AS event_mean_7d),
+    prior FROM n LEFT JOIN pr ON pr.region = n.region AND pr.entity = n.entity
+      AND pr.dos = n.prediction_date - make_date(2000, 10, 1) + 1),
+  p AS (SELECT prediction_date, region, entity, round(1 / (1 + exp(-(-1.5 + event_lag_1d * 0.5
+      + coalesce(event_mean_7d, prior) * 0.4 + side_count * 0.25))), 6) AS risk_probability FROM g
+    WHERE coalesce(event_mean_7d, prior) IS NOT NULL)"""
+
+
+def live_scores(spark, d):
+    """Newest day scored; busy entities lose their mean and get the seasonal prior."""
+    f = LV.live_features(live_panel(spark, d))
+    f = f.withColumn("event_mean_7d", F.when(~(F.col("event_mean_7d") > 1.2), F.col("event_mean_7d")))
+    prior = observed(spark, d).filter(F.year("date") < 2000).select(
+        *DAY_KEYS, F.col("event_count").alias("event_lag_7d"), F.col("event_count").alias("event_mean_7d"))
+    rows = LV.scoring_rows(f, prior, side(spark, d).select(*DAY_KEYS, "side_count"))
+    return LV.score_live(rows, scorer, 0.5, ["event_lag_1d", "event_mean_7d", "side_count"])
+
+
+@query("score_live", SCORE + """ SELECT *, CASE WHEN risk_probability >= 0.5 THEN 'Elevated' ELSE 'Normal' END
+  AS risk_label FROM p""")
+def score_live(spark, d):
+    return live_scores(spark, d).select("prediction_date", *KEYS, "risk_probability", "risk_label")
+
+
+define("preds", """SELECT date AS prediction_date, region, entity,
+    CAST((event_count * 37 + CAST(measure_sum AS BIGINT) * 11 + day(date) * 13 + length(entity)) % 1000 AS DOUBLE)
+      / 1000::DOUBLE AS risk_probability FROM panel""", "panel")
+define("predicted", """SELECT *, CASE WHEN risk_probability >= 0.5 THEN 'Elevated' ELSE 'Normal' END AS risk_label
+  FROM preds""", "preds")
+
+
+def predictions(spark, d):
+    p = panel(spark, d)
+    mix = (F.col("event_count") * 37 + F.col("measure_sum").cast("bigint") * 11
+           + F.dayofmonth("date") * 13 + F.length("entity")) % 1000
+    p = p.select(F.col("date").alias("prediction_date"), *KEYS,
+                 (mix.cast("double") / F.lit(1000.0)).alias("risk_probability"))
+    return p.withColumn("risk_label", risk_label("risk_probability", 0.5))
+
+
+@query("update_history", SCORE + """ SELECT * FROM predicted WHERE NOT (prediction_date = DATE '2000-11-21' AND
+    (region, entity) IN (SELECT (region, entity) FROM p))
+  UNION ALL SELECT *, CASE WHEN risk_probability >= 0.5 THEN 'Elevated' ELSE 'Normal' END FROM p""")
+def update_history(spark, d):
+    new = live_scores(spark, d).select("prediction_date", *KEYS, "risk_probability", "risk_label")
+    return LV.update_history(predictions(spark, d), new)
+
+
+@query("not_predicted", SCORE + """ SELECT region, entity FROM ent WHERE entity NOT IN (SELECT entity FROM p
+  WHERE risk_probability >= 0.5)""")
+def not_predicted(spark, d):
+    return LV.not_predicted(entities(spark, d), live_scores(spark, d).filter("risk_probability >= 0.5"))
+
+
+VERIFY = """v AS (SELECT p.*, {count} AS actual_count FROM predicted p LEFT JOIN obs o ON o.region = p.region
+    AND o.entity = p.entity AND o.date = p.prediction_date),
+  w AS (SELECT *, CASE WHEN actual_count > 2 THEN 'Elevated' WHEN actual_count IS NOT NULL THEN 'Normal' END
+    AS actual_risk FROM v),
+  t AS (SELECT *, CASE WHEN actual_risk IS NULL THEN 'Pending' WHEN actual_risk = risk_label THEN 'Correct'
+      ELSE 'Incorrect' END AS verification_status,
+    CASE WHEN actual_risk IS NULL THEN 'Pending' WHEN risk_label = 'Elevated' AND actual_risk = 'Elevated'
+      THEN 'True Positive' WHEN risk_label = 'Normal' AND actual_risk = 'Normal' THEN 'True Negative'
+      WHEN risk_label = 'Elevated' THEN 'False Positive' ELSE 'False Negative' END AS error_type FROM w)"""
+SPARSE = VERIFY.format(count="o.event_count")
+
+
+def tracker(spark, d):
+    return H.verify_predictions(predictions(spark, d), observed(spark, d).select(*DAY_KEYS, "event_count"))
+
+
+@query("verify_predictions", f"WITH {SPARSE} SELECT * FROM t")
+def verify_predictions(spark, d):
+    """Days without events stay Pending: the counts table has no zero rows."""
+    return tracker(spark, d)
+
+
+@query("verify_with_coverage", f"""WITH {VERIFY.format(count="coalesce(o.event_count, CASE WHEN year(prediction_date) < 2001 THEN 0 END)")}
+  SELECT * FROM t""")
+def verify_with_coverage(spark, d):
+    """With a table of observed days, a missing row there means zero events."""
+    seen = panel(spark, d).filter(F.year("date") < 2001).select(*DAY_KEYS)
+    return H.verify_predictions(predictions(spark, d), observed(spark, d).select(*DAY_KEYS, "event_count"),
+                                observed=seen)
+
+
+@query("tracker_summary", f"""WITH {SPARSE}, c AS (SELECT count(*) AS total,
+    count(*) FILTER (WHERE verification_status = 'Pending') AS pending,
+    count(*) FILTER (WHERE verification_status <> 'Pending') AS verified,
+    count(*) FILTER (WHERE verification_status = 'Correct') AS correct,
+    count(*) FILTER (WHERE verification_status = 'Incorrect') AS incorrect FROM t)
+  SELECT *, round(verified / total::DOUBLE, 4) AS verification_coverage,
+    round(correct / nullif(verified, 0)::DOUBLE, 4) AS verified_accuracy FROM c""")
+def tracker_summary(spark, d):
+    return H.tracker_summary(tracker(spark, d))
+
+
+@query("dashboard_summary", """SELECT max(prediction_date) AS prediction_date, count(*) AS total_entities,
+  count(*) FILTER (WHERE risk_label = 'Normal') AS normal_count,
+  count(*) FILTER (WHERE risk_label = 'Elevated') AS elevated_count,
+  (SELECT entity FROM d ORDER BY risk_probability DESC, entity LIMIT 1) AS highest_risk_entity,
+  (SELECT region FROM d ORDER BY risk_probability DESC, entity LIMIT 1) AS highest_risk_region,
+  max(risk_probability) AS highest_risk_probability,
+  (SELECT risk_label FROM d ORDER BY risk_probability DESC, entity LIMIT 1) AS highest_risk_label
+  FROM (SELECT * FROM predicted WHERE prediction_date = (SELECT max(prediction_date) FROM predicted)) d""".replace(
+    "FROM d ORDER", "FROM predicted WHERE prediction_date = (SELECT max(prediction_date) FROM predicted) ORDER"))
+def dashboard_summary(spark, d):
+    from daymosaic.operators.cleaning import latest
+    return H.dashboard_summary(latest(predictions(spark, d), "prediction_date"))
