@@ -1,4 +1,8 @@
-"""User-level queries over the prediction history, partitioned by prediction_date."""
+"""User-level queries over the prediction history.
+
+A day holds few rows, so the history is laid out by year and sorted by date
+inside: one directory per date would be mostly tiny files.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from daymosaic.operators import quality as Q
 from daymosaic.operators.cleaning import latest, require_columns, search, to_records
 from daymosaic.operators.history import history_order, dashboard_summary, tracker_summary
 from daymosaic.operators.ranking import dates_desc
+from daymosaic.sources.sinks import write_table
 
 COLUMNS = ["prediction_date", "region", "entity", "risk_probability", "risk_label"]
 KEY = ["prediction_date", "region", "entity"]
@@ -33,8 +38,16 @@ def latest_predictions(predictions: DataFrame) -> DataFrame:
 
 
 def predictions_on(history: DataFrame, day: dt.date) -> DataFrame:
-    """One date; the filter is on the partition column, so only its files are read."""
-    return to_records(history.filter(F.col("prediction_date") == F.lit(day)))
+    """One date. The year prunes directories, the date skips row groups."""
+    hit = F.col("prediction_date") == F.lit(day)
+    if "year" in history.columns:
+        hit = hit & (F.col("year") == day.year)
+    return to_records(history.filter(hit))
+
+
+def write_history(predictions: DataFrame, path: str) -> str:
+    return write_table(predictions.withColumn("year", F.year("prediction_date")), path, ["year"],
+                       sort_by=["prediction_date"])
 
 
 def prediction_dates(history: DataFrame) -> DataFrame:

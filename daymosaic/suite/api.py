@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from daymosaic.plans import api
 from daymosaic.session import run_folder
-from daymosaic.sources.sinks import write_table
 from daymosaic.suite.base import KEYS, query
 from daymosaic.suite.live import SPARSE, predictions, tracker
 
@@ -23,9 +22,9 @@ def api_latest(spark, d):
 
 @query("api_by_date", f"SELECT {REC} FROM predicted WHERE predicted.prediction_date = DATE '1998-10-17'")
 def api_by_date(spark, d):
-    """From the partitioned history: only one date's directory is read."""
+    """From the history on disk: one year's directory is read."""
     path = run_folder(spark, "predictions")
-    write_table(predictions(spark, d), path, ["prediction_date"])
+    api.write_history(predictions(spark, d), path)
     return api.predictions_on(spark.read.parquet(path), dt.date(1998, 10, 17)).select(
         "prediction_date", *KEYS, "risk_probability", "risk_label")
 

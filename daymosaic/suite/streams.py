@@ -1 +1,148 @@
-"""Registered queries."""
+"""Streams over the events table, drained to tables in the shared folder."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from daymosaic.functions.text import risk_label
+from daymosaic.session import run_folder
+from daymosaic.streaming import ingest as ST
+from daymosaic.streaming import live as SL
+from daymosaic.suite.base import query, table
+
+
+def keyed(df):
+    return df.withColumns({"region": F.concat(F.lit("R"), ((F.col("user_id") % 45) % 2).cast("string")),
+                           "entity": F.concat(F.lit("E"), (F.col("user_id") % 45).cast("string"))})
+
+
+def stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return ST.event_stream(spark, d, schema, name_filter="events.parquet")
+
+
+KEYED = """(SELECT *, 'R' || (user_id % 45) % 2 AS region, 'E' || user_id % 45 AS entity,
+  CAST(ts AS DATE) AS date FROM events)"""
+
+
+@query("ingest_stream", "SELECT event_id, ts, user_id, value FROM events")
+def ingest_stream(spark, d):
+    """Every event delivered twice; the copies are dropped within the watermark."""
+    twice = stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    path, _ = ST.run_to_table(ST.ingest(twice, ["event_id"]).drop("copy"), "ingested")
+    return spark.read.parquet(path).select(
+        "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "value")
+
+
+@query("daily_counts_stream", f"""SELECT date, region, entity, count(*) AS event_count FROM {KEYED} k
+  GROUP BY ALL HAVING date + 1 <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def daily_counts_stream(spark, d):
+    """Append mode: the days whose end the watermark has passed."""
+    path, _ = ST.run_to_table(ST.daily_counts(keyed(stream(spark, d)), ["region", "entity"]), "daily")
+    return spark.read.parquet(path)
+
+
+CUTS = (dt.datetime(2024, 1, 25), dt.datetime(2024, 1, 20))
+
+
+def deliveries(spark, d):
+    """Three files in order of arrival: newest days, the days before, the oldest days.
+
+    A watermark takes effect on late rows one batch after it was reached, so
+    the third file is the one that comes too late.
+    """
+    path = run_folder(spark, "deliveries")
+    e = table(spark, d, "events")
+    new, old = F.lit(CUTS[0]), F.lit(CUTS[1])
+    e.filter(F.col("ts") >= new).coalesce(1).write.parquet(path + "/a")
+    e.filter((F.col("ts") >= old) & (F.col("ts") < new)).coalesce(1).write.parquet(path + "/b")
+    e.filter(F.col("ts") < old).coalesce(1).write.parquet(path + "/c")
+    return ST.event_stream(spark, path + "/*", e.schema, files_per_trigger=1)
+
+
+@query("late_data_stream", """SELECT date, user_id, count(*) AS event_count
+  FROM (SELECT *, CAST(ts AS DATE) AS date FROM events) WHERE ts >= TIMESTAMP '2024-01-20'
+    OR date + 1 > (SELECT max(ts) FROM events) - INTERVAL 2 DAY
+  GROUP BY ALL HAVING date + 1 <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
+def late_data_stream(spark, d):
+    """The third delivery is behind the watermark, so its closed days are refused."""
+    path, _ = ST.run_to_table(ST.daily_counts(deliveries(spark, d), ["user_id"]), "late")
+    return spark.read.parquet(path)
+
+
+def rolled(spark, d):
+    rolling = SL.RollingFeatures(run_folder(spark, "rolling"))
+    ST.run_batches(keyed(deliveries(spark, d)), "rolling", rolling)
+    return rolling
+
+
+@query("rolling_state_stream", f"""WITH c AS (SELECT region, entity, date, count(*) AS event_count FROM {KEYED} k GROUP BY ALL),
+  b AS (SELECT region, entity, min(date) AS a, max(date) AS z FROM c GROUP BY ALL),
+  s AS (SELECT region, entity, CAST(g AS DATE) AS date FROM b, generate_series(a, z, INTERVAL 1 DAY) t(g)),
+  p AS (SELECT s.*, coalesce(event_count, 0) AS event_count FROM s LEFT JOIN c ON c.region = s.region
+    AND c.entity = s.entity AND c.date = s.date)
+  SELECT *, lag(event_count, 1) OVER w AS event_lag_1d, lag(event_count, 3) OVER w AS event_lag_3d,
+    lag(event_count, 7) OVER w AS event_lag_7d,
+    CASE WHEN count(*) OVER w3 = 3 THEN avg(event_count) OVER w3 END AS event_mean_3d,
+    CASE WHEN count(*) OVER w7 = 7 THEN avg(event_count) OVER w7 END AS event_mean_7d FROM p
+  WINDOW w AS (PARTITION BY region, entity ORDER BY date),
+    w3 AS (PARTITION BY region, entity ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
+    w7 AS (PARTITION BY region, entity ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
+def rolling_state_stream(spark, d):
+    """Older events arrive in later batches and correct the lags of later days."""
+    return rolled(spark, d).features(spark)
+
+
+def score(df):
+    p = (F.col("event_count") % 10).cast("double") / F.lit(10.0)
+    return df.withColumn("risk_probability", p).withColumn("risk_label", risk_label("risk_probability", 0.5))
+
+
+def scored_history(spark, d):
+    """Features streamed from disk, scored, upserted."""
+    rolling = rolled(spark, d)
+    source = run_folder(spark, "feature-files")
+    rolling.features(spark).write.parquet(source)
+    f = ST.event_stream(spark, source, spark.read.parquet(source).schema)
+    path = run_folder(spark, "history")
+    ST.run_batches(f, "score", SL.ScoreStream(path, score))
+    return path
+
+
+DAILY = f"""c AS (SELECT region, entity, date, count(*) AS event_count FROM {KEYED} k GROUP BY ALL),
+  b AS (SELECT region, entity, min(date) AS a, max(date) AS z FROM c GROUP BY ALL),
+  s AS (SELECT region, entity, CAST(g AS DATE) AS date FROM b, generate_series(a, z, INTERVAL 1 DAY) t(g)),
+  h AS (SELECT s.date + 1 AS prediction_date, s.region, s.entity,
+    (coalesce(event_count, 0) % 10)::DOUBLE / 10::DOUBLE AS risk_probability,
+    CASE WHEN coalesce(event_count, 0) % 10 >= 5 THEN 'Elevated' ELSE 'Normal' END AS risk_label
+    FROM s LEFT JOIN c ON c.region = s.region AND c.entity = s.entity AND c.date = s.date)"""
+
+
+@query("score_stream", f"WITH {DAILY} SELECT * FROM h")
+def score_stream(spark, d):
+    return spark.read.parquet(scored_history(spark, d)).select(
+        F.col("prediction_date").cast("date").alias("prediction_date"), "region", "entity",
+        "risk_probability", "risk_label")
+
+
+@query("verify_stream", f"""WITH {DAILY}, v AS (SELECT h.*, c.event_count AS actual_count FROM h LEFT JOIN c
+    ON c.region = h.region AND c.entity = h.entity AND c.date = h.prediction_date)
+  SELECT *, CASE WHEN actual_count > 2 THEN 'Elevated' WHEN actual_count IS NOT NULL THEN 'Normal' END AS actual_risk,
+    CASE WHEN actual_count IS NULL THEN 'Pending' WHEN (actual_count > 2) = (risk_label = 'Elevated') THEN 'Correct'
+      ELSE 'Incorrect' END AS verification_status,
+    CASE WHEN actual_count IS NULL THEN 'Pending' WHEN actual_count > 2 AND risk_label = 'Elevated' THEN 'True Positive'
+      WHEN actual_count <= 2 AND risk_label = 'Normal' THEN 'True Negative' WHEN risk_label = 'Elevated'
+      THEN 'False Positive' ELSE 'False Negative' END AS error_type FROM v""")
+def verify_stream(spark, d):
+    """Counts arrive as a stream; predictions past the last day stay Pending."""
+    history = scored_history(spark, d)
+    source = run_folder(spark, "actual-files")
+    counts = keyed(table(spark, d, "events")).groupBy(F.to_date("ts").alias("date"), "region", "entity").agg(
+        F.count(F.lit(1)).alias("event_count"))
+    counts.repartition(2, "date").write.parquet(source)
+    actuals = ST.event_stream(spark, source, spark.read.parquet(source).schema, files_per_trigger=1)
+    verify = SL.VerifyStream(history, run_folder(spark, "tracker"))
+    ST.run_batches(actuals, "verify", verify)
+    return verify.tracker(spark)
