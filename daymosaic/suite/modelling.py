@@ -1 +1,355 @@
-"""Registered queries."""
+"""Splits, preparation, learners, experiments and bootstrap on derived features.
+
+Learner queries have no SQL counterpart; they return metric tables.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from daymosaic.functions.features import above
+from daymosaic.modelling import evaluate as EV
+from daymosaic.modelling import learners as LN
+from daymosaic.modelling import prepare as PR
+from daymosaic.operators import lags as L
+from daymosaic.operators import metrics as M
+from daymosaic.plans import features as FT
+from daymosaic.session import materialise, run_folder
+from daymosaic.suite.base import DAY_KEYS, KEYS, define, panel, query, scored, side, table
+
+NUMERIC = ["event_count", "measure_sum", "side_value", "side_count", "sin_year", "cos_year",
+           "event_lag_1d", "event_lag_2d", "event_lag_3d", "event_lag_7d", "event_mean_3d",
+           "event_sparse_mean_7d", "measure_lag_1d", "measure_mean_3d"]
+CATEGORICAL = ["region", "entity"]
+SPLITS = {"train": [1995, 1996, 1997, 1998], "val": 1999, "test": [2000, 2001]}
+TREES, DEPTH, ROUNDS = 20, 6, 10
+
+
+def ml_rows(spark, d):
+    """Calendar features; the label is a next-day sum above the overall mean."""
+    f = FT.features_calendar(panel(spark, d).select(*DAY_KEYS, "event_count", "measure_sum"),
+                             side(spark, d).select(*DAY_KEYS, "side_value", "side_count"))
+    return materialise(f, "ml-rows")
+
+
+def target(f, h):
+    mean = f.agg(F.avg("measure_sum")).scalar()
+    return (F.col(f"measure_sum_t_plus_{h}d") > mean).cast("int")
+
+
+def labelled(spark, d):
+    f = ml_rows(spark, d)
+    return f.withColumn("y_true", target(f, 1))
+
+
+def forest(train, y, weight=None):
+    return LN.fit(train, NUMERIC, CATEGORICAL, LN.forest(y, TREES, DEPTH, weight))
+
+
+def boosted(train, y, weight=None):
+    return LN.fit(train, NUMERIC, CATEGORICAL, LN.boosted(y, ROUNDS, 3, weight))
+
+
+def logistic(train, y):
+    return LN.fit(train, NUMERIC, CATEGORICAL, LN.logistic(y, train.count()), scale=True)
+
+
+def evaluated(spark, d, fit_one):
+    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    model = fit_one(parts["train"], "y_true")
+    path = run_folder(spark, "locks")
+    EV.lock_threshold(model.score(parts["val"]), path, "model", "score", "y_true")
+    t = EV.locked_threshold(spark, path, "model")
+    p = materialise(model.score(parts["test"]).select(
+        *DAY_KEYS, "y_true", "score", (F.col("score") >= t).cast("int").alias("y_pred")), "predictions")
+    return EV.full_metrics(p, ["region"], "score", "y_true", "y_pred")
+
+
+define("mlsplit", """SELECT p.region, p.entity, p.date, p.measure_sum, p.event_count, p.event_lag_1d,
+    p.event_mean_3d, f.measure_sum AS later FROM full_lags p
+  JOIN panel f ON f.region = p.region AND f.entity = p.entity AND f.date = p.date + 1
+  JOIN panel g ON g.region = p.region AND g.entity = p.entity AND g.date = p.date + 7""", "full_lags", "panel")
+define("mlrows", """SELECT *, (later > (SELECT avg(measure_sum) FROM mlsplit))::INTEGER AS y_true,
+  CASE WHEN year(date) < 1999 THEN 'train' WHEN year(date) = 1999 THEN 'val' ELSE 'test' END AS split
+  FROM mlsplit""", "mlsplit")
+
+
+@query("temporal_split", "SELECT split, count(*) AS rows, sum(y_true)::BIGINT AS positives FROM mlrows GROUP BY split")
+def temporal_split(spark, d):
+    return PR.split_counts(PR.temporal_split(labelled(spark, d), SPLITS), "y_true")
+
+
+@query("one_hot", """SELECT region, entity, count(*) AS n,
+  CASE WHEN entity IN ('NATION_0', 'NATION_20') THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS ones
+  FROM mlrows WHERE split = 'test' GROUP BY region, entity""")
+def one_hot(spark, d):
+    """Vocabulary from training rows; two entities are held out and encode to all zeros."""
+    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    train = parts["train"].filter(~F.col("entity").isin("NATION_0", "NATION_20"))
+    m = PR.encoder([], ["entity"]).fit(train.select("entity"))
+    v = m.transform(parts["test"]).withColumn("a", vector_to_array("features"))
+    return v.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate(
+        "a", F.lit(0.0), lambda x, y: x + y)).alias("ones"))
+
+
+@query("impute", """WITH t AS (SELECT p_brand, nullif(p_size, 1) AS p_size,
+    CASE WHEN p_retailprice < 950 THEN NULL ELSE p_retailprice END AS p_retailprice,
+    nullif(p_type, 'SMALL') AS p_type FROM part)
+  SELECT 'p_size' AS column, median(p_size)::DOUBLE AS median, NULL::VARCHAR AS mode FROM t
+  UNION ALL SELECT 'p_retailprice', median(p_retailprice), NULL FROM t
+  UNION ALL SELECT 'p_type', NULL, (SELECT p_type FROM t WHERE p_type IS NOT NULL GROUP BY p_type
+    ORDER BY count(*) DESC, p_type LIMIT 1)""")
+def impute(spark, d):
+    p = table(spark, d, "part").select(
+        F.nullif("p_size", F.lit(1)).alias("p_size"),
+        F.when(F.col("p_retailprice") >= 950, F.col("p_retailprice")).alias("p_retailprice"),
+        F.nullif("p_type", F.lit("SMALL")).alias("p_type"))
+    return PR.fill_values(p, ["p_size", "p_retailprice"], ["p_type"])
+
+
+@query("impute_apply", """WITH t AS (SELECT p_partkey, nullif(p_size, 1) AS p_size, nullif(p_type, 'SMALL') AS p_type FROM part)
+  SELECT p_partkey, coalesce(p_size::DOUBLE, (SELECT median(p_size) FROM t)) AS p_size,
+    coalesce(p_type, (SELECT p_type FROM t WHERE p_type IS NOT NULL GROUP BY p_type
+      ORDER BY count(*) DESC, p_type LIMIT 1)) AS p_type FROM t""")
+def impute_apply(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.nullif("p_size", F.lit(1)).cast("double").alias("p_size"),
+                                       F.nullif("p_type", F.lit("SMALL")).alias("p_type"))
+    return PR.fit_imputer(p, ["p_size"], ["p_type"]).transform(p)
+
+
+@query("scale_features", """WITH s AS (SELECT avg(event_count) AS m, stddev_samp(event_count) AS sd FROM mlrows
+    WHERE split = 'train')
+  SELECT region, entity, date, round((event_count - m) / sd, 6) AS scaled FROM mlrows, s WHERE split = 'test'""")
+def scale_features(spark, d):
+    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    m = PR.encoder(["event_count"], [], scale=True).fit(parts["train"])
+    return m.transform(parts["test"]).select(
+        *DAY_KEYS, F.round(vector_to_array("features")[0], 6).alias("scaled"))
+
+
+@query("scale_logistic")
+def scale_logistic(spark, d):
+    return evaluated(spark, d, logistic)
+
+
+@query("random_forest")
+def random_forest(spark, d):
+    return evaluated(spark, d, forest)
+
+
+@query("boosted_trees")
+def boosted_trees(spark, d):
+    return evaluated(spark, d, boosted)
+
+
+@query("class_weight_totals", """WITH n AS (SELECT y_true, count(*) AS n FROM mlrows WHERE split = 'train' GROUP BY y_true),
+  w AS (SELECT arm, y_true, n, CASE arm WHEN 'none' THEN 1.0 WHEN 'balanced'
+      THEN (SELECT sum(n)::DOUBLE / count(*) FROM n) / n.n
+      WHEN 'weight_2' THEN CASE y_true WHEN 1 THEN 2.0 ELSE 1.0 END END AS weight
+    FROM n, (VALUES ('none'), ('balanced'), ('weight_2')) t(arm))
+  SELECT arm, y_true, n, weight::DOUBLE AS weight FROM w""")
+def class_weight_totals(spark, d):
+    train = PR.temporal_split(labelled(spark, d), SPLITS)["train"]
+    out = None
+    for arm in ("none", "balanced", "weight_2"):
+        one = PR.class_weight(train, "y_true", PR.CLASS_WEIGHTS[arm]).groupBy("y_true").agg(
+            F.count(F.lit(1)).alias("n"), F.max("class_weight").alias("weight")).withColumn("arm", F.lit(arm))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("class_weight_arms")
+def class_weight_arms(spark, d):
+    """Each weighting through the same split, threshold rule and metrics."""
+    f = ml_rows(spark, d)
+    def arm(spec, train, y):
+        return forest(PR.class_weight(train, y, spec), y, "class_weight")
+    arms = {a: partial(arm, s) for a, s in PR.CLASS_WEIGHTS.items() if a in ("none", "balanced", "weight_2")}
+    p = EV.run_arms(f, arms, [1], lambda h: target(f, h), lambda x: PR.temporal_split(x, SPLITS), DAY_KEYS,
+                    run_folder(spark, "locks"))
+    return EV.full_metrics(p, ["arm", "horizon"], "score", "y_true", "y_pred")
+
+
+BUSY = F.col("event_count") > F.col("event_mean_3d")
+
+
+@query("regime_route")
+def regime_route(spark, d):
+    """One model where today is above its recent mean, another where it is not."""
+    return evaluated(spark, d, lambda train, y: LN.fit_routed(train, BUSY, lambda t: forest(t, y)))
+
+
+@query("specialist")
+def specialist(spark, d):
+    """Trained on calm rows only, with and without region balance."""
+    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    calm = {k: v.filter(~BUSY) for k, v in parts.items()}
+    out = None
+    for name, weighted in (("plain", False), ("region_balanced", True)):
+        train = M.balance_weights(calm["train"], "region") if weighted else calm["train"]
+        model = forest(train, "y_true", "weight" if weighted else None)
+        best = M.pick_threshold(model.score(calm["val"]).withColumn("arm", F.lit(name)), ["arm"], "score", "y_true")
+        p = model.score(calm["test"]).withColumn("arm", F.lit(name)).join(best.select("arm", "threshold"), "arm")
+        p = p.select("arm", "y_true", "score", (F.col("score") >= F.col("threshold")).cast("int").alias("y_pred"))
+        p = materialise(p, "specialist")
+        out = p if out is None else out.unionByName(p)
+    return EV.full_metrics(out, ["arm"], "score", "y_true", "y_pred")
+
+
+@query("persistence", """SELECT region, count(*) AS total, count(*) FILTER (WHERE later > 2 AND now > 2) AS tp,
+  count(*) FILTER (WHERE later <= 2 AND now <= 2) AS tn, count(*) FILTER (WHERE later <= 2 AND now > 2) AS fp,
+  count(*) FILTER (WHERE later > 2 AND now <= 2) AS fn FROM (SELECT p.region, p.event_count AS now,
+    f.event_count AS later FROM panel p JOIN panel f ON f.region = p.region AND f.entity = p.entity
+    AND f.date = p.date + 1) GROUP BY region""")
+def persistence(spark, d):
+    f = L.lead_days(panel(spark, d), KEYS, ["event_count"], (1,)).dropna(subset=["event_count_t_plus_1d"])
+    p = LN.persistence(f, "event_count").withColumn("y_true", above("event_count_t_plus_1d", 2))
+    return M.class_metrics(M.confusion(p, ["region"])).select("region", "total", *M.CELLS)
+
+
+@query("climatology", """WITH t AS (SELECT * FROM scored WHERE year(date) < 1999), g AS (SELECT avg(y_true) AS r FROM t),
+  e AS (SELECT entity, avg(y_true) AS r FROM t WHERE entity <> 'NATION_3' GROUP BY entity)
+  SELECT s.entity, count(*) AS n, (SELECT r FROM g) AS overall, coalesce(max(e.r), (SELECT r FROM g)) AS rate
+  FROM scored s LEFT JOIN e ON e.entity = s.entity WHERE year(date) >= 1999 GROUP BY s.entity""")
+def climatology(spark, d):
+    s = scored(spark, d)
+    train, test = s.filter(F.year("date") < 1999), s.filter(F.year("date") >= 1999)
+    known = train.withColumn("entity", F.when(F.col("entity") != "NATION_3", F.col("entity")))
+    out = LN.climatology(train, test, "y_true", out="overall")
+    out = LN.climatology(known, out, "y_true", ["entity"], out="rate")
+    return out.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.max("overall").alias("overall"),
+                                     F.max("rate").alias("rate"))
+
+
+@query("platt_calibration")
+def platt_calibration(spark, d):
+    """Fitted on 1995-1997, checked on 1998, applied to the rest: scores before and after."""
+    s = scored(spark, d)
+    y = F.year("date")
+    platt = LN.fit_platt(s.filter(y <= 1997), "score", "y_true")
+    c = platt.transform(s.filter(y > 1997), "score").withColumn("period", F.when(y == 1998, "check").otherwise("test"))
+    raw = M.prob_scores(c, ["period"], "score", "y_true").join(M.ece(c, ["period"], "score", "y_true"), "period")
+    cal = M.prob_scores(c, ["period"], "calibrated", "y_true").join(
+        M.ece(c, ["period"], "calibrated", "y_true"), "period")
+    return raw.withColumn("variant", F.lit("raw")).unionByName(cal.withColumn("variant", F.lit("calibrated")))
+
+
+@query("score_checks", """SELECT count(*) AS rows, 0::BIGINT AS missing, 0::BIGINT AS outside FROM mlrows
+  WHERE split = 'test'""")
+def score_checks(spark, d):
+    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    return EV.score_checks(logistic(parts["train"], "y_true").score(parts["test"]), "score")
+
+
+@query("threshold_lock", """WITH g AS (SELECT i, CASE WHEN i = 198 THEN 0.99::DOUBLE ELSE 0.01::DOUBLE
+      + i * 0.00494949494949495::DOUBLE END AS threshold FROM range(199) r(i)),
+  s AS (SELECT * FROM scored WHERE year(date) = 1999),
+  f AS (SELECT threshold, 2.0::DOUBLE * count(*) FILTER (WHERE score >= threshold AND y_true = 1)
+    / (count(*) FILTER (WHERE score >= threshold) + count(*) FILTER (WHERE y_true = 1)) AS f1
+    FROM g, s GROUP BY threshold)
+  SELECT 'valid' AS name, round(threshold, 9) AS threshold FROM f ORDER BY f1 DESC, threshold LIMIT 1""")
+def threshold_lock(spark, d):
+    path = run_folder(spark, "locks")
+    used = EV.lock_threshold(scored(spark, d).filter(F.year("date") == 1999), path, "valid", "score", "y_true")
+    t = EV.locked_threshold(spark, path, "valid", expected=used)
+    return spark.range(1).select(F.lit("valid").alias("name"), F.round(F.lit(t), 9).alias("threshold"))
+
+
+@query("feature_importance")
+def feature_importance(spark, d):
+    train = PR.temporal_split(labelled(spark, d), SPLITS)["train"]
+    return LN.feature_importance(forest(train, "y_true"), train)
+
+
+@query("arms_by_horizon")
+def arms_by_horizon(spark, d):
+    """Two feature sets over two horizons on one split."""
+    f = ml_rows(spark, d)
+    def arm(cols, train, y):
+        return LN.fit(train, cols, CATEGORICAL, LN.forest(y, TREES, DEPTH))
+    arms = {"base": partial(arm, NUMERIC[:6]), "with_history": partial(arm, NUMERIC)}
+    p = EV.run_arms(f, arms, [1, 7], lambda h: target(f, h), lambda x: PR.temporal_split(x, SPLITS), DAY_KEYS,
+                    run_folder(spark, "locks"))
+    return EV.full_metrics(p, ["arm", "horizon"], "score", "y_true", "y_pred")
+
+
+@query("reproduction_gate", """WITH m AS (SELECT horizon, avg(y_true) AS rate FROM scored GROUP BY horizon)
+  SELECT m.horizon, CASE WHEN horizon = 3 THEN 0.5::DOUBLE ELSE rate END AS expected, rate AS actual,
+    horizon <> 3 AS passed FROM m""")
+def reproduction_gate(spark, d):
+    m = scored(spark, d).groupBy("horizon").agg(F.avg("y_true").alias("rate"))
+    frozen = m.withColumn("rate", F.when(F.col("horizon") == 3, 0.5).otherwise(F.col("rate")))
+    return EV.reproduction_gate(m, frozen, ["horizon"], "rate", 1e-9)
+
+
+@query("swap_columns", """SELECT p.region, p.entity, p.date, p.event_count, s.side_value + 1 AS side_value
+  FROM panel p JOIN side s ON s.region = p.region AND s.entity = p.entity AND s.date = p.date""")
+def swap_columns(spark, d):
+    a = panel(spark, d).select(*DAY_KEYS, "event_count").join(side(spark, d).select(*DAY_KEYS, "side_value"), DAY_KEYS)
+    other = side(spark, d).select(*DAY_KEYS, (F.col("side_value") + 1).alias("side_value"))
+    return EV.swap_columns(a, other, DAY_KEYS, ["side_value"])
+
+
+@query("side_swap_experiment")
+def side_swap_experiment(spark, d):
+    """The same rows and model with the side series replaced."""
+    f = ml_rows(spark, d)
+    doubled = side(spark, d).select(*DAY_KEYS, (F.col("side_value") * 2).alias("side_value"),
+                                    (F.col("side_count") + 1).alias("side_count"))
+    g = materialise(EV.swap_columns(f, doubled, DAY_KEYS, ["side_value", "side_count"]), "swapped")
+    out = None
+    for name, data in (("original", f), ("swapped", g)):
+        parts = PR.temporal_split(data.withColumn("y_true", target(f, 1)), SPLITS)
+        model = logistic(parts["train"], "y_true")
+        p = model.score(parts["test"]).select(F.lit(name).alias("variant"), "y_true", "score",
+                                              (F.col("score") >= 0.5).cast("int").alias("y_pred"))
+        p = materialise(p, "swap")
+        out = p if out is None else out.unionByName(p)
+    return EV.full_metrics(out, ["variant"], "score", "y_true", "y_pred")
+
+
+REPS, SEED = 10, 20261017
+POISSON = []
+_t, _c = 0.36787944117144233, 0.0
+for _k in range(10):
+    _c += _t
+    POISSON.append(f"WHEN u < {_c!r}::DOUBLE THEN {_k}")
+    _t /= _k + 1
+BOOT_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def boot_ap(m: str, src: str) -> str:
+    return f"""SELECT region, replicate, sum(pos * cp::DOUBLE / (cp + cn)) / max(tp) AS ap_{m} FROM (
+      SELECT *, sum(pos) OVER (PARTITION BY region, replicate ORDER BY score DESC) AS cp,
+        sum(neg) OVER (PARTITION BY region, replicate ORDER BY score DESC) AS cn,
+        sum(pos) OVER (PARTITION BY region, replicate) AS tp FROM (
+          SELECT region, replicate, score_{m} AS score, sum(w * y_true) AS pos, sum(w * (1 - y_true)) AS neg
+          FROM {src} GROUP BY ALL)) WHERE pos > 0 GROUP BY region, replicate"""
+
+
+@query("paired_bootstrap", f"""WITH r AS (SELECT region, y_true, y_pred AS pred_a, y_pred_b AS pred_b, score AS score_a,
+    score_b, k AS replicate, ('0x' || substr(md5('{SEED}:' || k || ':' || {" || ':' || ".join(BOOT_KEY)}), 1, 8))::BIGINT
+      / 4294967296.0::DOUBLE AS u FROM scored, range(1, {REPS + 1}) t(k)),
+  w AS (SELECT *, CASE {' '.join(POISSON)} ELSE 10 END AS w FROM r
+    UNION ALL SELECT region, y_true, y_pred, y_pred_b, score, score_b, 0, 0, 1 FROM scored),
+  f AS (SELECT region, replicate,
+    2.0::DOUBLE * sum(w * y_true * pred_b) / (sum(w * y_true) + sum(w * pred_b))
+      - 2.0::DOUBLE * sum(w * y_true * pred_a) / (sum(w * y_true) + sum(w * pred_a)) AS f1 FROM w GROUP BY ALL),
+  a AS ({boot_ap('a', 'w')}), b AS ({boot_ap('b', 'w')}),
+  d AS (SELECT region, replicate, 'f1' AS metric, f1 AS delta FROM f UNION ALL
+    SELECT a.region, a.replicate, 'average_precision', ap_b - ap_a FROM a JOIN b ON a.region = b.region
+      AND a.replicate = b.replicate)
+  SELECT region, metric, round(max(delta) FILTER (WHERE replicate = 0), 9) AS difference,
+    round(quantile_cont(delta, 0.025) FILTER (WHERE replicate > 0), 9) AS ci_lower,
+    round(quantile_cont(delta, 0.975) FILTER (WHERE replicate > 0), 9) AS ci_upper,
+    count(*) FILTER (WHERE replicate > 0) AS valid_replicates FROM d GROUP BY region, metric""")
+def paired_bootstrap(spark, d):
+    """Ten replicates over all scored rows, per region."""
+    s = scored(spark, d).select("region", *BOOT_KEY, "y_true", F.col("y_pred").alias("pred_a"),
+                                F.col("y_pred_b").alias("pred_b"), F.col("score").alias("score_a"),
+                                F.col("score_b").alias("score_b"))
+    out = EV.paired_bootstrap(s, ["region"], BOOT_KEY, REPS, SEED)
+    return out.withColumns({c: F.round(c, 9) for c in ("difference", "ci_lower", "ci_upper")})
