@@ -115,15 +115,19 @@ def features_neighbour(f: DataFrame, panel: DataFrame, edges: DataFrame,
     return f.join(context, ["entity", "date"], "left")
 
 
+def interaction_pairs(source: Mapping[str, str] = STEMS) -> list[tuple[str, str, str, str]]:
+    """(product name, ratio name, own column, neighbour column), eight in all."""
+    return [(f"{stem}_neighbor_interaction_{when}", f"neighbor_{stem}_relative_{when}",
+             col if when == "current" else f"{stem}_{when}", f"neighbor_{stem}_{when}")
+            for col, stem in source.items() for when in ("current", "lag_1d", "lag_3d", "lag_7d")]
+
+
 def interaction_columns(source: Mapping[str, str] = STEMS) -> dict[str, Column]:
     """Own x neighbour products and neighbour / (own + 1) ratios, eight each."""
     out: dict[str, Column] = {}
-    for col, stem in source.items():
-        for when in ("current", "lag_1d", "lag_3d", "lag_7d"):
-            own = col if when == "current" else f"{stem}_{when}"
-            near = f"neighbor_{stem}_{when}"
-            out[f"{stem}_neighbor_interaction_{when}"] = X.interaction(own, near)
-            out[f"neighbor_{stem}_relative_{when}"] = X.relative(near, own)
+    for product, ratio, own, near in interaction_pairs(source):
+        out[product] = X.interaction(own, near)
+        out[ratio] = X.relative(near, own)
     return out
 
 

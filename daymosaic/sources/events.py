@@ -41,7 +41,7 @@ def read_many(spark: SparkSession, paths: Sequence[str], schema: str, fmt: str =
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """(source, body): one row per downloaded file."""
-    return (spark.read.option("wholetext", True).text(path)
+    return (spark.read.text(path, wholetext=True)
             .select(F.input_file_name().alias("source"), F.col("value").alias("body")))
 
 

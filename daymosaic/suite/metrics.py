@@ -240,29 +240,37 @@ def threshold_sweep(spark, d):
     return M.threshold_sweep(scored(spark, d), ["horizon"], "score", "y_true")
 
 
-def pick_sql(grid: str) -> str:
-    return f"""WITH {SWEEP.format(grid=grid)}, f AS (SELECT horizon, threshold,
-      coalesce((2 * tp)::DOUBLE / nullif(tp + fp + total_pos, 0), 0) AS f1 FROM c)
+def pick_sql(candidates: str) -> str:
+    """Candidates are (horizon, threshold); scores are those of the same horizon."""
+    return f"""WITH s AS (SELECT horizon, score, count(*) FILTER (WHERE y_true = 1) AS pos,
+      count(*) FILTER (WHERE y_true = 0) AS neg FROM scored GROUP BY ALL),
+    t AS ({candidates}),
+    c AS (SELECT t.horizon, t.threshold, sum(pos)::BIGINT AS total_pos,
+      coalesce(sum(pos) FILTER (WHERE s.score >= t.threshold), 0)::BIGINT AS tp,
+      coalesce(sum(neg) FILTER (WHERE s.score >= t.threshold), 0)::BIGINT AS fp
+      FROM t JOIN s ON s.horizon = t.horizon GROUP BY ALL),
+    f AS (SELECT horizon, threshold, coalesce((2 * tp)::DOUBLE / nullif(tp + fp + total_pos, 0), 0) AS f1 FROM c)
     SELECT horizon, threshold, f1 FROM (SELECT *, row_number() OVER (PARTITION BY horizon
       ORDER BY f1 DESC, threshold) AS rn FROM f) WHERE rn = 1"""
 
 
-SCORES = "SELECT DISTINCT score AS threshold FROM scored"
+EACH = "SELECT DISTINCT s.horizon, g.threshold FROM s CROSS JOIN {g} g"
+SCORES = "SELECT DISTINCT horizon, score AS threshold FROM s"
 
 
-@query("pick_threshold_grid", pick_sql(grid_sql(0.01, 0.99, 199)))
+@query("pick_threshold_grid", pick_sql(EACH.format(g=grid_sql(0.01, 0.99, 199))))
 def pick_threshold_grid(spark, d):
     return M.pick_threshold(scored(spark, d), ["horizon"], "score", "y_true", "grid")
 
 
 @query("pick_threshold_grid_and_scores", pick_sql(
-    f"(SELECT threshold FROM {grid_sql(0.01, 0.99, 197)} UNION {SCORES} UNION SELECT 0.5::DOUBLE)"))
+    f"{EACH.format(g=grid_sql(0.01, 0.99, 197))} UNION {SCORES} UNION SELECT DISTINCT horizon, 0.5::DOUBLE FROM s"))
 def pick_threshold_grid_and_scores(spark, d):
     return M.pick_threshold(scored(spark, d), ["horizon"], "score", "y_true", "grid_and_scores")
 
 
 @query("pick_threshold_scores", pick_sql(
-    f"({SCORES} UNION SELECT 0.0::DOUBLE UNION SELECT 1.0::DOUBLE)"))
+    f"{SCORES} UNION SELECT DISTINCT horizon, 0.0::DOUBLE FROM s UNION SELECT DISTINCT horizon, 1.0::DOUBLE FROM s"))
 def pick_threshold_scores(spark, d):
     return M.pick_threshold(scored(spark, d), ["horizon"], "score", "y_true", "scores")
 

@@ -173,20 +173,22 @@ def class_weight_arms(spark, d):
     return EV.full_metrics(p, ["arm", "horizon"], "score", "y_true", "y_pred")
 
 
-BUSY = F.col("event_count") > F.col("event_mean_3d")
+def busy():
+    """Today is above its recent mean."""
+    return F.col("event_count") > F.col("event_mean_3d")
 
 
 @query("regime_route")
 def regime_route(spark, d):
     """One model where today is above its recent mean, another where it is not."""
-    return evaluated(spark, d, lambda train, y: LN.fit_routed(train, BUSY, lambda t: forest(t, y)))
+    return evaluated(spark, d, lambda train, y: LN.fit_routed(train, busy(), lambda t: forest(t, y)))
 
 
 @query("specialist")
 def specialist(spark, d):
     """Trained on calm rows only, with and without region balance."""
     parts = PR.temporal_split(labelled(spark, d), SPLITS)
-    calm = {k: v.filter(~BUSY) for k, v in parts.items()}
+    calm = {k: v.filter(~busy()) for k, v in parts.items()}
     out = None
     for name, weighted in (("plain", False), ("region_balanced", True)):
         train = M.balance_weights(calm["train"], "region") if weighted else calm["train"]

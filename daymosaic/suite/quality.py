@@ -147,7 +147,7 @@ def tables_equal_except(spark, d):
     return Q.tables_equal_except(a, b, DAY_KEYS, ["measure_sum"])
 
 
-@query("reconstruct", zeros(*FT.interaction_columns()))
+@query("reconstruct", zeros(*[n for p in FT.interaction_pairs() for n in p[:2]]))
 def reconstruct(spark, d):
     f = FT.features_neighbour(full_lags(spark, d), panel(spark, d), edges(spark, d))
     return Q.reconstruct(FT.features_interaction(f), FT.interaction_columns())
