@@ -169,7 +169,12 @@ def score_frame(df: DataFrame, keys: Sequence[str], score: str, y: str,
     g = df.groupBy(*keys, F.col(score).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, w).otherwise(F.lit(0))).alias("pos"),
         F.sum(F.when(F.col(y) == 0, w).otherwise(F.lit(0))).alias("neg"))
-    return running_totals(g, keys, F.col("score").desc(),
+    return with_running_counts(g, keys)
+
+
+def with_running_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The frame above from (keys, score, pos, neg) rows, one per distinct score."""
+    return running_totals(counts, keys, F.col("score").desc(),
                           logit_position(F.col("score"), descending=True), ["pos", "neg"])
 
 
@@ -179,15 +184,20 @@ def rank_metrics(df: DataFrame, keys: Sequence[str], score: str, y: str,
 
     AUC is NULL when a group has one class only; AP is NULL without positives.
     """
-    f = score_frame(df, keys, score, y, weight)
-    area = F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("cum_pos")) / 2
-    gain = F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    return f.groupBy(*keys).agg(
-        F.sum(area).alias("_area"),
-        F.sum(F.when(F.col("pos") > 0, gain).otherwise(F.lit(0.0))).alias("_gain"),
+    return fold_ranks(score_frame(df, keys, score, y, weight), keys)
+
+
+def fold_ranks(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """AUC and AP of a score frame. Products are taken as doubles: with 1e10 rows
+    per class they no longer fit a 64-bit integer."""
+    pos, neg, cum_pos, cum_neg = (F.col(c).cast("double") for c in ("pos", "neg", "cum_pos", "cum_neg"))
+    area = neg * (cum_pos - pos + cum_pos) / 2
+    gain = F.when(pos > 0, pos * cum_pos / (cum_pos + cum_neg)).otherwise(F.lit(0.0))
+    return frame.groupBy(*keys).agg(
+        F.sum(area).alias("_area"), F.sum(gain).alias("_gain"),
         F.max("total_pos").alias("positives"), F.max("total_neg").alias("negatives"),
     ).withColumns({
-        "roc_auc": ratio_or_null(F.col("_area"), F.col("positives") * F.col("negatives")),
+        "roc_auc": ratio_or_null(F.col("_area"), F.col("positives").cast("double") * F.col("negatives")),
         "average_precision": ratio_or_null(F.col("_gain"), F.col("positives")),
     }).drop("_area", "_gain")
 

@@ -1,12 +1,12 @@
 """Running totals over a sorted column without sorting a group in one task.
 
-A plain window sum puts a whole group in one task. Here the sorted axis is
-mapped to [0, 1) by a monotone expression and cut twice: 4,096 coarse slots,
-each cut again into 4,096. Slot totals are summed first (partial aggregation
-does most of that before any shuffle), prefix sums run over at most 4,096
-slots at a time, and only rows inside the same fine slot are sorted together.
-The slots depend on the value alone, so a recomputed task lands in the same
-slot. A group sorted downwards is passed with a falling position expression.
+A plain window sum puts a whole group in one task. Here a monotone expression
+maps the sorted axis to [0, 1), which is cut into 262,144 slots. Slot totals
+are summed first (partial aggregation does most of that before any shuffle),
+prefix sums run over the slots, a bounded number of rows per group, and only
+rows inside the same slot are sorted together. A slot depends on the value
+alone, so a recomputed task lands in the same slot. A group sorted downwards
+is passed with a falling position expression.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLOTS = 4096
+SLOTS = 262_144
 
 
 def logit_position(p: Column, descending: bool = False) -> Column:
@@ -50,30 +50,20 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Column, position:
     ``df`` holds one row per (keys, sorted value). ``position`` must rise with
     ``order`` and lie in [0, 1].
     """
-    n = F.lit(float(SLOTS * SLOTS))
-    fine = F.least(F.floor(position * n).cast("bigint"), F.lit(SLOTS * SLOTS - 1))
-    rows = df.withColumn("_fine", fine)
+    slot = F.least(F.floor(position * F.lit(float(SLOTS))).cast("bigint"), F.lit(SLOTS - 1))
+    rows = df.withColumn("_slot", slot)
     by = list(keys)
-    slots = rows.groupBy(*by, "_fine").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
-    slots = slots.withColumn("_coarse", F.floor(F.col("_fine") / SLOTS))
-    coarse = slots.groupBy(*by, "_coarse").agg(*[F.sum(f"_s_{c}").alias(f"_t_{c}") for c in sums])
+    slots = rows.groupBy(*by, "_slot").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(
-        *by, "_coarse",
-        *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums],
-        *[F.sum(f"_t_{c}").over(group).alias(f"total_{c}") for c in sums])
-    inside = (Window.partitionBy(*by, "_coarse").orderBy("_fine")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    slots = slots.join(coarse, [*by, "_coarse"]).select(
-        *by, "_fine", *[f"total_{c}" for c in sums],
-        *[(F.col(f"_b_{c}") + F.coalesce(F.sum(f"_s_{c}").over(inside), F.lit(0)))
-          .alias(f"_b_{c}") for c in sums])
-    last = (Window.partitionBy(*by, "_fine").orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.join(slots, [*by, "_fine"]).withColumns(
-        {f"cum_{c}": F.col(f"_b_{c}") + F.sum(c).over(last) for c in sums}
-    ).drop("_fine", *[f"_b_{c}" for c in sums])
+    before = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select(
+        *by, "_slot", *[F.sum(f"_s_{c}").over(group).alias(f"total_{c}") for c in sums],
+        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    inside = (Window.partitionBy(*by, "_slot").orderBy(order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(slots, [*by, "_slot"]).withColumns(
+        {f"cum_{c}": F.col(f"_b_{c}") + F.sum(c).over(inside) for c in sums}
+    ).drop("_slot", *[f"_b_{c}" for c in sums])
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str,
