@@ -88,9 +88,9 @@ def rolling_mean_prev(df: DataFrame, keys: Sequence[str], src: str,
     return df.withColumns({out: one(n) for out, n in windows.items()})
 
 
-def is_ordered(df: DataFrame, keys: Sequence[str], sequence_col: str,
+def is_ordered(df: DataFrame, keys: Sequence[str], sequence: Sequence[str],
                date_col: str = "date") -> DataFrame:
-    """Rows whose date is earlier than the previous row by sequence number."""
-    w = Window.partitionBy(*keys).orderBy(sequence_col)
+    """Rows whose date is earlier than the previous row's in the given order."""
+    w = Window.partitionBy(*keys).orderBy(*sequence)
     return (df.withColumn("previous_date", F.lag(date_col).over(w))
             .filter(F.col("previous_date") > F.col(date_col)))

@@ -17,11 +17,15 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def group_share(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add share of the group total and distance below the group maximum."""
-    w = Window.partitionBy(*keys)
-    return df.withColumns({
-        "share": ratio_or_null(F.col(value), F.sum(value).over(w)),
-        "below_max": F.max(value).over(w) - F.col(value)})
+    """Add share of the group total and distance below the group maximum.
+
+    Group totals are a partial aggregate joined back: a window would gather a
+    whole group in one task.
+    """
+    totals = df.groupBy(*keys).agg(F.sum(value).alias("_sum"), F.max(value).alias("_max"))
+    return df.join(totals, list(keys)).withColumns({
+        "share": ratio_or_null(F.col(value), F.col("_sum")),
+        "below_max": F.col("_max") - F.col(value)}).drop("_sum", "_max")
 
 
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column],

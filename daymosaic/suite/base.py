@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from daymosaic.functions import text
 from daymosaic.functions.calendar import in_season, season_dates
 from daymosaic.operators import panel as P
+from daymosaic.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -68,7 +69,8 @@ def events(spark, d) -> DataFrame:
 
 
 def season_events(spark, d) -> DataFrame:
-    return events(spark, d).filter(in_season(F.col("l_shipdate").cast("date")))
+    """Season rows only; the date ranges reach the Parquet scan."""
+    return events(spark, d).filter(in_season(F.col("l_shipdate").cast("date"), YEARS))
 
 
 def observed(spark, d) -> DataFrame:
@@ -84,10 +86,17 @@ def panel(spark, d) -> DataFrame:
                        P.COUNT_METRICS + P.SUM_METRICS + P.MEAN_METRICS)
 
 
+def shared_panel(spark, d, *metrics: str) -> DataFrame:
+    """The panel written once to the shared folder, for jobs that read it several
+    times: the events behind it are then scanned once."""
+    p = panel(spark, d)
+    return materialise(p.select(*DAY_KEYS, *metrics) if metrics else p, "panel")
+
+
 def side(spark, d) -> DataFrame:
     """Daily order series per entity on the panel calendar."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    daily = (o.filter(in_season(F.col("o_orderdate").cast("date")))
+    daily = (o.filter(in_season(F.col("o_orderdate").cast("date"), YEARS))
              .join(c, o.o_custkey == c.c_custkey)
              .join(entities(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
              .groupBy("region", "entity", F.col("o_orderdate").cast("date").alias("date"))

@@ -13,7 +13,7 @@ from daymosaic.operators import panel as P
 from daymosaic.operators.neighbours import neighbour_context, neighbour_mean
 from daymosaic.plans import features as FT
 from daymosaic.suite.base import (DAY_KEYS, KEYS, define, entities, events, observed, panel,
-                                  query, scored, side, table)
+                                  query, scored, shared_panel, side, table)
 
 PK = "{a}.region = p.region AND {a}.entity = p.entity"
 
@@ -43,8 +43,9 @@ define("full_lags", f"""SELECT *, {MEANS} FROM lagged WHERE event_lag_14d IS NOT
   AND event_lag_2d IS NOT NULL AND event_lag_1d IS NOT NULL""", "lagged")
 
 
-def full_lags(spark, d):
-    f = L.lag_days(panel(spark, d).select(*DAY_KEYS, "event_count", "measure_sum"), KEYS, FT.STEMS)
+def full_lags(spark, d, p=None):
+    p = panel(spark, d) if p is None else p
+    f = L.lag_days(p.select(*DAY_KEYS, "event_count", "measure_sum"), KEYS, FT.STEMS)
     f = f.dropna(subset=[f"{s}_lag_{k}d" for s in FT.STEMS.values() for k in L.DEFAULT_LAGS])
     return FT.with_sparse_means(f, list(FT.STEMS.values()), skip_null=True)
 
@@ -163,7 +164,8 @@ def neighbour_context_(spark, d):
     f'LEFT JOIN panel b{k} ON b{k}.entity = n.entity AND b{k}.date = n.date - {k}'
     for k in (1, 3, 7))}""")
 def neighbour_context_own_history(spark, d):
-    return neighbour_context(panel(spark, d), edges(spark, d), FT.STEMS, own_history=True)
+    return neighbour_context(shared_panel(spark, d, "event_count", "measure_sum"), edges(spark, d), FT.STEMS,
+                             own_history=True)
 
 
 def interaction_sql() -> str:
@@ -181,7 +183,8 @@ def interaction_sql() -> str:
   FROM lagged l LEFT JOIN near_lags n ON l.entity = n.entity AND l.date = n.date
   WHERE l.event_lag_14d IS NOT NULL""")
 def features_interaction(spark, d):
-    f = FT.features_neighbour(full_lags(spark, d), panel(spark, d), edges(spark, d))
+    p = shared_panel(spark, d, "event_count", "measure_sum")
+    f = FT.features_neighbour(full_lags(spark, d, p), p, edges(spark, d))
     return FT.features_interaction(f).select(*DAY_KEYS, *FT.interaction_columns())
 
 
@@ -190,7 +193,8 @@ def features_interaction(spark, d):
   LEFT JOIN near_lags n ON l.entity = n.entity AND l.date = n.date
   WHERE l.event_lag_14d IS NOT NULL""")
 def features_neighbour(spark, d):
-    f = FT.features_neighbour(full_lags(spark, d), panel(spark, d), edges(spark, d))
+    p = shared_panel(spark, d, "event_count", "measure_sum")
+    f = FT.features_neighbour(full_lags(spark, d, p), p, edges(spark, d))
     return f.select(*DAY_KEYS, "neighbor_event_current", "neighbor_event_lag_1d",
                     "neighbor_event_lag_7d", "neighbor_measure_lag_3d")
 

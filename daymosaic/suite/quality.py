@@ -9,7 +9,7 @@ from daymosaic.operators import lags as L
 from daymosaic.operators import metrics as M
 from daymosaic.operators import quality as Q
 from daymosaic.plans import features as FT
-from daymosaic.suite.base import DAY_KEYS, KEYS, define, entities, events, observed, panel, query, scored, side
+from daymosaic.suite.base import DAY_KEYS, KEYS, define, entities, events, observed, panel, query, shared_panel, side
 from daymosaic.suite.features import edges, full_lags
 
 EV = {"event_count": "event"}
@@ -50,7 +50,7 @@ LEAD_NAMES = [f"event_count_t_plus_{h}d" for h in L.DEFAULT_HORIZONS]
 
 @query("lag_aligned", zeros(*LAG_NAMES))
 def lag_aligned(spark, d):
-    p = panel(spark, d).select(*DAY_KEYS, "event_count")
+    p = shared_panel(spark, d, "event_count")
     return Q.lag_aligned(L.lag_days(p, KEYS, EV), p, KEYS, EV, L.DEFAULT_LAGS)
 
 
@@ -63,13 +63,13 @@ def lag_aligned(spark, d):
     WINDOW w AS (PARTITION BY p.region, p.entity, t.k ORDER BY p.date)) GROUP BY k)""")
 def lag_rows_misaligned(spark, d):
     """The audit finds the rows where a positional lag crosses a season gap."""
-    p = panel(spark, d).select(*DAY_KEYS, "event_count")
+    p = shared_panel(spark, d, "event_count")
     return Q.lag_aligned(L.lag_rows(p, KEYS, EV), p, KEYS, EV, (1, 3, 7))
 
 
 @query("target_aligned", zeros(*LEAD_NAMES, "target"))
 def target_aligned(spark, d):
-    p = panel(spark, d).select(*DAY_KEYS, "event_count")
+    p = shared_panel(spark, d, "event_count")
     f = L.lead_days(p, KEYS, ["event_count"]).withColumn("target", above("event_count_t_plus_1d", 2))
     return Q.target_aligned(f, p, KEYS, ["event_count"], L.DEFAULT_HORIZONS, "target")
 
@@ -104,7 +104,8 @@ def season_boundary_rows(spark, d):
 
 @query("key_consistency", zeros("entities_in_many_regions", "keys_missing_in_source"))
 def key_consistency(spark, d):
-    return Q.key_consistency(full_lags(spark, d), panel(spark, d), DAY_KEYS)
+    p = shared_panel(spark, d, "event_count", "measure_sum")
+    return Q.key_consistency(full_lags(spark, d, p), p, DAY_KEYS)
 
 
 @query("coverage_check", """WITH g AS (SELECT region, entity, year(date) AS y, count(*) AS n,
@@ -118,7 +119,7 @@ def coverage_check(spark, d):
 
 @query("coverage_check_panel", zeros("missing_days", "years_with_unequal_rows"))
 def coverage_check_panel(spark, d):
-    return Q.coverage(panel(spark, d), KEYS)
+    return Q.coverage(shared_panel(spark, d, "event_count"), KEYS)
 
 
 @query("distribution_check", " UNION ALL ".join(f"""SELECT 'event_count_t_plus_{h}d_not_negative' AS name,
@@ -142,14 +143,15 @@ def metrics_finite(spark, d):
        + """ UNION ALL SELECT c AS name, true AS passed, '0/0' AS detail
   FROM (VALUES ('event_count'), ('high_count')) t(c) WHERE (SELECT count(*) FROM panel) > 0""")
 def tables_equal_except(spark, d):
-    a = panel(spark, d).select(*DAY_KEYS, "event_count", "high_count", "measure_sum")
+    a = shared_panel(spark, d, "event_count", "high_count", "measure_sum")
     b = a.withColumn("measure_sum", F.col("measure_sum") + 1)
     return Q.tables_equal_except(a, b, DAY_KEYS, ["measure_sum"])
 
 
 @query("reconstruct", zeros(*[n for p in FT.interaction_pairs() for n in p[:2]]))
 def reconstruct(spark, d):
-    f = FT.features_neighbour(full_lags(spark, d), panel(spark, d), edges(spark, d))
+    p = shared_panel(spark, d, "event_count", "measure_sum")
+    f = FT.features_neighbour(full_lags(spark, d, p), p, edges(spark, d))
     return Q.reconstruct(FT.features_interaction(f), FT.interaction_columns())
 
 
@@ -237,13 +239,13 @@ def null_only_when(spark, d):
 
 @query("complete_panel", zeros("complete_panel", "unique_key"))
 def complete_panel(spark, d):
-    return Q.complete_panel(panel(spark, d), KEYS)
+    return Q.complete_panel(shared_panel(spark, d, "event_count"), KEYS)
 
 
 @query("implementations_agree", row("keys_left_only", "true", "0") + " UNION ALL "
        + row("keys_right_only", "true", "0") + " UNION ALL " + row("values_equal", "true", "0"))
 def implementations_agree(spark, d):
-    p = panel(spark, d).select(*DAY_KEYS, "event_count")
+    p = shared_panel(spark, d, "event_count")
     a = L.lag_days(p, KEYS, EV, (3,))
     b = L.lag_days_by_join(p, KEYS, EV, (3,))
     return Q.implementations_agree(a, b, DAY_KEYS, "event_lag_3d")
@@ -251,6 +253,6 @@ def implementations_agree(spark, d):
 
 @query("target_same", row("same_rows", "true", "0") + " UNION ALL " + row("same_targets", "true", "0"))
 def target_same(spark, d):
-    f = L.lead_days(panel(spark, d), KEYS, ["event_count"], (1,))
+    f = L.lead_days(shared_panel(spark, d, "event_count"), KEYS, ["event_count"], (1,))
     arm = f.join(side(spark, d), DAY_KEYS)
     return Q.target_same(f, arm, DAY_KEYS, "event_count_t_plus_1d")

@@ -82,13 +82,13 @@ def rolling_mean_prev(spark, d):
 
 
 @query("is_ordered", """SELECT region, entity, seq, date, previous_date FROM (
-  SELECT *, lag(date) OVER (PARTITION BY region, entity ORDER BY seq) AS previous_date FROM (
-    SELECT region, entity, l_orderkey AS seq, min(date) AS date FROM ev GROUP BY ALL))
+  SELECT *, lag(date) OVER (PARTITION BY region, entity ORDER BY seq, date) AS previous_date FROM (
+    SELECT region, entity, date, max(l_orderkey) AS seq FROM ev GROUP BY ALL))
   WHERE previous_date > date""")
 def is_ordered(spark, d):
-    seq = events(spark, d).groupBy("region", "entity", F.col("l_orderkey").alias("seq")).agg(
-        F.min("date").alias("date"))
-    return L.is_ordered(seq, KEYS, "seq").select(*KEYS, "seq", "date", "previous_date")
+    """Entity days in the order of their newest key; one row per day, so a group stays small."""
+    seq = events(spark, d).groupBy("region", "entity", "date").agg(F.max("l_orderkey").alias("seq"))
+    return L.is_ordered(seq, KEYS, ["seq", "date"]).select(*KEYS, "seq", "date", "previous_date")
 
 
 @query("missing_dates", """SELECT b.region, b.entity, cast(g AS DATE) AS date FROM (
