@@ -42,8 +42,13 @@ def live_features(spark, d):
     return LV.live_features(live_panel(spark, d))
 
 
-@query("live_readiness", """SELECT name, true AS passed, '0' AS detail FROM (VALUES ('complete_panel'),
-  ('unique_key'), ('entities_not_ready')) t(name) WHERE (SELECT count(*) FROM livep) > 0""")
+@query("live_readiness", """WITH c AS (SELECT count(*) AS n, count(DISTINCT (region, entity)) AS e,
+    count(DISTINCT date) AS d, count(DISTINCT (region, entity, date)) AS k FROM livep),
+  r AS (SELECT count(*) AS v FROM (SELECT region, entity FROM livep GROUP BY ALL
+    HAVING count(DISTINCT date) < 8 OR max(date) - min(date) + 1 <> count(DISTINCT date)))
+  SELECT 'complete_panel' AS name, n = e * d AS passed, CAST(n - e * d AS VARCHAR) AS detail FROM c
+  UNION ALL SELECT 'unique_key', n = k, CAST(n - k AS VARCHAR) FROM c
+  UNION ALL SELECT 'entities_not_ready', v = 0, CAST(v AS VARCHAR) FROM r""")
 def live_readiness(spark, d):
     return LV.readiness(live_panel(spark, d))
 

@@ -15,12 +15,11 @@ from daymosaic.suite.features import edges, full_lags
 EV = {"event_count": "event"}
 
 
-def row(name: str, passed: str, detail: str) -> str:
-    return f"SELECT '{name}' AS name, {passed} AS passed, CAST({detail} AS VARCHAR) AS detail"
-
-
-def zeros(*names: str) -> str:
-    return " UNION ALL ".join(row(n, "true", "0") for n in names)
+def counters(source: str, tests: dict[str, str]) -> str:
+    """One row per test: how many rows of the source satisfy it."""
+    return " UNION ALL ".join(
+        f"SELECT '{n}' AS name, count(*) FILTER (WHERE {t}) = 0 AS passed, "
+        f"CAST(count(*) FILTER (WHERE {t}) AS VARCHAR) AS detail FROM {source}" for n, t in tests.items())
 
 
 def counter(name: str, value: str) -> str:
@@ -44,11 +43,28 @@ def require_columns(spark, d):
     return need(observed(spark, d), [*DAY_KEYS, "event_count"]).select(*KEYS, "event_count")
 
 
-LAG_NAMES = [f"event_lag_{k}d" for k in L.DEFAULT_LAGS]
-LEAD_NAMES = [f"event_count_t_plus_{h}d" for h in L.DEFAULT_HORIZONS]
+def ranged(days: int) -> str:
+    """The value so many days away, by a range frame."""
+    side_ = "PRECEDING" if days < 0 else "FOLLOWING"
+    at = f"INTERVAL {abs(days)} DAY {side_}"
+    return f"max(event_count) OVER (PARTITION BY region, entity ORDER BY date RANGE BETWEEN {at} AND {at})"
+
+
+def joined(days: int) -> str:
+    """The same by a lookup of the shifted date."""
+    return (f"(SELECT max(b.event_count) FROM panel b WHERE b.region = p.region AND b.entity = p.entity "
+            f"AND b.date = p.date + {days})")
+
+
+LAGS = {f"event_lag_{k}d": -k for k in L.DEFAULT_LAGS}
+LEADS = {f"event_count_t_plus_{h}d": h for h in L.DEFAULT_HORIZONS}
+define("moved", "SELECT *, " + ", ".join(f"{ranged(k)} AS {n}" for n, k in (LAGS | LEADS).items()) + " FROM panel",
+       "panel")
+define("moved2", "SELECT p.*, " + ", ".join(f"{joined(k)} AS j_{n}" for n, k in (LAGS | LEADS).items())
+       + " FROM moved p", "moved")
 
 
-@query("lag_aligned", zeros(*LAG_NAMES))
+@query("lag_aligned", counters("moved2", {n: f"{n} IS DISTINCT FROM j_{n}" for n in LAGS}))
 def lag_aligned(spark, d):
     p = shared_panel(spark, d, "event_count")
     return Q.lag_aligned(L.lag_days(p, KEYS, EV), p, KEYS, EV, L.DEFAULT_LAGS)
@@ -67,7 +83,8 @@ def lag_rows_misaligned(spark, d):
     return Q.lag_aligned(L.lag_rows(p, KEYS, EV), p, KEYS, EV, (1, 3, 7))
 
 
-@query("target_aligned", zeros(*LEAD_NAMES, "target"))
+@query("target_aligned", counters("moved2", {n: f"{n} IS DISTINCT FROM j_{n}" for n in LEADS} | {
+    "target": "(event_count_t_plus_1d > 2) IS DISTINCT FROM (j_event_count_t_plus_1d > 2)"}))
 def target_aligned(spark, d):
     p = shared_panel(spark, d, "event_count")
     f = L.lead_days(p, KEYS, ["event_count"]).withColumn("target", above("event_count_t_plus_1d", 2))
@@ -79,13 +96,14 @@ def target_aligned(spark, d):
   SELECT n || '_is_not_event_count_t_plus_1d' AS name, v > 0 AS passed, CAST(v AS VARCHAR) AS detail FROM (
     SELECT 'event_count' AS n, count(*) FILTER (WHERE event_count IS DISTINCT FROM t) AS v FROM j
     UNION ALL SELECT 'measure_sum', count(*) FILTER (WHERE measure_sum IS DISTINCT FROM t) FROM j)
-  UNION ALL """ + zeros("no_future_names", "distinct_names", "targets_excluded"))
+  UNION ALL SELECT n, true, '0' FROM (VALUES ('no_future_names'), ('distinct_names'), ('targets_excluded')) t(n)""")
 def no_leakage(spark, d):
     f = L.lead_days(panel(spark, d), KEYS, ["event_count"], (1,))
     return Q.no_leakage(f, ["event_count", "measure_sum"], ["event_count_t_plus_1d"])
 
 
-@query("season_boundary", zeros(*LAG_NAMES, *LEAD_NAMES))
+@query("season_boundary", counters("moved", {n: f"{n} IS NOT NULL AND (month(date + {k}) NOT IN (10, 11) "
+                                            f"OR year(date + {k}) <> year(date))" for n, k in (LAGS | LEADS).items()}))
 def season_boundary(spark, d):
     f = L.lags_and_leads(panel(spark, d).select(*DAY_KEYS, "event_count"), KEYS, EV,
                          lead_cols=["event_count"])
@@ -102,22 +120,29 @@ def season_boundary_rows(spark, d):
     return Q.season_boundary(f, KEYS, EV, (1, 3, 7), {})
 
 
-@query("key_consistency", zeros("entities_in_many_regions", "keys_missing_in_source"))
+@query("key_consistency", """SELECT 'keys_missing_in_source' AS name, count(*) = 0 AS passed,
+    CAST(count(*) AS VARCHAR) AS detail FROM full_lags f ANTI JOIN panel p ON p.region = f.region
+    AND p.entity = f.entity AND p.date = f.date
+  UNION ALL SELECT 'entities_in_many_regions', count(*) = 0, CAST(count(*) AS VARCHAR) FROM (
+    SELECT entity FROM full_lags GROUP BY entity HAVING count(DISTINCT region) > 1)""")
 def key_consistency(spark, d):
     p = shared_panel(spark, d, "event_count", "measure_sum")
     return Q.key_consistency(full_lags(spark, d, p), p, DAY_KEYS)
 
 
-@query("coverage_check", """WITH g AS (SELECT region, entity, year(date) AS y, count(*) AS n,
-    max(date) - min(date) + 1 - count(*) AS missing FROM obs GROUP BY ALL)
+COVERAGE = """WITH g AS (SELECT region, entity, year(date) AS y, count(*) AS n,
+    max(date) - min(date) + 1 - count(*) AS missing FROM {t} GROUP BY ALL)
   SELECT 'missing_days' AS name, sum(missing) = 0 AS passed, CAST(sum(missing) AS VARCHAR) AS detail FROM g
   UNION ALL SELECT 'years_with_unequal_rows', count(*) = 0, CAST(count(*) AS VARCHAR) FROM (
-    SELECT y FROM g GROUP BY y HAVING count(DISTINCT n) > 1)""")
+    SELECT y FROM g GROUP BY y HAVING count(DISTINCT n) > 1)"""
+
+
+@query("coverage_check", COVERAGE.format(t="obs"))
 def coverage_check(spark, d):
     return Q.coverage(observed(spark, d), KEYS)
 
 
-@query("coverage_check_panel", zeros("missing_days", "years_with_unequal_rows"))
+@query("coverage_check_panel", COVERAGE.format(t="panel"))
 def coverage_check_panel(spark, d):
     return Q.coverage(shared_panel(spark, d, "event_count"), KEYS)
 
@@ -131,7 +156,16 @@ def distribution_check(spark, d):
     return Q.distribution(f, "event_count", (1, 7))
 
 
-@query("metrics_finite", zeros("accuracy", "precision", "recall", "f1", "fp_rate"))
+@query("metrics_finite", """WITH c AS (SELECT count(*) FILTER (WHERE a > 2 AND b > 2) AS tp,
+    count(*) FILTER (WHERE a > 2 AND b <= 2) AS fp, count(*) FILTER (WHERE a <= 2 AND b > 2) AS fn,
+    count(*) FILTER (WHERE a <= 2 AND b <= 2) AS tn FROM (SELECT event_count AS a, event_count_t_plus_1d AS b
+      FROM moved WHERE event_count_t_plus_1d IS NOT NULL)),
+  m AS (SELECT 'accuracy' AS name, (tp + tn)::DOUBLE / (tp + tn + fp + fn) AS v FROM c
+    UNION ALL SELECT 'precision', coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) FROM c
+    UNION ALL SELECT 'recall', coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) FROM c
+    UNION ALL SELECT 'f1', coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) FROM c
+    UNION ALL SELECT 'fp_rate', fp::DOUBLE / nullif(fp + tn, 0) FROM c)
+  SELECT name, coalesce(isfinite(v), false) AS passed, CASE WHEN isfinite(v) THEN '0' ELSE '1' END AS detail FROM m""")
 def metrics_finite(spark, d):
     f = L.lead_days(panel(spark, d), KEYS, ["event_count"], (1,)).dropna(subset=["event_count_t_plus_1d"])
     f = f.withColumns({"y_true": above("event_count_t_plus_1d", 2), "y_pred": above("event_count", 2)})
@@ -139,16 +173,36 @@ def metrics_finite(spark, d):
                             ["accuracy", "precision", "recall", "f1", "fp_rate"])
 
 
-@query("tables_equal_except", row("same_columns", "true", "6") + " UNION ALL " + row("same_keys", "true", "0")
-       + """ UNION ALL SELECT c AS name, true AS passed, '0/0' AS detail
-  FROM (VALUES ('event_count'), ('high_count')) t(c) WHERE (SELECT count(*) FROM panel) > 0""")
+@query("tables_equal_except", """WITH a AS (SELECT region, entity, date, event_count, high_count,
+    measure_sum FROM panel),
+  b AS (SELECT region, entity, date, event_count, CASE WHEN high_count > 1 THEN NULL ELSE high_count END
+    AS high_count, measure_sum + 1 AS measure_sum FROM panel),
+  j AS (SELECT a.region AS ra, b.region AS rb, a.event_count AS ea, b.event_count AS eb, a.high_count AS ha,
+    b.high_count AS hb FROM a FULL JOIN b ON a.region = b.region AND a.entity = b.entity AND a.date = b.date),
+  c AS (SELECT count(*) FILTER (WHERE ra IS NULL OR rb IS NULL) AS k,
+    count(*) FILTER (WHERE ea IS DISTINCT FROM eb) AS e, count(*) FILTER (WHERE (ea IS NULL) <> (eb IS NULL)) AS en,
+    count(*) FILTER (WHERE ha IS DISTINCT FROM hb) AS h, count(*) FILTER (WHERE (ha IS NULL) <> (hb IS NULL)) AS hn
+    FROM j)
+  SELECT 'same_columns' AS name, true AS passed, '6' AS detail UNION ALL
+  SELECT 'same_keys', k = 0, CAST(k AS VARCHAR) FROM c UNION ALL
+  SELECT 'event_count', e = 0 AND en = 0, e || '/' || en FROM c UNION ALL
+  SELECT 'high_count', h = 0 AND hn = 0, h || '/' || hn FROM c""")
 def tables_equal_except(spark, d):
     a = shared_panel(spark, d, "event_count", "high_count", "measure_sum")
-    b = a.withColumn("measure_sum", F.col("measure_sum") + 1)
+    b = a.withColumns({"measure_sum": F.col("measure_sum") + 1,
+                       "high_count": F.when(F.col("high_count") <= 1, F.col("high_count"))})
     return Q.tables_equal_except(a, b, DAY_KEYS, ["measure_sum"])
 
 
-@query("reconstruct", zeros(*[n for p in FT.interaction_pairs() for n in p[:2]]))
+INTERACT = " UNION ALL ".join(f"""SELECT '{product}' AS name, l.{own} * n.{near} AS v, n.{near} * l.{own} AS w
+    FROM lagged l LEFT JOIN near_lags n ON n.entity = l.entity AND n.date = l.date
+  UNION ALL SELECT '{ratio}', n.{near} / (l.{own} + 1), n.{near} / (l.{own} + 1) FROM lagged l
+    LEFT JOIN near_lags n ON n.entity = l.entity AND n.date = l.date"""
+                              for product, ratio, own, near in FT.interaction_pairs())
+
+
+@query("reconstruct", f"""WITH v AS ({INTERACT}) SELECT name, count(*) FILTER (WHERE abs(v - w) > 1e-12) = 0 AS passed,
+  CAST(count(*) FILTER (WHERE abs(v - w) > 1e-12) AS VARCHAR) AS detail FROM v GROUP BY name""")
 def reconstruct(spark, d):
     p = shared_panel(spark, d, "event_count", "measure_sum")
     f = FT.features_neighbour(full_lags(spark, d, p), p, edges(spark, d))
@@ -223,27 +277,44 @@ def conservation(spark, d):
     return out.withColumn("detail", F.col("detail").cast("double").cast("string"))
 
 
-@query("weights_sum_to_one", zeros("weights_off_one"))
+@query("weights_sum_to_one", counters("(SELECT sum(area_weight) AS t FROM half_weights GROUP BY region, grid_x, grid_y)",
+                                       {"weights_off_one": "abs(t - 1) > 1e-10"}))
 def weights_sum_to_one(spark, d):
     from daymosaic.operators.spatial import overlap_weights
     from daymosaic.suite.spatial import overlaps
     return Q.weights_sum_to_one(overlap_weights(overlaps(spark, d)), ["region", "grid_x", "grid_y"])
 
 
-@query("null_only_when", zeros("measure_mean", "measure_max"))
+@query("null_only_when", counters("panel_nulls", {c: f"{c} IS NULL AND event_count <> 0"
+                                                  for c in ("measure_mean", "measure_max")}))
 def null_only_when(spark, d):
     from daymosaic.suite.joins import zero_fill_counts_only
     return Q.null_only_when(zero_fill_counts_only(spark, d), ["measure_mean", "measure_max"],
                             F.col("event_count") == 0)
 
 
-@query("complete_panel", zeros("complete_panel", "unique_key"))
+@query("complete_panel", """WITH c AS (SELECT count(*) AS n, count(DISTINCT (region, entity)) AS e,
+    count(DISTINCT date) AS d, count(DISTINCT (region, entity, date)) AS k FROM panel)
+  SELECT 'complete_panel' AS name, n = e * d AS passed, CAST(n - e * d AS VARCHAR) AS detail FROM c
+  UNION ALL SELECT 'unique_key', n = k, CAST(n - k AS VARCHAR) FROM c""")
 def complete_panel(spark, d):
     return Q.complete_panel(shared_panel(spark, d, "event_count"), KEYS)
 
 
-@query("implementations_agree", row("keys_left_only", "true", "0") + " UNION ALL "
-       + row("keys_right_only", "true", "0") + " UNION ALL " + row("values_equal", "true", "0"))
+@query("complete_panel_sparse", """WITH c AS (SELECT count(*) AS n, count(DISTINCT (region, entity)) AS e,
+    count(DISTINCT date) AS d, count(DISTINCT (region, entity, date)) AS k FROM obs)
+  SELECT 'complete_panel' AS name, n = e * d AS passed, CAST(n - e * d AS VARCHAR) AS detail FROM c
+  UNION ALL SELECT 'unique_key', n = k, CAST(n - k AS VARCHAR) FROM c""")
+def complete_panel_sparse(spark, d):
+    return Q.complete_panel(observed(spark, d), KEYS)
+
+
+@query("implementations_agree", """WITH c AS (SELECT count(*) FILTER (WHERE a.region IS NOT NULL AND b.region IS NULL) AS l,
+    count(*) FILTER (WHERE a.region IS NULL) AS r, max(abs(a.event_lag_3d - b.j_event_lag_3d)) AS m
+    FROM moved a FULL JOIN moved2 b ON a.region = b.region AND a.entity = b.entity AND a.date = b.date)
+  SELECT 'keys_left_only' AS name, l = 0 AS passed, CAST(l AS VARCHAR) AS detail FROM c UNION ALL
+  SELECT 'keys_right_only', r = 0, CAST(r AS VARCHAR) FROM c UNION ALL
+  SELECT 'values_equal', coalesce(m <= 1e-6, true), CAST(m AS VARCHAR) FROM c""")
 def implementations_agree(spark, d):
     p = shared_panel(spark, d, "event_count")
     a = L.lag_days(p, KEYS, EV, (3,))
@@ -251,7 +322,12 @@ def implementations_agree(spark, d):
     return Q.implementations_agree(a, b, DAY_KEYS, "event_lag_3d")
 
 
-@query("target_same", row("same_rows", "true", "0") + " UNION ALL " + row("same_targets", "true", "0"))
+@query("target_same", """WITH c AS (SELECT count(*) FILTER (WHERE a.region IS NULL OR b.region IS NULL) AS k,
+    count(*) FILTER (WHERE a.event_count_t_plus_1d IS DISTINCT FROM b.event_count_t_plus_1d) AS t
+    FROM moved a FULL JOIN (SELECT m.* FROM moved m JOIN side s ON s.region = m.region AND s.entity = m.entity
+      AND s.date = m.date) b ON a.region = b.region AND a.entity = b.entity AND a.date = b.date)
+  SELECT 'same_rows' AS name, k = 0 AS passed, CAST(k AS VARCHAR) AS detail FROM c UNION ALL
+  SELECT 'same_targets', t = 0, CAST(t AS VARCHAR) FROM c""")
 def target_same(spark, d):
     f = L.lead_days(shared_panel(spark, d, "event_count"), KEYS, ["event_count"], (1,))
     arm = f.join(side(spark, d), DAY_KEYS)
