@@ -51,7 +51,8 @@ def fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
     """(column, median, mode): the statistics an Imputer is made of.
 
     All numeric columns are unpivoted and ranked in one distributed pass; a mode
-    is the most frequent value, the first by name on ties.
+    is the most frequent value, the first by name on ties. A column without
+    values keeps its row, with NULLs.
     """
     parts = []
     if numeric:
@@ -67,14 +68,16 @@ def fill_values(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
         top = n.groupBy("column").agg(F.max("n").alias("n"))
         parts.append(n.join(top, ["column", "n"]).groupBy("column").agg(F.min("value").alias("mode")).select(
             "column", F.lit(None).cast("double").alias("median"), "mode"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    wanted = train.sparkSession.createDataFrame([(c,) for c in (*numeric, *categorical)], "column string")
+    return wanted.join(found, "column", "left")
 
 
 def fit_imputer(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> Imputer:
     """One row per column comes to the driver: a list the size of the schema."""
-    got = {r["column"]: r["median"] if r["median"] is not None else r["mode"]
-           for r in fill_values(train, numeric, categorical).collect()}
-    return Imputer({c: got.get(c, 0.0) for c in numeric} | {c: got.get(c, "") for c in categorical})
+    rows = {r["column"]: r for r in fill_values(train, numeric, categorical).collect()}
+    return Imputer({c: 0.0 if rows[c]["median"] is None else rows[c]["median"] for c in numeric}
+                   | {c: "" if rows[c]["mode"] is None else rows[c]["mode"] for c in categorical})
 
 
 def encoder(numeric: Sequence[str], categorical: Sequence[str], scale: bool = False,

@@ -154,13 +154,13 @@ def test_neighbour_lag_is_the_neighbours_past(spark):
 def test_geojson_reader_orients_and_finds_columns(spark, tmp_path):
     path = tmp_path / "b.geojson"
     path.write_text("""{"type":"FeatureCollection","features":[
-      {"type":"Feature","properties":{"STATE_UT":" Punjab ","DISTRICT":"A","DIST_LGD":"1"},
+      {"type":"Feature","properties":{"STATE_UT":" North ","DISTRICT":"A","DIST_LGD":"1"},
        "geometry":{"type":"Polygon","coordinates":[[[0,0],[0,2],[2,2],[2,0],[0,0]],[[0.5,0.5],[1,0.5],[1,1],[0.5,0.5]]]}},
-      {"type":"Feature","properties":{"state":"Punjab","district":"B","code":"1"},
+      {"type":"Feature","properties":{"state":"North","district":"B","code":"1"},
        "geometry":{"type":"MultiPolygon","coordinates":[[[[3,0],[4,0],[4,1],[3,0]]],[[[5,0],[6,0],[6,1],[5,0]]]]}},
-      {"type":"Feature","properties":{"state":"Punjab","district":"C"},"geometry":null}]}""")
+      {"type":"Feature","properties":{"state":"North","district":"C"},"geometry":null}]}""")
     p = PG.read_polygons(spark, str(path))
-    assert rows(p, "region", "entity", "code") == [("Punjab", "A", "1"), ("Punjab", "B", "1"), ("Punjab", "C", None)]
+    assert rows(p, "region", "entity", "code") == [("North", "A", "1"), ("North", "B", "1"), ("North", "C", None)]
     areas = {r["entity"]: [x > 0 for x in r["a"]] for r in p.filter("rings is not null").select(
         "entity", F.transform("rings", PG.signed_area).alias("a")).collect()}
     assert areas == {"A": [True, False], "B": [True, True]}
