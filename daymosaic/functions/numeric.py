@@ -94,16 +94,23 @@ def hash_uniform(*cols: Column | str) -> Column:
 
 
 def poisson_one(u: Column) -> Column:
-    """Poisson(1) weight for a uniform draw, by the inverse distribution function."""
-    steps, term, total = [], 0.36787944117144233, 0.0
+    """Poisson(1) weight for a uniform draw, by the inverse distribution function.
+
+    The draw is bound to a lambda variable, so that it is computed once and not
+    again in every branch.
+    """
+    edges, term, total = [], 0.36787944117144233, 0.0
     for k in range(10):
         total += term
-        steps.append((k, total))
+        edges.append((k, total))
         term /= k + 1
-    out = None
-    for k, edge in steps:
-        out = F.when(u < edge, k) if out is None else out.when(u < edge, k)
-    return out.otherwise(10)
+
+    def weight(x: Column) -> Column:
+        out = None
+        for k, edge in edges:
+            out = F.when(x < edge, k) if out is None else out.when(x < edge, k)
+        return out.otherwise(10)
+    return F.get(F.transform(F.array(u), weight), F.lit(0))
 
 
 def numeric_or_null(c: Column | str, floor: float | None = None) -> Column:

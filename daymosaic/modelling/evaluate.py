@@ -104,17 +104,20 @@ def paired_bootstrap(paired: DataFrame, groups: Sequence[str], row_key: Sequence
     which also spreads a hot group over its replicates and scores.
     """
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate")
-    drawn = paired.select(*groups, *row_key, "y_true", "pred_a", "pred_b", "score_a", "score_b", reps)
+    rows = paired.select(*groups, *row_key, "y_true", "pred_a", "pred_b", "score_a", "score_b")
+    # each row is worked on once per replicate: spread the rows first, whatever the file layout
+    drawn = rows.repartition(*row_key).select("*", reps)
     weight = F.when(F.col("replicate") == 0, 1).otherwise(
         poisson_one(hash_uniform(F.lit(seed), "replicate", *row_key)))
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("pred"),
                                           F.col(f"score_{m}").alias("score")) for m in "ab"])).alias("m")
     by = [*groups, "replicate", "model"]
-    counts = (drawn.withColumn("w", weight).filter("w > 0")
+    counts = (drawn.withColumn("w", weight)
               .select(*groups, "replicate", "y_true", "w", models).select(*groups, "replicate", "y_true", "w", "m.*")
               .groupBy(*by, "score", "pred").agg(
                   F.sum(F.when(F.col("y_true") == 1, F.col("w")).otherwise(0)).alias("pos"),
-                  F.sum(F.when(F.col("y_true") == 0, F.col("w")).otherwise(0)).alias("neg")))
+                  F.sum(F.when(F.col("y_true") == 0, F.col("w")).otherwise(0)).alias("neg"))
+              .filter("pos + neg > 0"))
     counts = materialise(counts, "bootstrap-counts")
     said = F.col("pred") == 1
     tp, fp, fn = (F.sum(F.when(t, F.col(c)).otherwise(0)) for t, c in ((said, "pos"), (said, "neg"), (~said, "pos")))

@@ -302,7 +302,7 @@ for _n, _r in (("half", RES), ("whole", COARSE)):
 
 
 def cell_counts(spark, d, resolution):
-    rows = placed(spark, d, "inner").filter(in_season("date"))
+    rows = placed(spark, d, "inner").filter(in_season("date", YEARS))
     return NB.with_grid(rows, resolution).groupBy("region", "grid_x", "grid_y", "date").agg(
         F.count(F.lit(1)).alias("event_count"), F.sum("measure").alias("measure_sum"))
 
