@@ -8,7 +8,7 @@ from daymosaic.operators import aggregates as A
 from daymosaic.operators import lags as L
 from daymosaic.operators import panel as P
 from daymosaic.suite.base import (DAY_KEYS, KEYS, YEARS, define, entities, events, observed,
-                                  panel, query, scored, season_events)
+                                  panel, query, scored)
 
 D = "::DOUBLE"
 

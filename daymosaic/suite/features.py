@@ -12,7 +12,7 @@ from daymosaic.operators import metrics as M
 from daymosaic.operators import panel as P
 from daymosaic.operators.neighbours import neighbour_context, neighbour_mean
 from daymosaic.plans import features as FT
-from daymosaic.suite.base import (DAY_KEYS, KEYS, define, entities, events, observed, panel,
+from daymosaic.suite.base import (DAY_KEYS, KEYS, define, entities, events, panel,
                                   query, scored, shared_panel, side, table)
 
 PK = "{a}.region = p.region AND {a}.entity = p.entity"

@@ -13,7 +13,7 @@ from daymosaic.sources import polygons as PG
 from daymosaic.sources import side as SS
 from daymosaic.sources import sinks as SK
 from daymosaic.sources import windows as SW
-from daymosaic.suite.base import DAY_KEYS, KEYS, YEARS, define, observed, panel, query, table
+from daymosaic.suite.base import DAY_KEYS, KEYS, define, observed, panel, query, table
 
 EVENT_DDL = "event_id bigint, ts string, user_id bigint, event_type string, value double"
 

@@ -10,7 +10,7 @@ from daymosaic.operators import metrics as M
 from daymosaic.operators import panel as P
 from daymosaic.operators import ranking as R
 from daymosaic.operators.cleaning import latest
-from daymosaic.suite.base import DAY_KEYS, KEYS, ROW_KEYS, events, observed, panel, query, scored
+from daymosaic.suite.base import DAY_KEYS, KEYS, events, observed, panel, query, scored
 
 PK = "p.region = {a}.region AND p.entity = {a}.entity"
 
