@@ -1,4 +1,4 @@
 """Loads the operators, which register their queries."""
 
-from daymosaic.llm import packing, secrets, topk, url_filters  # noqa: F401
+from daymosaic.llm import packing, secrets, simhash, topk, url_filters  # noqa: F401
 from daymosaic.llm.base import ORACLE, QUERIES  # noqa: F401
