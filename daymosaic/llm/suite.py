@@ -1,4 +1,4 @@
 """Loads the operators, which register their queries."""
 
-from daymosaic.llm import decontamination, packing, secrets, simhash, substrings, topk, url_filters  # noqa: F401
+from daymosaic.llm import decontamination, language_model, packing, secrets, simhash, substrings, topk, url_filters  # noqa: F401
 from daymosaic.llm.base import ORACLE, QUERIES  # noqa: F401
