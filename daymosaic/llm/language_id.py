@@ -185,6 +185,13 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc
     return out.select("doc_id", "language", "posterior", accepted.alias("accepted"), "declared", "host")
 
 
+def known_only(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents whose language is accepted, all columns as they were. Rows with a null id are kept."""
+    bad = identify(docs, pages, id_col=id_col, **options).filter(~F.col("accepted")).select(F.col("doc_id").alias("bad"))
+    bad = materialise(bad.distinct(), "rejected")
+    return docs.join(bad, docs[id_col].cast("bigint") == bad.bad, "left_anti")
+
+
 @query("op10_language_id")
 def op10(spark, d) -> DataFrame:
     return identify(table(spark, d, "documents"), table(spark, d, "pages"))

@@ -250,6 +250,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_t
     return id_text(docs, id_col, text_col).mapInArrow(run, kinds + ", text string" * with_text)
 
 
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The same rows and columns with the found spans replaced in the text, and its length where it changed.
+
+    Null texts stay null.
+    """
+    def run(batches):
+        for b in slices(batches, 512):
+            at = b.schema.get_field_index(text_col)
+            old = b.column(at).to_pylist()
+            new = [t if not t or not (m := spans(t)) else redact(t, m) for t in old]
+            b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            k = b.schema.get_field_index(length_col) if length_col else -1
+            if k >= 0:
+                n = [v if x is y else len(y) for v, x, y in zip(b.column(k).to_pylist(), old, new)]
+                b = b.set_column(k, b.schema.field(k), pa.array(n, b.schema.field(k).type))
+            yield b
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The columns of the contract from the spans."""
     line = lambda c: F.array_join(F.transform(

@@ -227,6 +227,20 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str =
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents without those of which a smaller id is in reach; all columns as they were.
+
+    Rows with a null id are kept. Rows that share an id are one document and leave one row.
+    """
+    found = materialise(near_duplicates(docs, id_col=id_col, **options), "components")
+    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    left = docs.join(gone, docs[id_col].cast("bigint") == gone.gone, "left_anti")
+    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        some = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        left = some.unionByName(left.filter(F.col(id_col).isNull()))
+    return left
+
+
 @query("op4_simhash_dedup")
 def op4(spark, d) -> DataFrame:
     return near_duplicates(table(spark, d, "documents"))
