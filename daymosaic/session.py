@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,14 +32,16 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a fresh local
-    folder is made and set.
+    Only on a local master whose session names none (tests on one machine) a
+    fresh local folder is made and set; elsewhere a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
     return current.rstrip("/")
@@ -55,6 +58,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     The result survives lost executors and is read, not recomputed, by every
     later branch. Use it where one frame feeds several actions.
     """
-    path = run_folder(df.sparkSession, label)
+    return materialise_at(df, run_folder(df.sparkSession, label))
+
+
+def materialise_at(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a table that is no longer read, wherever it is stored."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

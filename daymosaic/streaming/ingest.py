@@ -50,22 +50,30 @@ def daily_counts(stream: DataFrame, keys: Sequence[str], time_col: str = "ts",
             .select(F.to_date("_w.start").alias("date"), *keys, "event_count"))
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> tuple[str, StreamingQuery]:
-    """Drain the available input into a Parquet table; returns its path and the query."""
-    spark = stream.sparkSession
-    path = run_folder(spark, label)
+def run_to_table(stream: DataFrame, label: str, mode: str = "append", path: str | None = None,
+                 checkpoint: str | None = None) -> tuple[str, StreamingQuery]:
+    """Drain the available input into a Parquet table; returns its path and the query.
+
+    A later call with the same ``path`` and ``checkpoint`` goes on where the
+    last one ended. Without them the run starts from nothing in a new folder.
+    """
+    path = path or run_folder(stream.sparkSession, label)
     q = (stream.writeStream.format("parquet").outputMode(mode)
-         .option("checkpointLocation", path + "-state").option("path", path)
+         .option("checkpointLocation", checkpoint or path + "-state").option("path", path)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return path, q
 
 
 def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame, int], None],
-                mode: str = "append") -> StreamingQuery:
-    """Drain the available input through a foreachBatch step."""
+                mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
+    """Drain the available input through a foreachBatch step.
+
+    Batch ids come from the checkpoint. A step that keeps state by batch id needs
+    the same ``checkpoint`` in every run; keep it beside that state.
+    """
     q = (stream.writeStream.foreachBatch(step).outputMode(mode)
-         .option("checkpointLocation", run_folder(stream.sparkSession, label + "-state"))
+         .option("checkpointLocation", checkpoint or run_folder(stream.sparkSession, label + "-state"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q

@@ -17,7 +17,7 @@ from daymosaic.operators import lags as L
 from daymosaic.operators.history import verify_predictions
 from daymosaic.operators.joins import upsert
 from daymosaic.plans.live import HISTORY_FEATURES, Scorer
-from daymosaic.session import materialise
+from daymosaic.session import materialise_at, remove_folder, run_folder
 from daymosaic.sources.sinks import replace_partitions
 
 BATCH = "batch_id"
@@ -40,12 +40,19 @@ class RollingFeatures:
 
     A late event changes the lags of later days, so features are recomputed
     for every entity in the batch over the days that its events can reach.
+
+    Counts are stored by batch id. Every ``compact_every`` batches they are
+    summed into a base table, so that a batch reads the base and the few
+    batches since, of the entities it touches. A replayed batch writes the same
+    tables again. The stream's checkpoint belongs to this folder: pass
+    ``checkpoint_path`` to ``run_batches``.
     """
 
     folder: str
     keys: Sequence[str] = ("region", "entity")
     reach_days: int = 7
     time_col: str = "ts"
+    compact_every: int = 50
 
     @property
     def counts_path(self) -> str:
@@ -55,16 +62,34 @@ class RollingFeatures:
     def features_path(self) -> str:
         return self.folder + "/features"
 
+    @property
+    def checkpoint_path(self) -> str:
+        return self.folder + "/checkpoint"
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         day = batch.groupBy(*self.keys, F.to_date(self.time_col).alias("date")).agg(
             F.count(F.lit(1)).alias("event_count"))
         _append_batch(day, self.counts_path, batch_id)
-        seen = self.counts(batch.sparkSession).filter(F.col(BATCH) <= batch_id)
+        touched = batch.select(*self.keys).distinct()
+        seen = self._known(batch.sparkSession, batch_id).join(touched, list(self.keys), "left_semi")
         panel = self._dense(seen, self._spans(seen, batch_id))
         f = L.lag_days(panel, self.keys, {"event_count": "event"}, (1, 3, 7))
         f = L.rolling_mean_prev(f, self.keys, "event_count", HISTORY_FEATURES)
         _append_batch(f.filter(F.col("date") >= F.col("_from")).drop("_from"), self.features_path, batch_id)
 
+    def _known(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Counts up to a batch: the base below it and the batches since."""
+        start = batch_id // self.compact_every * self.compact_every
+        recent = self.counts(spark).filter(F.col(BATCH).between(start, batch_id))
+        if start == 0:
+            return recent
+        base = f"{self.folder}/base-{start}"
+        if batch_id == start:
+            (self._known(spark, start - 1).groupBy(*self.keys, "date")
+             .agg(F.sum("event_count").alias("event_count"))
+             .withColumn(BATCH, F.lit(start - 1)).write.mode("overwrite").parquet(base))
+        return recent.unionByName(spark.read.parquet(base))
+
     def _spans(self, seen: DataFrame, batch_id: int) -> DataFrame:
         """Per touched entity the days to emit: _from .. _to, and its first day.
 
@@ -107,16 +132,18 @@ class RollingFeatures:
 def upsert_table(new: DataFrame, path: str, keys: Sequence[str], partition: str) -> None:
     """Upsert into a partitioned table, rewriting only the touched partitions.
 
-    The merged rows are written aside first: the partitions being replaced are
-    also being read.
+    The merged rows are written aside first, as the partitions being replaced
+    are also being read; what was written aside is removed afterwards.
     """
     spark = new.sparkSession
-    new = materialise(new, "upsert-new")
+    aside = run_folder(spark, "upsert")
+    new = materialise_at(new, aside + "/new")
     table = _read_if_there(spark, path)
     if table is not None:
         old = table.join(new.select(partition).distinct(), partition, "left_semi")
-        new = materialise(upsert(old, new, keys), "upsert-merged")
+        new = materialise_at(upsert(old, new, keys), aside + "/merged")
     replace_partitions(new, path, [partition])
+    remove_folder(spark, aside)
 
 
 @dataclass(frozen=True)
@@ -135,7 +162,11 @@ class ScoreStream:
 
 @dataclass(frozen=True)
 class VerifyStream:
-    """Joins arriving counts to the history; other predictions stay Pending."""
+    """Joins arriving counts to the history; other predictions stay Pending.
+
+    A batch touches the predictions whose counts it holds and no others, so a
+    day may arrive in any number of batches.
+    """
 
     history_path: str
     tracker_path: str
@@ -144,15 +175,18 @@ class VerifyStream:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         history = batch.sparkSession.read.parquet(self.history_path)
-        days = batch.select(F.col("date").alias("prediction_date")).distinct()
-        due = history.join(days, "prediction_date", "left_semi")
+        here = batch.select(F.col("date").alias("prediction_date"), *self.keys[1:]).distinct()
+        due = history.join(here, list(self.keys), "left_semi")
         upsert_table(verify_predictions(due, batch, self.threshold), self.tracker_path, self.keys,
                      "prediction_date")
 
     def tracker(self, spark: SparkSession) -> DataFrame:
         """Verified rows and, as Pending, every prediction not yet reached."""
         history = spark.read.parquet(self.history_path)
-        done = spark.read.parquet(self.tracker_path)
+        done = _read_if_there(spark, self.tracker_path)
+        if done is None:
+            none = spark.createDataFrame([], "date date, region string, entity string, event_count bigint")
+            return verify_predictions(history, none, self.threshold)
         nothing = done.select(F.col("prediction_date").alias("date"), "region", "entity",
                               F.col("actual_count").alias("event_count")).filter(F.lit(False))
         waiting = verify_predictions(history.join(done.select(*self.keys), list(self.keys), "left_anti"),

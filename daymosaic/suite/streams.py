@@ -48,18 +48,22 @@ CUTS = (dt.datetime(2024, 1, 25), dt.datetime(2024, 1, 20))
 
 
 def deliveries(spark, d):
-    """Three files in order of arrival: newest days, the days before, the oldest days.
-
-    A watermark takes effect on late rows one batch after it was reached, so
-    the third file is the one that comes too late.
-    """
-    path = run_folder(spark, "deliveries")
+    """The events' folder and its three deliveries in order of arrival: newest days, the days before, the oldest."""
     e = table(spark, d, "events")
     new, old = F.lit(CUTS[0]), F.lit(CUTS[1])
-    e.filter(F.col("ts") >= new).coalesce(1).write.parquet(path + "/a")
-    e.filter((F.col("ts") >= old) & (F.col("ts") < new)).coalesce(1).write.parquet(path + "/b")
-    e.filter(F.col("ts") < old).coalesce(1).write.parquet(path + "/c")
-    return ST.event_stream(spark, path + "/*", e.schema, files_per_trigger=1)
+    parts = [e.filter(F.col("ts") >= new), e.filter((F.col("ts") >= old) & (F.col("ts") < new)), e.filter(F.col("ts") < old)]
+    return run_folder(spark, "deliveries"), e.schema, parts
+
+
+FILES = 4
+
+
+def delivered(spark, d, drain):
+    """Write each delivery and drain it with a query that stops and is started again for the next one."""
+    path, schema, parts = deliveries(spark, d)
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{path}/{i}")
+        drain(ST.event_stream(spark, path + "/*", schema))
 
 
 @query("late_data_stream", """SELECT date, user_id, count(*) AS event_count
@@ -67,14 +71,19 @@ def deliveries(spark, d):
     OR date + 1 > (SELECT max(ts) FROM events) - INTERVAL 2 DAY
   GROUP BY ALL HAVING date + 1 <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
 def late_data_stream(spark, d):
-    """The third delivery is behind the watermark, so its closed days are refused."""
-    path, _ = ST.run_to_table(ST.daily_counts(deliveries(spark, d), ["user_id"]), "late")
-    return spark.read.parquet(path)
+    """One delivery a batch. A watermark takes effect one batch after it was reached, so the third delivery comes too late
+    and its closed days are refused."""
+    path, schema, parts = deliveries(spark, d)
+    for i, part in enumerate(parts):
+        part.repartition(FILES).write.parquet(f"{path}/{i}")
+    files = ST.event_stream(spark, path + "/*", schema, files_per_trigger=FILES)
+    out, _ = ST.run_to_table(ST.daily_counts(files, ["user_id"]), "late")
+    return spark.read.parquet(out)
 
 
 def rolled(spark, d):
     rolling = SL.RollingFeatures(run_folder(spark, "rolling"))
-    ST.run_batches(keyed(deliveries(spark, d)), "rolling", rolling)
+    delivered(spark, d, lambda s: ST.run_batches(keyed(s), "rolling", rolling, checkpoint=rolling.checkpoint_path))
     return rolling
 
 
@@ -136,13 +145,15 @@ def score_stream(spark, d):
       WHEN actual_count <= 2 AND risk_label = 'Normal' THEN 'True Negative' WHEN risk_label = 'Elevated'
       THEN 'False Positive' ELSE 'False Negative' END AS error_type FROM v""")
 def verify_stream(spark, d):
-    """Counts arrive as a stream; predictions past the last day stay Pending."""
+    """Counts arrive as a stream, a day spread over several batches, with a stop in the middle; predictions past the
+    last day stay Pending."""
     history = scored_history(spark, d)
     source = run_folder(spark, "actual-files")
     counts = keyed(table(spark, d, "events")).groupBy(F.to_date("ts").alias("date"), "region", "entity").agg(
         F.count(F.lit(1)).alias("event_count"))
-    counts.repartition(2, "date").write.parquet(source)
-    actuals = ST.event_stream(spark, source, spark.read.parquet(source).schema, files_per_trigger=1)
-    verify = SL.VerifyStream(history, run_folder(spark, "tracker"))
-    ST.run_batches(actuals, "verify", verify)
+    verify, state = SL.VerifyStream(history, run_folder(spark, "tracker")), run_folder(spark, "verify-state")
+    for half in (0, 1):
+        counts.filter(F.pmod(F.xxhash64("entity"), F.lit(2)) == half).repartition(2, "entity").write.parquet(f"{source}/{half}")
+        actuals = ST.event_stream(spark, source + "/*", counts.schema, files_per_trigger=1)
+        ST.run_batches(actuals, "verify", verify, checkpoint=state)
     return verify.tracker(spark)
