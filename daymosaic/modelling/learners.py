@@ -20,7 +20,7 @@ from daymosaic.operators.joins import value_map
 # deepest tree MLlib allows less its cost; see ``forest``.
 TREES, MIN_LEAF, SEED = 400, 2, 42
 ROUNDS, STEP = 400, 0.05
-HELPER_COLUMNS = ("rawPrediction", "probability", "prediction", "numeric__raw", "numeric__scaled", "features")
+HELPER_COLUMNS = ("rawPrediction", "probability", "prediction", "numeric__raw", "numeric__scaled", "numeric__scaled__population", "features")
 
 
 def forest(y: str, trees: int = TREES, depth: int = 14, weight: str | None = None) -> RandomForestClassifier:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daymosaic.operators.joins import join_small
 from daymosaic.operators.running import percentiles
 
 
@@ -80,6 +83,24 @@ def fit_imputer(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
                    | {c: "" if rows[c]["mode"] is None else rows[c]["mode"] for c in categorical})
 
 
+class PopulationScaler(StandardScaler):
+    """Centres and divides by the population deviation. The library divides by the
+    sample deviation, so the fitted deviations are corrected by the row count."""
+
+    def __init__(self, inputCol: str, outputCol: str):
+        super().__init__(inputCol=inputCol, outputCol=outputCol, withMean=True, withStd=True)
+
+    def _fit(self, dataset: DataFrame):
+        n = dataset.count()
+        model = super()._fit(dataset)
+        if n < 2:
+            return model
+        factor = math.sqrt((n - 1) / n)
+        stretch = ElementwiseProduct(inputCol=self.getOutputCol(), outputCol=self.getOutputCol() + "__population",
+                                     scalingVec=Vectors.dense([1 / factor] * len(model.mean)))
+        return PipelineModel(stages=[model, stretch])
+
+
 def encoder(numeric: Sequence[str], categorical: Sequence[str], scale: bool = False,
             out: str = "features") -> Pipeline:
     """One-hot with a train-only vocabulary (unseen values give all zeros) and assembly."""
@@ -93,9 +114,8 @@ def encoder(numeric: Sequence[str], categorical: Sequence[str], scale: bool = Fa
                   OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True)]
     if scale:
         stages += [VectorAssembler(inputCols=list(numeric), outputCol="numeric__raw"),
-                   StandardScaler(inputCol="numeric__raw", outputCol="numeric__scaled", withMean=True,
-                                  withStd=True),
-                   VectorAssembler(inputCols=["numeric__scaled", *hot], outputCol=out)]
+                   PopulationScaler(inputCol="numeric__raw", outputCol="numeric__scaled"),
+                   VectorAssembler(inputCols=["numeric__scaled__population", *hot], outputCol=out)]
     else:
         stages.append(VectorAssembler(inputCols=[*numeric, *hot], outputCol=out))
     return Pipeline(stages=stages)
@@ -113,5 +133,5 @@ def class_weight(train: DataFrame, y: str, spec: object, out: str = "class_weigh
     if spec == "balanced":
         n = train.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
         total = n.agg(F.sum("_n") / F.count(F.lit(1))).scalar()
-        return train.join(n.select(y, (total / F.col("_n")).alias(out)), y)
+        return join_small(train, n.select(y, (total / F.col("_n")).alias(out)), [y], "inner")
     return train.withColumn(out, F.when(F.col(y) == 1, float(spec)).otherwise(1.0))

@@ -1,38 +1,55 @@
 """Keyed joins, lookups, reconciliation and upserts.
 
-No join here carries a broadcast hint: Spark broadcasts a side by itself when
-its statistics are below the session's threshold, and shuffles it otherwise.
+Spark broadcasts a side by itself when its statistics are below the session's
+threshold, and shuffles it otherwise. An aggregate, however small, is estimated
+at its input's size, so ``join_small`` counts such a table before it decides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymosaic.functions.numeric import close_to
+from daymosaic.session import materialise
+
+#: Rows up to which a counted table is broadcast.
+SMALL = 10_000
+
+
+def unique(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """The same rows; fails at run time if a key without NULLs repeats.
+
+    The count runs over the join keys, so it shares the partitioning and the
+    order of a join on them.
+    """
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    bad = F.when((n > 1) & known, F.raise_error(F.lit(f"{label}: key is not unique")))
+    return df.withColumn("_bad", bad).filter(F.col("_bad").isNull()).drop("_bad")
 
 
 def join_one_to_one(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that fails at run time if a key repeats on either side.
+    """Inner join that fails at run time if a key repeats on either side."""
+    return unique(a, keys, "left side").join(unique(b, keys, "right side"), list(keys), "inner")
+
 
-    The check rides on the join: each side is reduced to one row per key with
-    its count, which is the shuffle the join needs anyway.
+def join_small(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join rows with an aggregate over few keys, without moving the rows.
+
+    The table is written once and counted: up to SMALL rows it is broadcast,
+    beyond it is joined by shuffle, where adaptive execution splits hot keys.
     """
-    def once(df: DataFrame, label: str) -> DataFrame:
-        rest = [c for c in df.columns if c not in keys]
-        g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                  F.first(F.struct(*rest)).alias("_row"))
-        ok = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{label}: key is not unique")))
-        return g.withColumn("_ok", ok).filter(F.col("_ok").isNull()).select(
-            *keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
-    return once(a, "left side").join(once(b, "right side"), list(keys), "inner")
+    table = materialise(table, "small")
+    return df.join(F.broadcast(table) if table.count() <= SMALL else table, list(keys), how)
 
 
 def lookup(facts: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Many-to-one left join; the caller's dimension holds one row per key."""
-    return facts.join(dim, list(keys), "left")
+    """Many-to-one left join; fails at run time if the dimension repeats a key."""
+    return facts.join(unique(dim, keys, "lookup table"), list(keys), "left")
 
 
 def lookup_report(joined: DataFrame, probe: str) -> DataFrame:
@@ -58,10 +75,12 @@ def upsert(history: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame
 
 def align_models(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str],
                  suffixes: tuple[str, str], shared: Sequence[str] = ()) -> DataFrame:
-    """Two models' predictions side by side, columns told apart by suffix."""
+    """Two models' predictions side by side, columns told apart by suffix.
+
+    Fails at run time if a key repeats in either model."""
     left = a.select(*keys, *shared, *[F.col(c).alias(c + suffixes[0]) for c in cols])
     right = b.select(*keys, *[F.col(c).alias(c + suffixes[1]) for c in cols])
-    return left.join(right, list(keys), "inner")
+    return join_one_to_one(left, right, keys)
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -78,9 +97,9 @@ def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> Da
 
 def value_map(df: DataFrame, table: DataFrame, keys: Sequence[str], value: str,
               fallback: Column | float, out: str) -> DataFrame:
-    """Per-key value with a fallback where the key is unknown."""
+    """Per-key value with a fallback where the key is unknown. The table holds a row per key."""
     fallback = fallback if isinstance(fallback, Column) else F.lit(fallback)
-    return (df.join(table.select(*keys, F.col(value).alias("_v")), list(keys), "left")
+    return (join_small(df, table.select(*keys, F.col(value).alias("_v")), keys)
             .withColumn(out, F.coalesce("_v", fallback)).drop("_v"))
 
 

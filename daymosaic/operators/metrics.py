@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daymosaic.functions.numeric import (clip, equal_width_bin, ratio_or_null,
                                          ratio_or_zero)
+from daymosaic.operators.joins import join_small
 from daymosaic.operators.running import logit_position, running_totals
 
 CELLS = ("tp", "tn", "fp", "fn")
@@ -308,7 +309,7 @@ def balance_weights(df: DataFrame, group: str, out: str = "weight") -> DataFrame
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     everything = sizes.agg(F.sum("_n") / F.count(F.lit(1))).scalar()
     table = sizes.select(group, (everything / F.col("_n")).alias(out))
-    return df.join(table, group, "left")
+    return join_small(df, table, [group])
 
 
 def weighted_metrics(df: DataFrame, keys: Sequence[str], y: str, pred: str, score: str,

@@ -12,23 +12,34 @@ from daymosaic.functions.numeric import ratio_or_null
 from daymosaic.operators.lags import lag_days
 
 
+KEYS = ("region", "entity")
+
+
+def neighbour_keys(keys: Sequence[str]) -> list[str]:
+    """Names of a neighbour's key columns: neighbor for the entity, neighbor_<key> for the rest."""
+    return ["neighbor" if k == "entity" else f"neighbor_{k}" for k in keys]
+
+
 def neighbour_mean(panel: DataFrame, edges: DataFrame, cols: Mapping[str, str],
-                   date_col: str = "date") -> DataFrame:
+                   date_col: str = "date", keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean of the adjacent entities' values on the same date.
 
-    ``edges`` holds (entity, neighbor). The panel is joined on the neighbour
-    and averaged per (entity, date) with partial aggregation.
+    ``edges`` holds the keys of an entity and of its neighbour (see
+    ``neighbour_keys``); entities of one name in two regions are two entities.
+    The panel is joined on the neighbour and averaged per entity and date with
+    partial aggregation.
     """
-    facts = panel.select(F.col("entity").alias("neighbor"), date_col, *cols)
-    return (facts.join(edges.select("entity", "neighbor"), "neighbor")
-            .groupBy("entity", date_col)
+    near = neighbour_keys(keys)
+    facts = panel.select(*[F.col(k).alias(n) for k, n in zip(keys, near)], date_col, *cols)
+    return (facts.join(edges.select(*keys, *near), near)
+            .groupBy(*keys, date_col)
             .agg(*[F.avg(src).alias(out) for src, out in cols.items()]))
 
 
 def neighbour_context(panel: DataFrame, edges: DataFrame, names: Mapping[str, str],
                       lags: Sequence[int] = (1, 3, 7), own_history: bool = False,
-                      date_col: str = "date") -> DataFrame:
-    """Current neighbour means and their calendar lags, per (entity, date).
+                      date_col: str = "date", keys: Sequence[str] = KEYS) -> DataFrame:
+    """Current neighbour means and their calendar lags, per entity and date.
 
     Output columns are neighbor_<stem>_current and neighbor_<stem>_lag_<k>d.
     By default a lag is the neighbours' mean k days earlier. With
@@ -36,12 +47,12 @@ def neighbour_context(panel: DataFrame, edges: DataFrame, names: Mapping[str, st
     published experiment computed under that name.
     """
     current = neighbour_mean(panel, edges, {s: f"neighbor_{t}_current" for s, t in names.items()},
-                             date_col)
+                             date_col, keys)
     if own_history:
-        own = lag_days(panel.select("entity", date_col, *names), ["entity"],
+        own = lag_days(panel.select(*keys, date_col, *names), list(keys),
                        {s: f"neighbor_{t}" for s, t in names.items()}, lags, date_col)
-        return current.join(own.drop(*names), ["entity", date_col])
-    return lag_days(current, ["entity"],
+        return current.join(own.drop(*names), [*keys, date_col])
+    return lag_days(current, list(keys),
                     {f"neighbor_{t}_current": f"neighbor_{t}" for t in names.values()},
                     lags, date_col)
 

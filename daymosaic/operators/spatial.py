@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymosaic.functions import geo
+from daymosaic.operators.neighbours import neighbour_keys
 
 # Overlaps up to this area count as no overlap; areas this close tie.
 MIN_AREA_M2 = 1.0
@@ -71,9 +72,14 @@ def _crosses(g: Column, x: Column, y: Column) -> Column:
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, keys: Sequence[str], tile: float,
                      how: str = "left", lon: str = "lon", lat: str = "lat",
-                     match: Sequence[str] = ()) -> DataFrame:
+                     match: Sequence[str] = (), on_multiple: str = "all") -> DataFrame:
     """Attach the polygon that holds each point ('left' keeps unmatched points).
 
+    ``on_multiple`` says what happens to a point in overlapping polygons: "all"
+    gives a row for each, "error" fails at run time, "first" takes the first
+    polygon by key. For the last two a tile brings all its polygons in one row,
+    so the points are neither numbered nor moved again.
+
     One equi-join on the tile with the ray parity as a join condition, so there
     is no pair table to group afterwards. The index is broadcast or shuffled by
     its size; a hot tile on the point side is split by the skew join. ``match``
@@ -88,7 +94,25 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, keys: Sequence[str]
     on = (_tile(x, tile) == F.col("_tx")) & (_tile(y, tile) == F.col("_ty")) & inside
     for k in match:
         on = on & (F.col(k) == F.col(f"_m_{k}"))
-    return points.join(renamed, on, how).drop("_tx", "_ty", "_edges", *[f"_m_{k}" for k in match])
+    if on_multiple == "all":
+        return points.join(renamed, on, how).drop("_tx", "_ty", "_edges", *[f"_m_{k}" for k in match])
+    polys = index.groupBy(F.col("tile_x").alias("_tx"), F.col("tile_y").alias("_ty")).agg(
+        F.sort_array(F.collect_list(F.struct(*keys, "edges"))).alias("_polys"))
+
+    def holds(p: Column) -> Column:
+        ok = F.size(F.filter(p["edges"], lambda g: _crosses(g, x, y))) % 2 == 1
+        for k in match:
+            ok = ok & (p[k] == F.col(k))
+        return ok
+    at = (_tile(x, tile) == F.col("_tx")) & (_tile(y, tile) == F.col("_ty"))
+    out = points.join(polys, at, "left").withColumn("_hits", F.filter("_polys", holds))
+    if on_multiple == "error":
+        bad = F.when(F.size("_hits") > 1, F.raise_error(F.lit("a point lies in more than one polygon")))
+        out = out.withColumn("_bad", bad).filter(F.col("_bad").isNull()).drop("_bad")
+    first = F.get("_hits", F.lit(0))
+    if how == "inner":
+        out = out.filter(F.size("_hits") > 0)
+    return out.withColumns({k: first[k] for k in keys if k not in match}).drop("_tx", "_ty", "_polys", "_hits")
 
 
 def multi_match(joined: DataFrame, point_key: Sequence[str], entity: str) -> DataFrame:
@@ -125,19 +149,20 @@ def interior_points(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
     return p.select(*keys, F.array_max(spans)["mid"].alias("lon"), "lat")
 
 
-def adjacency(polygons: DataFrame, key: str, tile: float, tolerance: float = 1e-9) -> DataFrame:
-    """Directed pairs (entity, neighbor) of polygons that touch.
+def adjacency(polygons: DataFrame, keys: Sequence[str], tile: float, tolerance: float = 1e-9) -> DataFrame:
+    """Directed pairs of polygons that touch: the keys of both, named as in ``neighbour_keys``.
 
     Two polygons that touch without overlapping always have a corner of one on
     the outline of the other, so corners are matched to nearby edges by tile.
     """
-    e = edge_table(polygons, [key])
-    corners = (e.select(F.col(key).alias("a"), F.col("x1").alias("px"), F.col("y1").alias("py"))
+    e = edge_table(polygons, keys)
+    own = F.struct(*keys)
+    corners = (e.select(own.alias("a"), F.col("x1").alias("px"), F.col("y1").alias("py"))
                .distinct()
                .withColumns({"tx": _tile(F.col("px"), tile), "ty": _tile(F.col("py"), tile)}))
     span = lambda p, q: F.explode(F.sequence(
         _tile(F.least(p, q) - tolerance, tile), _tile(F.greatest(p, q) + tolerance, tile)))
-    filed = (e.select(F.col(key).alias("b"), "x1", "y1", "x2", "y2")
+    filed = (e.select(own.alias("b"), "x1", "y1", "x2", "y2")
              .withColumn("tx", span("x1", "x2")).withColumn("ty", span("y1", "y2")))
     near = corners.join(filed, ["tx", "ty"]).filter("a <> b")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -147,16 +172,17 @@ def adjacency(polygons: DataFrame, key: str, tile: float, tolerance: float = 1e-
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     ox, oy = F.col("px") - (F.col("x1") + t * dx), F.col("py") - (F.col("y1") + t * dy)
     touch = near.filter(ox * ox + oy * oy <= tolerance * tolerance).select("a", "b").distinct()
-    return (touch.select(F.explode(F.array(
-        F.struct(F.col("a").alias("entity"), F.col("b").alias("neighbor")),
-        F.struct(F.col("b").alias("entity"), F.col("a").alias("neighbor")))).alias("p"))
-        .select("p.*").distinct())
+    pairs = touch.select(F.explode(F.array(
+        F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.*").distinct()
+    return pairs.select(*[F.col(f"a.{k}").alias(k) for k in keys],
+                        *[F.col(f"b.{k}").alias(n) for k, n in zip(keys, neighbour_keys(keys))])
 
 
-def asymmetric_pairs(edges: DataFrame) -> DataFrame:
+def asymmetric_pairs(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pairs whose reverse is missing."""
-    back = edges.select(F.col("neighbor").alias("entity"), F.col("entity").alias("neighbor"))
-    return edges.join(back, ["entity", "neighbor"], "left_anti")
+    near = neighbour_keys(keys)
+    back = edges.select(*[F.col(n).alias(k) for k, n in zip(keys, near)], *[F.col(k).alias(n) for k, n in zip(keys, near)])
+    return edges.join(back, [*keys, *near], "left_anti")
 
 
 def cell_overlaps(polygons: DataFrame, keys: Sequence[str], resolution: float) -> DataFrame:

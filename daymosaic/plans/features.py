@@ -110,9 +110,9 @@ def features_trend(f: DataFrame, stems: Sequence[str] = tuple(STEMS.values())) -
 
 def features_neighbour(f: DataFrame, panel: DataFrame, edges: DataFrame,
                        own_history: bool = False) -> DataFrame:
-    """Eight adjacency columns joined by entity and date."""
+    """Eight adjacency columns joined by region, entity and date."""
     context = neighbour_context(panel, edges, STEMS, (1, 3, 7), own_history)
-    return f.join(context, ["entity", "date"], "left")
+    return f.join(context, ["region", "entity", "date"], "left")
 
 
 def interaction_pairs(source: Mapping[str, str] = STEMS) -> list[tuple[str, str, str, str]]:

@@ -13,6 +13,7 @@ from daymosaic.operators import neighbours as NB
 from daymosaic.operators import panel as P
 from daymosaic.operators import quality as Q
 from daymosaic.operators import spatial as S
+from daymosaic.operators.joins import lookup
 from daymosaic.session import materialise
 
 KEYS = ["region", "entity"]
@@ -27,7 +28,7 @@ def count_panel(events: DataFrame, polygons: DataFrame, years: Sequence[int], ti
     Filter, spatial join, partial count, zero fill: one chain, no action.
     """
     rows = events.filter(in_season("date", years, season))
-    placed = S.point_in_polygon(rows, polygons, KEYS, tile, "inner")
+    placed = S.point_in_polygon(rows, polygons, KEYS, tile, "inner", on_multiple="error")
     skel = P.skeleton(polygons, KEYS, season_dates(years, season))
     return with_date_parts(P.zero_fill(skel, P.daily_count(placed, DAY), DAY, ["event_count"]))
 
@@ -37,7 +38,7 @@ def metric_panel(events: DataFrame, polygons: DataFrame, years: Sequence[int], t
                  fill_means: bool = True) -> DataFrame:
     """The same with all metrics; ``fill_means=False`` leaves means NULL on empty days."""
     rows = events.filter(in_season("date", years, season))
-    placed = S.point_in_polygon(rows, polygons, KEYS, tile, "inner")
+    placed = S.point_in_polygon(rows, polygons, KEYS, tile, "inner", on_multiple="error")
     obs = P.event_metrics(placed, DAY, high=high, day=day, night=night)
     skel = P.skeleton(polygons, KEYS, season_dates(years, season))
     fill = P.COUNT_METRICS + P.SUM_METRICS + (P.MEAN_METRICS if fill_means else ())
@@ -69,7 +70,7 @@ def grid_panel(events: DataFrame, polygons: DataFrame, years: Sequence[int], res
     weights = S.overlap_weights(overlaps)
     mapping = materialise(S.assign_cells(overlaps, polygons, resolution, tile), "mapping")
     rows = events.filter(in_season("date", years, season))
-    placed = S.point_in_polygon(rows, polygons, KEYS, tile, "inner").drop("entity")
+    placed = S.point_in_polygon(rows, polygons, KEYS, tile, "inner", on_multiple="error").drop("entity")
     cell_days = materialise(
         NB.with_grid(placed, resolution).groupBy(*CELL, "date").agg(
             F.count(F.lit(1)).alias("event_count"), F.sum("measure").alias("measure_sum")),
@@ -102,8 +103,8 @@ def mapping_matches_panel(mapping: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def enrich_grid(grid: DataFrame, side: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Entity-day side values on every cell-day of the entity."""
-    return grid.join(side.select(*DAY, *values, F.lit(True).alias("side_matched")), DAY, "left").fillna(
+    """Entity-day side values on every cell-day of the entity; fails if the side repeats an entity-day."""
+    return lookup(grid, side.select(*DAY, *values, F.lit(True).alias("side_matched")), DAY).fillna(
         {"side_matched": False})
 
 

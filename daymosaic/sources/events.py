@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daymosaic.functions.text import strip
@@ -57,18 +57,35 @@ def classify_bodies(bodies: DataFrame, required: Sequence[str]) -> DataFrame:
         .when(missing, "missing_columns").otherwise("ok"))
 
 
-def parse_event_payloads(bodies: DataFrame, schema: str, required: Sequence[str]) -> DataFrame:
-    """Rows of the good bodies. The header gives each file's own column order."""
+# a comma outside quotes: an even number of quotes follows it
+COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def _cells(line: Column) -> Column:
+    """Cells of a CSV line, unquoted and stripped."""
+    return F.transform(F.split(line, COMMA, -1), lambda c: strip(F.regexp_replace(
+        F.regexp_replace(strip(c), '^"(.*)"$', "$1"), '""', '"')))
+
+
+def _lines(bodies: DataFrame, required: Sequence[str]) -> DataFrame:
+    """(source, line, cells, header) of the data lines of good bodies."""
     good = classify_bodies(bodies, required).filter("status = 'ok'")
     lines = F.split(strip(F.col("body")), "\r?\n")
-    header = F.transform(F.split(F.lower(F.element_at(lines, 1)), ","), lambda c: strip(c))
+    header = _cells(F.lower(F.element_at(lines, 1)))
     rows = good.select("source", header.alias("header"), F.explode(
         F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line")
     ).filter(strip("line") != "")
-    cells = F.map_from_arrays("header", F.transform(
-        F.split("line", ",", -1), lambda c: F.nullif(strip(c), F.lit(""))))
-    rows = rows.filter(F.size(F.split("line", ",", -1)) == F.size("header")).select(
-        "source", cells.alias("cells"))
+    return rows.withColumn("cells", _cells(F.col("line")))
+
+
+def parse_event_payloads(bodies: DataFrame, schema: str, required: Sequence[str]) -> DataFrame:
+    """Rows of the good bodies. The header gives each file's own column order.
+
+    Cells may be quoted. ``rejected_lines`` lists the lines that do not fit the header.
+    """
+    rows = _lines(bodies, required).filter(F.size("cells") == F.size("header"))
+    cells = F.map_from_arrays("header", F.transform("cells", lambda c: F.nullif(c, F.lit(""))))
+    rows = rows.select("source", cells.alias("cells"))
     out = []
     for field in schema.split(","):
         name, kind = field.strip().split(" ")
@@ -76,5 +93,11 @@ def parse_event_payloads(bodies: DataFrame, schema: str, required: Sequence[str]
     return rows.select("source", *out)
 
 
+def rejected_lines(bodies: DataFrame, required: Sequence[str]) -> DataFrame:
+    """(source, status, line) of lines with more or fewer cells than their header."""
+    bad = _lines(bodies, required).filter(F.size("cells") != F.size("header"))
+    return bad.select("source", F.lit("bad_line").alias("status"), "line")
+
+
 def rejected_bodies(bodies: DataFrame, required: Sequence[str]) -> DataFrame:
     return classify_bodies(bodies, required).filter("status <> 'ok'").select("source", "status")

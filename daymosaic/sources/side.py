@@ -18,7 +18,7 @@ def parse_parameter_maps(bodies: DataFrame, params: Sequence[str],
     """Rows (source, date, params...) from parameter -> date -> value maps.
 
     Bodies whose parameters do not all carry the same dates are left out;
-    ``map_rejects`` lists them.
+    ``map_rejects`` lists them. A value that is no number becomes NULL.
     """
     ok = _maps(bodies, params).filter("same_dates")
     days = ok.select("source", "m", F.explode(F.map_keys(F.element_at("m", params[0]))).alias("k"))
@@ -29,7 +29,7 @@ def parse_parameter_maps(bodies: DataFrame, params: Sequence[str],
 
 
 def _maps(bodies: DataFrame, params: Sequence[str]) -> DataFrame:
-    m = F.from_json("body", "struct<properties:struct<parameter:map<string,map<string,double>>>>")
+    m = F.from_json("body", "struct<properties:struct<parameter:map<string,map<string,string>>>>")
     df = bodies.select("source", m["properties"]["parameter"].alias("m"))
     first = F.map_keys(F.try_element_at(F.col("m"), F.lit(params[0])))
     same = F.col("m").isNotNull()

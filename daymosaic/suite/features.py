@@ -123,7 +123,7 @@ def features_trend(spark, d):
 
 
 # entities of one region are each other's neighbours
-define("edges", """SELECT a.entity, b.entity AS neighbor FROM ent a JOIN ent b
+define("edges", """SELECT a.region, a.entity, b.region AS neighbor_region, b.entity AS neighbor FROM ent a JOIN ent b
   ON a.region = b.region AND a.entity <> b.entity""", "ent")
 
 
@@ -131,12 +131,13 @@ def edges(spark, d):
     e = entities(spark, d)
     a = e.select("region", "entity")
     b = e.select("region", F.col("entity").alias("neighbor"))
-    return a.join(b, "region").filter("entity <> neighbor").select("entity", "neighbor")
+    return a.join(b, "region").filter("entity <> neighbor").select(
+        "region", "entity", F.col("region").alias("neighbor_region"), "neighbor")
 
 
-define("near", """SELECT e.entity, p.date, avg(p.event_count) AS neighbor_event_current,
+define("near", """SELECT e.region, e.entity, p.date, avg(p.event_count) AS neighbor_event_current,
   avg(p.measure_sum) AS neighbor_measure_current FROM panel p JOIN edges e ON e.neighbor = p.entity
-  GROUP BY e.entity, p.date""", "panel", "edges")
+    AND e.neighbor_region = p.region GROUP BY e.region, e.entity, p.date""", "panel", "edges")
 
 
 @query("neighbour_mean", "SELECT * FROM near")
@@ -148,7 +149,7 @@ def neighbour_mean_(spark, d):
 
 NEAR_LAGS = ", ".join(f"n{k}.neighbor_event_current AS neighbor_event_lag_{k}d, "
                       f"n{k}.neighbor_measure_current AS neighbor_measure_lag_{k}d" for k in (1, 3, 7))
-NEAR_JOINS = " ".join(f"LEFT JOIN near n{k} ON n{k}.entity = n.entity AND n{k}.date = n.date - {k}"
+NEAR_JOINS = " ".join(f"LEFT JOIN near n{k} ON n{k}.region = n.region AND n{k}.entity = n.entity AND n{k}.date = n.date - {k}"
                       for k in (1, 3, 7))
 define("near_lags", f"SELECT n.*, {NEAR_LAGS} FROM near n {NEAR_JOINS}", "near")
 
@@ -161,7 +162,7 @@ def neighbour_context_(spark, d):
 @query("neighbour_context_own_history", f"""SELECT n.*, {', '.join(
     f"b{k}.event_count AS neighbor_event_lag_{k}d, b{k}.measure_sum AS neighbor_measure_lag_{k}d"
     for k in (1, 3, 7))} FROM near n {' '.join(
-    f'LEFT JOIN panel b{k} ON b{k}.entity = n.entity AND b{k}.date = n.date - {k}'
+    f'LEFT JOIN panel b{k} ON b{k}.region = n.region AND b{k}.entity = n.entity AND b{k}.date = n.date - {k}'
     for k in (1, 3, 7))}""")
 def neighbour_context_own_history(spark, d):
     return neighbour_context(shared_panel(spark, d, "event_count", "measure_sum"), edges(spark, d), FT.STEMS,
@@ -180,7 +181,7 @@ def interaction_sql() -> str:
 
 
 @query("features_interaction", f"""SELECT l.region, l.entity, l.date, {interaction_sql()}
-  FROM lagged l LEFT JOIN near_lags n ON l.entity = n.entity AND l.date = n.date
+  FROM lagged l LEFT JOIN near_lags n ON l.region = n.region AND l.entity = n.entity AND l.date = n.date
   WHERE l.event_lag_14d IS NOT NULL""")
 def features_interaction(spark, d):
     p = shared_panel(spark, d, "event_count", "measure_sum")
@@ -190,7 +191,7 @@ def features_interaction(spark, d):
 
 @query("features_neighbour", """SELECT l.region, l.entity, l.date, n.neighbor_event_current,
   n.neighbor_event_lag_1d, n.neighbor_event_lag_7d, n.neighbor_measure_lag_3d FROM lagged l
-  LEFT JOIN near_lags n ON l.entity = n.entity AND l.date = n.date
+  LEFT JOIN near_lags n ON l.region = n.region AND l.entity = n.entity AND l.date = n.date
   WHERE l.event_lag_14d IS NOT NULL""")
 def features_neighbour(spark, d):
     p = shared_panel(spark, d, "event_count", "measure_sum")

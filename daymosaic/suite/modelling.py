@@ -120,7 +120,7 @@ def impute_apply(spark, d):
     return PR.fit_imputer(p, ["p_size"], ["p_type"]).transform(p)
 
 
-@query("scale_features", """WITH s AS (SELECT avg(event_count) AS m, stddev_samp(event_count) AS sd FROM mlrows
+@query("scale_features", """WITH s AS (SELECT avg(event_count) AS m, stddev_pop(event_count) AS sd FROM mlrows
     WHERE split = 'train')
   SELECT region, entity, date, round((event_count - m) / sd, 6) AS scaled FROM mlrows, s WHERE split = 'test'""")
 def scale_features(spark, d):
@@ -194,8 +194,9 @@ def specialist(spark, d):
         train = M.balance_weights(calm["train"], "region") if weighted else calm["train"]
         model = forest(train, "y_true", "weight" if weighted else None)
         best = M.pick_threshold(model.score(calm["val"]).withColumn("arm", F.lit(name)), ["arm"], "score", "y_true")
-        p = model.score(calm["test"]).withColumn("arm", F.lit(name)).join(best.select("arm", "threshold"), "arm")
-        p = p.select("arm", "y_true", "score", (F.col("score") >= F.col("threshold")).cast("int").alias("y_pred"))
+        cut = best.select("threshold").scalar()  # one number for the arm
+        p = model.score(calm["test"]).withColumn("arm", F.lit(name))
+        p = p.select("arm", "y_true", "score", (F.col("score") >= cut).cast("int").alias("y_pred"))
         p = materialise(p, "specialist")
         out = p if out is None else out.unionByName(p)
     return EV.full_metrics(out, ["arm"], "score", "y_true", "y_pred")

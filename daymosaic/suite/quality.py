@@ -195,9 +195,9 @@ def tables_equal_except(spark, d):
 
 
 INTERACT = " UNION ALL ".join(f"""SELECT '{product}' AS name, l.{own} * n.{near} AS v, n.{near} * l.{own} AS w
-    FROM lagged l LEFT JOIN near_lags n ON n.entity = l.entity AND n.date = l.date
+    FROM lagged l LEFT JOIN near_lags n ON n.region = l.region AND n.entity = l.entity AND n.date = l.date
   UNION ALL SELECT '{ratio}', n.{near} / (l.{own} + 1), n.{near} / (l.{own} + 1) FROM lagged l
-    LEFT JOIN near_lags n ON n.entity = l.entity AND n.date = l.date"""
+    LEFT JOIN near_lags n ON n.region = l.region AND n.entity = l.entity AND n.date = l.date"""
                               for product, ratio, own, near in FT.interaction_pairs())
 
 

@@ -69,7 +69,7 @@ REQUIRED = ("event_id", "ts", "user_id", "value")
 
 
 def bodies(spark, d):
-    """One downloaded body per event: good, error text, empty, or a column short."""
+    """One downloaded body per event: good, error text, empty, a column short, or with a quoted comma and a broken line."""
     e = table(spark, d, "events")
     head = "value,event_id,user_id,ts"
     line = F.concat_ws(",", F.col("value").cast("string"), F.col("event_id").cast("string"),
@@ -77,33 +77,41 @@ def bodies(spark, d):
     body = (F.when(F.col("event_type") == "error", "Error: quota exceeded\n")
             .when(F.col("event_type") == "view", "  \n")
             .when(F.col("user_id") % 10 == 0, F.concat(F.lit("value,event_id\n"), F.lit("1,2\n")))
+            .when(F.col("user_id") % 10 == 1, F.concat(F.lit(head + "\n"), line, F.lit('\n"1,5",2,3,2024-01-01\n7,8\n')))
             .otherwise(F.concat(F.lit(head + "\n"), line, F.lit("\n"))))
     return e.select(F.col("event_id").cast("string").alias("source"), body.alias("body"))
 
 
 @query("parse_event_payloads", """SELECT CAST(event_id AS VARCHAR) AS source, event_id,
   CAST(ts AS DATE) AS ts, user_id, value FROM events
-  WHERE event_type NOT IN ('error', 'view') AND user_id % 10 <> 0""")
+  WHERE event_type NOT IN ('error', 'view') AND user_id % 10 <> 0
+  UNION ALL SELECT CAST(event_id AS VARCHAR), 2, DATE '2024-01-01', 3, NULL FROM events
+  WHERE event_type NOT IN ('error', 'view') AND user_id % 10 = 1""")
 def parse_event_payloads(spark, d):
     return SE.parse_event_payloads(bodies(spark, d), "event_id bigint,ts date,user_id bigint,value double",
                                    REQUIRED)
 
 
 @query("rejected_payloads", """SELECT CAST(event_id AS VARCHAR) AS source, CASE event_type
-  WHEN 'error' THEN 'error' WHEN 'view' THEN 'empty' ELSE 'missing_columns' END AS status FROM events
-  WHERE event_type IN ('error', 'view') OR user_id % 10 = 0""")
+  WHEN 'error' THEN 'error' WHEN 'view' THEN 'empty' ELSE CASE WHEN user_id % 10 = 1 THEN 'bad_line'
+    ELSE 'missing_columns' END END AS status, CASE WHEN event_type NOT IN ('error', 'view') AND user_id % 10 = 1
+    THEN '7,8' END AS line FROM events WHERE event_type IN ('error', 'view') OR user_id % 10 IN (0, 1)""")
 def rejected_payloads(spark, d):
-    return SE.rejected_bodies(bodies(spark, d), REQUIRED)
+    b = bodies(spark, d)
+    return SE.rejected_bodies(b, REQUIRED).withColumn("line", F.lit(None).cast("string")).unionByName(
+        SE.rejected_lines(b, REQUIRED))
 
 
 def map_bodies(spark, d):
-    """Per order a parameter -> date -> value document; some lack a date, some hold -999."""
+    """Per order a parameter -> date -> value document; some lack a date, some hold -999 or a text."""
     o = table(spark, d, "orders")
     key = lambda k: F.date_format(F.date_add("o_orderdate", k), "yyyyMMdd")
     price = F.when(F.col("o_orderkey") % 7 == 0, -999.0).otherwise(F.col("o_totalprice"))
-    first = F.create_map(key(0), price, key(1), F.col("o_custkey").cast("double"))
-    short = F.create_map(key(0), F.lit(1.0))
-    full = F.create_map(key(0), F.lit(1.0), key(1), F.lit(2.0))
+    text = lambda c: c.cast("string")
+    first = F.create_map(key(0), F.when(F.col("o_orderkey") % 9 == 0, "n/a").otherwise(text(price)),
+                         key(1), text(F.col("o_custkey").cast("double")))
+    short = F.create_map(key(0), F.lit("1.0"))
+    full = F.create_map(key(0), F.lit("1.0"), key(1), F.lit("2.0"))
     second = F.when(F.col("o_orderkey") % 10 == 0, short).otherwise(full)
     doc = F.to_json(F.struct(F.struct(F.create_map(
         F.lit("T2M"), first, F.lit("RH2M"), second).alias("parameter")).alias("properties")))
@@ -112,7 +120,7 @@ def map_bodies(spark, d):
 
 @query("parse_parameter_maps", """SELECT CAST(o_orderkey AS VARCHAR) AS source,
     CAST(o_orderdate AS DATE) + k AS date,
-    CASE WHEN k = 1 THEN o_custkey::DOUBLE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS "T2M",
+    CASE WHEN k = 1 THEN o_custkey::DOUBLE WHEN o_orderkey % 7 = 0 OR o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END AS "T2M",
     (1 + k)::DOUBLE AS "RH2M" FROM orders, (VALUES (0), (1)) t(k) WHERE o_orderkey % 10 <> 0""")
 def parse_parameter_maps(spark, d):
     return SS.parse_parameter_maps(map_bodies(spark, d), ["T2M", "RH2M"])

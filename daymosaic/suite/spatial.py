@@ -121,22 +121,24 @@ def interior_points(spark, d):
     return S.interior_points(polygons(spark, d), KEYS)
 
 
-@query("adjacency", """WITH v AS (SELECT DISTINCT entity, x1 AS px, y1 AS py FROM polyedge),
-  t AS (SELECT DISTINCT v.entity AS a, e.entity AS b FROM v JOIN polyedge e ON v.entity <> e.entity
+@query("adjacency", """WITH v AS (SELECT DISTINCT region, entity, x1 AS px, y1 AS py FROM polyedge),
+  t AS (SELECT DISTINCT v.region AS ra, v.entity AS a, e.region AS rb, e.entity AS b FROM v JOIN polyedge e
+    ON (v.region <> e.region OR v.entity <> e.entity)
     AND px BETWEEN least(x1, x2) - 1e-9 AND greatest(x1, x2) + 1e-9
     AND py BETWEEN least(y1, y2) - 1e-9 AND greatest(y1, y2) + 1e-9
     AND abs((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) <= 1e-9)
-  SELECT a AS entity, b AS neighbor FROM t UNION SELECT b, a FROM t""")
+  SELECT ra AS region, a AS entity, rb AS neighbor_region, b AS neighbor FROM t UNION SELECT rb, b, ra, a FROM t""")
 def adjacency(spark, d):
-    return S.adjacency(polygons(spark, d), "entity", TILE)
+    return S.adjacency(polygons(spark, d), KEYS, TILE)
 
 
-@query("asymmetric_pairs", """SELECT a.entity, b.entity AS neighbor FROM ent a JOIN ent b
+@query("asymmetric_pairs", """SELECT a.region, a.entity, b.region AS neighbor_region, b.entity AS neighbor FROM ent a JOIN ent b
   ON b.n_nationkey = a.n_nationkey + 1""")
 def asymmetric_pairs(spark, d):
     e = entities(spark, d)
-    nxt = e.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("entity").alias("neighbor"))
-    return S.asymmetric_pairs(e.join(nxt, "n_nationkey").select("entity", "neighbor"))
+    nxt = e.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("region").alias("neighbor_region"),
+                   F.col("entity").alias("neighbor"))
+    return S.asymmetric_pairs(e.join(nxt, "n_nationkey").drop("n_nationkey"), KEYS)
 
 
 def my_sql(lat: str) -> str:

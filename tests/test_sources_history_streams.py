@@ -32,6 +32,19 @@ def test_bodies_are_classified_and_parsed(spark, tmp_path):
         ("good", 3, 1.5, 2.0), ("good", None, None, 9.0)]
 
 
+def test_no_payload_line_is_lost(spark):
+    body = 'lat,n,note\n1,2,"a,b"\n1,2\n"3",4,"say ""x"""\n5,6,7,8\n'
+    b = spark.createDataFrame([("s", body)], "source string, body string")
+    assert rows(SE.parse_event_payloads(b, "lat double,note string", ["lat"])) == [("s", 1.0, "a,b"), ("s", 3.0, 'say "x"')]
+    assert rows(SE.rejected_lines(b, ["lat"])) == [("s", "bad_line", "1,2"), ("s", "bad_line", "5,6,7,8")]
+
+
+def test_a_text_value_is_null_and_no_reject(spark):
+    doc = '{"properties":{"parameter":{"T":{"20240101":"x","20240102":1.5},"R":{"20240101":3,"20240102":4}}}}'
+    b = spark.createDataFrame([("s", doc)], "source string, body string")
+    assert rows(SS.parse_parameter_maps(b, ["T", "R"]), "T", "R") == [(1.5, 4.0), (None, 3.0)]
+
+
 def test_parameter_maps_need_equal_dates(spark):
     ok = '{"properties":{"parameter":{"T":{"20240101":1.0,"20240102":-999},"R":{"20240101":3,"20240102":4}}}}'
     bad = '{"properties":{"parameter":{"T":{"20240101":1.0},"R":{"20240103":3}}}}'

@@ -109,9 +109,9 @@ def test_adjacency_shares_edges_corners_and_t_junctions(spark):
     shapes = spark.createDataFrame([
         ("r", "left", [box(0.0, 0.0, 1.0, 2.0)]), ("r", "low", [box(1.0, 0.0, 2.0, 0.7)]),
         ("r", "corner", [box(2.0, 0.7, 3.0, 2.0)]), ("r", "far", [box(9.0, 9.0, 10.0, 10.0)])], DDL)
-    got = rows(S.adjacency(shapes, "entity", 0.5))
+    got = rows(S.adjacency(shapes, KEYS, 0.5), "entity", "neighbor")
     assert got == [("corner", "low"), ("left", "low"), ("low", "corner"), ("low", "left")]
-    assert S.asymmetric_pairs(S.adjacency(shapes, "entity", 0.5)).count() == 0
+    assert S.asymmetric_pairs(S.adjacency(shapes, KEYS, 0.5), KEYS).count() == 0
 
 
 def test_projection_round_trip(spark):
@@ -142,12 +142,14 @@ def test_moore_neighbours_by_hand(spark):
 
 
 def test_neighbour_lag_is_the_neighbours_past(spark):
-    p = spark.createDataFrame([(e, dt.date(2024, 1, d), n * d, float(n)) for e, n in (("a", 1), ("b", 10), ("c", 100))
-                               for d in (1, 2)], "entity string, date date, event_count long, measure_sum double")
-    edges = spark.createDataFrame([(a, b) for a in "abc" for b in "abc" if a != b], "entity string, neighbor string")
+    p = spark.createDataFrame([(r, e, dt.date(2024, 1, d), k * n * d, float(n)) for r, k in (("r", 1), ("s", 7))
+                               for e, n in (("a", 1), ("b", 10), ("c", 100)) for d in (1, 2)],
+                              "region string, entity string, date date, event_count long, measure_sum double")
+    edges = spark.createDataFrame([(r, a, r, b) for r in "rs" for a in "abc" for b in "abc" if a != b],
+                                  "region string, entity string, neighbor_region string, neighbor string")
     names = {"event_count": "event"}
-    near = NB.neighbour_context(p, edges, names, (1,)).filter("entity = 'a' and date = '2024-01-02'").first()
-    own = NB.neighbour_context(p, edges, names, (1,), own_history=True).filter("entity = 'a' and date = '2024-01-02'").first()
+    near = NB.neighbour_context(p, edges, names, (1,)).filter("region = 'r' and entity = 'a' and date = '2024-01-02'").first()
+    own = NB.neighbour_context(p, edges, names, (1,), own_history=True).filter("region = 'r' and entity = 'a' and date = '2024-01-02'").first()
     assert (near["neighbor_event_current"], near["neighbor_event_lag_1d"], own["neighbor_event_lag_1d"]) == (110, 55, 1)
 
 
@@ -167,3 +169,20 @@ def test_geojson_reader_orients_and_finds_columns(spark, tmp_path):
     assert rows(PG.duplicate_codes(p).filter("code is not null")) == [("1", 2)]
     bad = {r["name"] for r in Q.failed(PG.polygon_checks(p, expected=3)).collect()}
     assert bad == {"no_missing"}
+
+
+def test_a_point_in_two_polygons(spark):
+    shapes = spark.createDataFrame([("r", "one", [box(0.0, 0.0, 2.0, 2.0)]), ("r", "two", [box(1.0, 0.0, 3.0, 2.0)])], DDL)
+    df = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 0.5), (2, 1.5, 0.5), (3, 9.0, 9.0)], "id int, lon double, lat double")
+    assert rows(S.point_in_polygon(df, shapes, KEYS, 1.0, on_multiple="first"), "id", "entity") == [
+        (1, "one"), (2, "one"), (2, "one"), (3, None)]
+    assert S.point_in_polygon(df, shapes, KEYS, 1.0, "inner").count() == 5
+    with pytest.raises(Exception, match="more than one polygon"):
+        S.point_in_polygon(df, shapes, KEYS, 1.0, "inner", on_multiple="error").collect()
+    clear = df.filter("id <> 2")
+    assert rows(S.point_in_polygon(clear, shapes, KEYS, 1.0, "inner", on_multiple="error"), "id", "entity") == [(1, "one")]
+
+
+def test_same_names_in_two_regions_are_apart(spark):
+    shapes = spark.createDataFrame([("r", "x", [box(0.0, 0.0, 1.0, 1.0)]), ("s", "x", [box(1.0, 0.0, 2.0, 1.0)])], DDL)
+    assert rows(S.adjacency(shapes, KEYS, 0.5)) == [("r", "x", "s", "x"), ("s", "x", "r", "x")]
