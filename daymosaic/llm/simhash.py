@@ -135,16 +135,22 @@ class Union:
             np.minimum.at(self.up, high, low)
 
 
-def link(x: np.ndarray, bits: int, union: Union) -> None:
-    """Join all pairs of distinct fingerprints x within ``bits``, dividing by vantage points first."""
+def blocks(x: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Positions to compare in full, dividing by vantage points first; every pair within ``bits`` is in one of them."""
     stack = [np.arange(len(x))]
     while stack:
         idx = stack.pop()
         v, r, share = (0, 0, 1.0) if len(idx) <= BLOCK else vantage(x[idx], bits)
-        if share <= 0.9:
-            d = distance(x[idx], np.uint64(v))
-            stack += [idx[d <= r], idx[d > r - bits]]
+        if share > 0.9:
+            yield idx
             continue
+        d = distance(x[idx], np.uint64(v))
+        stack += [idx[d <= r], idx[d > r - bits]]
+
+
+def link(x: np.ndarray, bits: int, union: Union) -> None:
+    """Join all pairs of distinct fingerprints x within ``bits``."""
+    for idx in blocks(x, bits):
         for i in range(0, len(idx), BLOCK):
             rows = idx[i:i + BLOCK]
             for j in range(i, len(idx), 8 * BLOCK):
@@ -153,6 +159,16 @@ def link(x: np.ndarray, bits: int, union: Union) -> None:
                 union.join(rows[a], cols[b])
 
 
+def dealt(placed: DataFrame, task: int) -> DataFrame:
+    """Rows with ``t``, the task (i, j) of their shard: a crowded shard is cut into k blocks by hash, and blocks i and j meet
+    in task (i, j), so each row has k copies."""
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / F.lit(task))).cast("int")
+    sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 0).select("shard", k.alias("k"))
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), "k").cast("int")
+    return placed.join(sizes, "shard").withColumn("own", own).select(*placed.columns, F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))).alias("t"))
+
+
 def stars(distinct: DataFrame, bits: int) -> DataFrame:
     """(fp, hub) for each fingerprint and each shard where it has others within reach; hubs may differ by shard."""
     spark, n = distinct.sparkSession, distinct.count()
@@ -168,13 +184,7 @@ def stars(distinct: DataFrame, bits: int) -> DataFrame:
                 yield batch([("shard", pa.int64()), ("fp", pa.int64())], pa.array(np.full(len(idx), shard)), pa.array(x[idx]))
 
     placed = materialise(distinct.select("fp").mapInArrow(send, "shard bigint, fp bigint"), "shards")
-    # A crowded shard is cut into k blocks by hash; blocks i and j meet in task (i, j), so each row has k copies.
-    k = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / F.lit(TASK))).cast("int")
-    sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", k.alias("k"))
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), "k").cast("int")
-    tasks = placed.join(sizes, "shard").withColumn("own", own).select(
-        "shard", "fp", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(
-            F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))).alias("t"))
+    tasks = dealt(placed, TASK)
 
     def compare(key, t):
         x = np.sort(t.column("fp").to_numpy())
@@ -227,12 +237,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str =
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without those of which a smaller id is in reach; all columns as they were.
 
-    Rows with a null id are kept. Rows that share an id are one document and leave one row.
+    ``found`` holds doc_id and component_id. Rows with a null id are kept. Rows that share an id are one document and
+    leave one row.
     """
-    found = materialise(near_duplicates(docs, id_col=id_col, **options), "components")
+    found = materialise(found.select("doc_id", "component_id"), "components")
     gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     left = docs.join(gone, docs[id_col].cast("bigint") == gone.gone, "left_anti")
     if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
