@@ -24,6 +24,8 @@ BUCKETS = 1 << 15
 EVIDENCE = 200
 #: Units of the level above that smooth a level's counts; prior of ``und``; least posterior that is accepted.
 UNITS, NONE_PRIOR, CONFIDENT = 20.0, 0.01, 0.5
+#: Share of the rows that makes a host or declared language hot.
+HOT = 1e-3
 #: A declared language is a class if it has this share of the sample.
 SHARE = 0.001
 UND = "und"
@@ -125,6 +127,20 @@ def page_evidence(pages: DataFrame) -> DataFrame:
         "doc", F.nullif("p.lang", F.lit("")).alias("page_declared"), F.nullif("p.host", F.lit("")).alias("page_host"))
 
 
+def join_hot(rows: DataFrame, values: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table of one row for each key, whose row counts are known.
+
+    Keys with over a HOT share of all rows are fewer than its inverse and are broadcast; the others are joined by
+    shuffle, none of them heavy.
+    """
+    total = sizes.agg(F.sum("size")).first()[0] or 0.0
+    hot = sizes.filter(F.col("size") > HOT * total).select(*keys)
+    few = materialise(values.join(F.broadcast(hot), keys, "left_semi"), "hot")
+    head = rows.join(F.broadcast(few), keys)
+    tail = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(values, keys)
+    return head.unionByName(tail)
+
+
 def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
              declared_col: str = "lang", host_col: str | None = "source") -> DataFrame:
     """doc_id, language, posterior, accepted, declared, host for every row.
@@ -172,9 +188,13 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc
     prior = level(["suffix", "domain", "host"], prior, "prior")
     said = rows.groupBy("declared").agg(*sums).select("declared", n.alias("n"))
     all_ = F.array(*map(F.lit, [float(v or 0.0) + 1.0 for v in hosts.agg(*again).first()]))
-    said = said.select("declared", F.when(F.col("declared") == "", F.array_repeat(F.lit(1.0), k)).otherwise(
+    said = said.select("declared", "n", F.when(F.col("declared") == "", F.array_repeat(F.lit(1.0), k)).otherwise(
         F.zip_with("n", all_, lambda x, t: (x + F.lit(0.5)) / t)).alias("said"))
-    fused = rows.join(prior, ["suffix", "domain", "host"]).join(said, "declared").withColumn("s", F.zip_with(
+    # a declared language is a class, or one of many odd values; hosts may be many and one may hold most rows
+    sizes = hosts.select("suffix", "domain", "host", sum((F.col(f"n{i}") for i in range(k)), F.lit(0.0)).alias("size"))
+    rows = join_hot(rows, prior, sizes, ["suffix", "domain", "host"])
+    said_sizes = said.select("declared", F.aggregate("n", F.lit(0.0), lambda a, x: a + x).alias("size"))
+    fused = join_hot(rows, said.drop("n"), said_sizes, ["declared"]).withColumn("s", F.zip_with(
         "ll", F.zip_with("prior", "said", lambda p, d: F.ln(p) + F.ln(d)), lambda a, b: a + b))
     top = F.array_max("s")
     z = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("s")))
