@@ -133,14 +133,21 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = GRADES, sample: int
     texts = id_text(texts, id_col, text_col)
     chosen = texts.join(F.broadcast(marked), texts.doc_id == marked.id).select("toxic", "text")  # bounded by ``sample``
 
+    def count(batches):
+        for b in slices(batches):
+            found = [features(x) for x in b.column("text").to_pylist()]
+            yield batch([("toxic", pa.int32()), ("names", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))],
+                        b.column("toxic"), [list(x) for x in found], [list(x.values()) for x in found])
+
     def run(t):
-        rows = [features(x) for x in t.column("text").to_pylist()]
+        rows = [dict(zip(a, n)) for a, n in zip(t.column("names").to_pylist(), t.column("counts").to_pylist())]
         toxic = t.column("toxic").to_numpy() > 0
         m = fit(rows, severity(rows, toxic, grades), grades)
         names = m.names + [None] * len(m.cuts)
         return pa.table({"name": pa.array(names, pa.string()), "value": np.concatenate([m.weights, m.cuts])})
 
-    got = chosen.withColumn("whole", F.lit("sample")).groupBy("whole").applyInArrow(run, "name string, value double").collect()
+    counted = chosen.mapInArrow(count, "toxic int, names array<string>, counts array<int>")
+    got = counted.withColumn("whole", F.lit("sample")).groupBy("whole").applyInArrow(run, "name string, value double").collect()
     if not got:
         return None
     return Ordinal([r["name"] for r in got if r["name"]], np.array([r["value"] for r in got if r["name"]]),
