@@ -90,26 +90,32 @@ def hash_uniform(*cols: Column | str) -> Column:
     re-run task draws the same number again.
     """
     text = F.concat_ws(":", *[_c(c).cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(2.0 ** 52)
+
+
+def poisson_one_edges() -> list[tuple[int, float]]:
+    """(k, P(weight <= k)) while a 52-bit draw can lie above."""
+    edges, term, total = [], 0.36787944117144233, 0.0
+    while total < 1.0 - 2.0 ** -52 and term > 2.0 ** -53:
+        total += term
+        edges.append((len(edges), total))
+        term /= len(edges)
+    return edges
 
 
 def poisson_one(u: Column) -> Column:
     """Poisson(1) weight for a uniform draw, by the inverse distribution function.
 
-    The draw is bound to a lambda variable, so that it is computed once and not
+    The chain goes on until what is left is below the draw's 52 bits. The draw is bound to a lambda variable, so that it is computed once and not
     again in every branch.
     """
-    edges, term, total = [], 0.36787944117144233, 0.0
-    for k in range(10):
-        total += term
-        edges.append((k, total))
-        term /= k + 1
+    edges = poisson_one_edges()
 
     def weight(x: Column) -> Column:
         out = None
         for k, edge in edges:
             out = F.when(x < edge, k) if out is None else out.when(x < edge, k)
-        return out.otherwise(10)
+        return out.otherwise(len(edges))
     return F.get(F.transform(F.array(u), weight), F.lit(0))
 
 

@@ -7,6 +7,10 @@ prefix sums run over the slots, a bounded number of rows per group, and only
 rows inside the same slot are sorted together. A slot depends on the value
 alone, so a recomputed task lands in the same slot. A group sorted downwards
 is passed with a falling position expression.
+
+Values crowded into few slots, as timestamps or ids of one magnitude, are
+spread again: a slot of over CROWDED rows is cut between its own least and
+largest position. The cuts are written down, so that retries agree.
 """
 
 from __future__ import annotations
@@ -16,7 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daymosaic.operators.joins import join_small
+from daymosaic.session import materialise
+
 SLOTS = 262_144
+CROWDED, CUTS = 1024, 65_536
 
 
 def logit_position(p: Column, descending: bool = False) -> Column:
@@ -44,26 +52,41 @@ def log_position(x: Column, descending: bool = False) -> Column:
 
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Column, position: Column,
-                   sums: Sequence[str]) -> DataFrame:
+                   sums: Sequence[str], refine: bool = False) -> DataFrame:
     """Add cum_<c> (up to and including the row) and total_<c> for each sum.
 
     ``df`` holds one row per (keys, sorted value). ``position`` must rise with
-    ``order`` and lie in [0, 1].
+    ``order`` and lie in [0, 1]. With ``refine`` crowded slots are cut again;
+    that reads ``df`` once more, so pass a stored table.
     """
     slot = F.least(F.floor(position * F.lit(float(SLOTS))).cast("bigint"), F.lit(SLOTS - 1))
     rows = df.withColumn("_slot", slot)
     by = list(keys)
-    slots = rows.groupBy(*by, "_slot").agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
+    inner = ["_slot"]
+    if refine:
+        rows, inner = _cut_again(rows.withColumn("_pos", position), by), ["_slot", "_sub"]
+    slots = rows.groupBy(*by, *inner).agg(*[F.sum(c).alias(f"_s_{c}") for c in sums])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy(*inner).rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select(
-        *by, "_slot", *[F.sum(f"_s_{c}").over(group).alias(f"total_{c}") for c in sums],
+        *by, *inner, *[F.sum(f"_s_{c}").over(group).alias(f"total_{c}") for c in sums],
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums])
-    inside = (Window.partitionBy(*by, "_slot").orderBy(order)
+    inside = (Window.partitionBy(*by, *inner).orderBy(order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.join(slots, [*by, "_slot"]).withColumns(
+    return rows.join(slots, [*by, *inner]).withColumns(
         {f"cum_{c}": F.col(f"_b_{c}") + F.sum(c).over(inside) for c in sums}
-    ).drop("_slot", *[f"_b_{c}" for c in sums])
+    ).drop(*inner, "_pos", *[f"_b_{c}" for c in sums])
+
+
+def _cut_again(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Add _sub, which rises with _pos inside a slot: 0 but in crowded slots."""
+    n = F.count(F.lit(1))
+    crowded = rows.groupBy(*by, "_slot").agg(n.alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi")).filter(
+        (F.col("_n") > CROWDED) & (F.col("_hi") > F.col("_lo")))
+    cuts = F.least(F.ceil(F.col("_n") / F.lit(CROWDED // 4)), F.lit(CUTS)).cast("double")
+    at = F.floor((F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * cuts)
+    sub = F.coalesce(F.least(at, cuts - 1).cast("bigint"), F.lit(0))
+    return join_small(rows, crowded, [*by, "_slot"]).withColumn("_sub", sub).drop("_n", "_lo", "_hi")
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -76,7 +99,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str,
     x = F.col(value).cast("double")
     counts = (df.filter(x.isNotNull()).groupBy(*keys, x.alias("_x"))
               .agg(F.count(F.lit(1)).alias("n")))
-    run = running_totals(counts, keys, F.col("_x"), log_position(F.col("_x")), ["n"])
+    run = running_totals(materialise(counts, "counts"), keys, F.col("_x"), log_position(F.col("_x")), ["n"], refine=True)
     lo_rank = F.col("cum_n") - F.col("n")
     aggs = []
     for i, p in enumerate(points):

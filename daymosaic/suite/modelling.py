@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from daymosaic.functions.features import above
+from daymosaic.functions.numeric import poisson_one_edges
 from daymosaic.modelling import evaluate as EV
 from daymosaic.modelling import learners as LN
 from daymosaic.modelling import prepare as PR
@@ -315,12 +316,7 @@ def side_swap_experiment(spark, d):
 
 
 REPS, SEED = 10, 11
-POISSON = []
-_t, _c = 0.36787944117144233, 0.0
-for _k in range(10):
-    _c += _t
-    POISSON.append(f"WHEN u < {_c!r}::DOUBLE THEN {_k}")
-    _t /= _k + 1
+POISSON = [f"WHEN u < {edge!r}::DOUBLE THEN {k}" for k, edge in poisson_one_edges()]
 BOOT_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
@@ -334,9 +330,9 @@ def boot_ap(m: str, src: str) -> str:
 
 
 @query("paired_bootstrap", f"""WITH r AS (SELECT region, y_true, y_pred AS pred_a, y_pred_b AS pred_b, score AS score_a,
-    score_b, k AS replicate, ('0x' || substr(md5('{SEED}:' || k || ':' || {" || ':' || ".join(BOOT_KEY)}), 1, 8))::BIGINT
-      / 4294967296.0::DOUBLE AS u FROM scored, range(1, {REPS + 1}) t(k)),
-  w AS (SELECT *, CASE {' '.join(POISSON)} ELSE 10 END AS w FROM r
+    score_b, k AS replicate, ('0x' || substr(md5('{SEED}:' || k || ':' || {" || ':' || ".join(BOOT_KEY)}), 1, 13))::BIGINT
+      / 4503599627370496.0::DOUBLE AS u FROM scored, range(1, {REPS + 1}) t(k)),
+  w AS (SELECT *, CASE {' '.join(POISSON)} ELSE {len(POISSON)} END AS w FROM r
     UNION ALL SELECT region, y_true, y_pred, y_pred_b, score, score_b, 0, 0, 1 FROM scored),
   f AS (SELECT region, replicate,
     2.0::DOUBLE * sum(w * y_true * pred_b) / (sum(w * y_true) + sum(w * pred_b))

@@ -136,3 +136,16 @@ def test_poisson_weights_have_mean_and_variance_one(spark):
     w = N.poisson_one(N.hash_uniform(F.lit(7), "id"))
     r = spark.range(20000).select(w.alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
     assert r[0] == pytest.approx(1.0, abs=0.03) and r[1] == pytest.approx(1.0, abs=0.05)
+
+
+@pytest.mark.parametrize("make", [lambda i: 1.7e9 + i, lambda i: 0.5 + i * 1e-9, lambda i: 1e5 + i / 1000])
+def test_values_of_one_magnitude_are_spread(spark, make):
+    from daymosaic.operators import running as R
+    xs = [make(i) for i in range(40_000)]
+    df = spark.createDataFrame([(x, 1) for x in xs], "x double, n long")
+    pos = R.log_position(F.col("x"))
+    slot = F.least(F.floor(pos * F.lit(float(R.SLOTS))).cast("bigint"), F.lit(R.SLOTS - 1))
+    cut = R._cut_again(df.withColumn("_slot", slot).withColumn("_pos", pos), [])
+    assert cut.groupBy("_slot", "_sub").count().agg(F.max("count")).first()[0] <= 2 * R.CROWDED
+    got = R.percentiles(df, [], "x", [0.25, 0.5]).first()
+    assert got["p25"] == pytest.approx(make(9999.75), rel=1e-12) and got["p50"] == pytest.approx(make(19999.5), rel=1e-12)
