@@ -29,6 +29,8 @@ CAPACITY = 2048
 END = 0
 #: Branch-and-bound nodes tried after the first descent; more effort, never other rows.
 NODES = 400
+#: Steps of the search for fillings at one node, and at all nodes. Where they run out, the first filling found serves.
+STEPS, ALL_STEPS = 1000, 300_000
 RUN = re.compile(r"\S{1000}|\s{200}")
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -92,8 +94,11 @@ def dominated(filling: list[tuple[int, int]], counts: dict[int, int], waste: int
     return any(a + b in free for i, a in enumerate(xs) for b in xs[i + 1:])
 
 
-def fillings(counts: dict[int, int], r: int, slack: int) -> Iterator[tuple[Filling, int]]:
-    """Undominated fillings of room r with their waste, which is at most ``slack``; the least waste first."""
+def fillings(counts: dict[int, int], r: int, slack: int, left_over: list[int]) -> Iterator[tuple[Filling, int]]:
+    """Undominated fillings of room r with their waste, which is at most ``slack``; the least waste first.
+
+    ``left_over`` holds the steps that are left for all nodes.
+    """
     if counts.get(r):
         yield ((r, 1),), 0
         return  # one piece that fills the room dominates every other filling
@@ -108,16 +113,26 @@ def fillings(counts: dict[int, int], r: int, slack: int) -> Iterator[tuple[Filli
             f = ((a, 1), (int(b), 1)) if a != b else ((a, 2),)
             seen.add(f)
             yield f, 0
-    reach = suffixes(lengths, counts, r)
+    reach, steps, spare = suffixes(lengths, counts, r), STEPS, None
     for waste in range(min(slack, r) + 1):
         if not reach[0] >> (r - waste) & 1:
             continue
         stack = [(0, r - waste, ())]
         while stack:
             i, left, chosen = stack.pop()
+            steps -= 1
+            left_over[0] -= 1
+            if steps < 0 or left_over[0] < 0 and steps < STEPS - 50:
+                if spare and not seen:
+                    yield spare
+                return
             if not left:
-                if chosen not in seen and not dominated(list(chosen), counts, waste):
-                    yield chosen, waste
+                if chosen not in seen:
+                    if dominated(list(chosen), counts, waste):
+                        spare = spare or (chosen, waste)
+                    else:
+                        seen.add(chosen)
+                        yield chosen, waste
                 continue
             if i == len(lengths) or not reach[i] >> left & 1:
                 continue
@@ -128,6 +143,7 @@ def fillings(counts: dict[int, int], r: int, slack: int) -> Iterator[tuple[Filli
 
 def complete(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Filling, int]]:
     """(filling, how many sequences) for all pieces of a histogram: the fewest sequences found."""
+    left_over = [ALL_STEPS]
     hist = {l: n for l, n in hist.items() if n}
     best = best_fit(hist, capacity)
     upper, lower = sum(m for _, m in best), lower_bound(hist, capacity)
@@ -146,7 +162,7 @@ def complete(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
         rest[l] -= 1
         if not rest[l]:
             del rest[l]
-        for f, waste in fillings(rest, capacity - l, max(0, min(slack, capacity))):
+        for f, waste in fillings(rest, capacity - l, max(0, min(slack, capacity)), left_over):
             whole = Counter(dict(f))
             whole[l] += 1
             m = min(counts[x] // k for x, k in whole.items())
@@ -157,8 +173,8 @@ def complete(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
 
     path: list[tuple[Filling, int]] = []
     stack = [expand(hist, 0)]
-    fails = 0
-    while stack and upper > lower and fails <= nodes:
+    fails, ended = 0, False
+    while stack and upper > lower and fails <= nodes and (left_over[0] > 0 or not ended):
         step = next(stack[-1], None)
         if step is None:
             stack.pop()
@@ -177,7 +193,7 @@ def complete(hist: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
         if (n := sum(k for _, k in path)) < upper:
             best, upper = list(path), n
         path.pop()
-        fails += 1
+        fails, ended = fails + 1, True
     return best
 
 
