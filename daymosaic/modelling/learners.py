@@ -16,22 +16,22 @@ from daymosaic.functions.numeric import logit
 from daymosaic.modelling.prepare import Imputer, encoder, fit_imputer
 from daymosaic.operators.joins import value_map
 
-# The published learner settings. The forest is bounded at the
-# deepest tree MLlib allows less its cost; see ``forest``.
+# The published learner settings. Published trees have no depth
+# bound; 30 is the deepest that MLlib allows.
 TREES, MIN_LEAF, SEED = 400, 2, 42
 ROUNDS, STEP = 400, 0.05
 HELPER_COLUMNS = ("rawPrediction", "probability", "prediction", "numeric__raw", "numeric__scaled", "numeric__scaled__population", "features")
 
 
-def forest(y: str, trees: int = TREES, depth: int = 14, weight: str | None = None) -> RandomForestClassifier:
+def forest(y: str, trees: int = TREES, depth: int = 30, weight: str | None = None) -> RandomForestClassifier:
     m = RandomForestClassifier(labelCol=y, featuresCol="features", numTrees=trees, maxDepth=depth,
                                minInstancesPerNode=MIN_LEAF, featureSubsetStrategy="sqrt", seed=SEED)
     return m.setWeightCol(weight) if weight else m
 
 
-def boosted(y: str, rounds: int = ROUNDS, depth: int = 5, weight: str | None = None) -> GBTClassifier:
+def boosted(y: str, rounds: int = ROUNDS, depth: int = 6, weight: str | None = None) -> GBTClassifier:
     m = GBTClassifier(labelCol=y, featuresCol="features", maxIter=rounds, stepSize=STEP, maxDepth=depth,
-                      subsamplingRate=0.8, seed=SEED)
+                      subsamplingRate=1.0, seed=SEED)
     return m.setWeightCol(weight) if weight else m
 
 

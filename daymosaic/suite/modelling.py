@@ -149,13 +149,13 @@ def boosted_trees(spark, d):
 @query("class_weight_totals", """WITH n AS (SELECT y_true, count(*) AS n FROM mlrows WHERE split = 'train' GROUP BY y_true),
   w AS (SELECT arm, y_true, n, CASE arm WHEN 'none' THEN 1.0 WHEN 'balanced'
       THEN (SELECT sum(n)::DOUBLE / count(*) FROM n) / n.n
-      WHEN 'weight_2' THEN CASE y_true WHEN 1 THEN 2.0 ELSE 1.0 END END AS weight
-    FROM n, (VALUES ('none'), ('balanced'), ('weight_2')) t(arm))
+      ELSE CASE y_true WHEN 1 THEN factor ELSE 1.0 END END AS weight
+    FROM n, (VALUES ('none', 1.0), ('balanced', 1.0), ('weight_1_5', 1.5), ('weight_2', 2.0), ('weight_3', 3.0)) t(arm, factor))
   SELECT arm, y_true, n, weight::DOUBLE AS weight FROM w""")
 def class_weight_totals(spark, d):
     train = PR.temporal_split(labelled(spark, d), SPLITS)["train"]
     out = None
-    for arm in ("none", "balanced", "weight_2"):
+    for arm in PR.CLASS_WEIGHTS:
         one = PR.class_weight(train, "y_true", PR.CLASS_WEIGHTS[arm]).groupBy("y_true").agg(
             F.count(F.lit(1)).alias("n"), F.max("class_weight").alias("weight")).withColumn("arm", F.lit(arm))
         out = one if out is None else out.unionByName(one)
@@ -168,7 +168,7 @@ def class_weight_arms(spark, d):
     f = ml_rows(spark, d)
     def arm(spec, train, y):
         return forest(PR.class_weight(train, y, spec), y, "class_weight")
-    arms = {a: partial(arm, s) for a, s in PR.CLASS_WEIGHTS.items() if a in ("none", "balanced", "weight_2")}
+    arms = {a: partial(arm, s) for a, s in PR.CLASS_WEIGHTS.items()}
     p = EV.run_arms(f, arms, [1], lambda h: target(f, h), lambda x: PR.temporal_split(x, SPLITS), DAY_KEYS,
                     run_folder(spark, "locks"))
     return EV.full_metrics(p, ["arm", "horizon"], "score", "y_true", "y_pred")
@@ -270,12 +270,12 @@ def feature_importance(spark, d):
 
 @query("arms_by_horizon")
 def arms_by_horizon(spark, d):
-    """Two feature sets over two horizons on one split."""
+    """Two feature sets over all horizons on one split."""
     f = ml_rows(spark, d)
     def arm(cols, train, y):
         return LN.fit(train, cols, CATEGORICAL, LN.forest(y, TREES, DEPTH))
     arms = {"base": partial(arm, NUMERIC[:6]), "with_history": partial(arm, NUMERIC)}
-    p = EV.run_arms(f, arms, [1, 7], lambda h: target(f, h), lambda x: PR.temporal_split(x, SPLITS), DAY_KEYS,
+    p = EV.run_arms(f, arms, L.DEFAULT_HORIZONS, lambda h: target(f, h), lambda x: PR.temporal_split(x, SPLITS), DAY_KEYS,
                     run_folder(spark, "locks"))
     return EV.full_metrics(p, ["arm", "horizon"], "score", "y_true", "y_pred")
 
