@@ -149,3 +149,41 @@ def test_values_of_one_magnitude_are_spread(spark, make):
     assert cut.groupBy("_slot", "_sub").count().agg(F.max("count")).first()[0] <= 2 * R.CROWDED
     got = R.percentiles(df, [], "x", [0.25, 0.5]).first()
     assert got["p25"] == pytest.approx(make(9999.75), rel=1e-12) and got["p50"] == pytest.approx(make(19999.5), rel=1e-12)
+
+
+def test_rows_do_not_move_to_meet_a_small_aggregate(spark):
+    """Row weights and per-key rates: broadcast after a count, whatever the session's threshold says."""
+    from daymosaic.modelling.prepare import class_weight
+    from daymosaic.operators import joins as J
+    df = spark.range(2000).select((F.col("id") % 3).alias("region"), (F.col("id") % 2).cast("int").alias("y"))
+    rates = df.groupBy("region").agg(F.avg("y").alias("rate"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (M.balance_weights(df, "region"), J.value_map(df, rates, ["region"], "rate", 0.0, "v"),
+                    class_weight(df, "y", "balanced")):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and out.count() == 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_repeated_key_fails_and_null_keys_do_not(spark):
+    from daymosaic.operators import joins as J
+    facts = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    good = spark.createDataFrame([(1, "x"), (None, "y"), (None, "z")], "k int, w string")
+    assert rows(J.lookup(facts, good, ["k"]), "v", "w") == [("a", "x"), ("b", None), ("c", None)]
+    bad = spark.createDataFrame([(1, "x"), (1, "y")], "k int, w string")
+    for make in (lambda: J.lookup(facts, bad, ["k"]), lambda: J.join_one_to_one(facts, bad, ["k"]),
+                 lambda: J.align_models(bad, bad, ["k"], ["w"], ("_a", "_b"))):
+        with pytest.raises(Exception, match="key is not unique"):
+            make().collect()
+
+
+def test_population_deviation_scales(spark):
+    from pyspark.ml.functions import vector_to_array
+    from daymosaic.modelling.prepare import encoder
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 6)], "x double")
+    got = [r[0] for r in encoder(["x"], [], scale=True).fit(df).transform(df).select(vector_to_array("features")[0]).collect()]
+    x = np.array([1.0, 2, 3, 6])
+    assert np.allclose(got, (x - x.mean()) / x.std())
