@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from daymosaic.operators import aggregates as A
 from daymosaic.operators import lags as L
 from daymosaic.operators import panel as P
-from daymosaic.suite.base import (DAY_KEYS, KEYS, YEARS, define, entities, events, observed,
+from daymosaic.suite.base import (DAY_KEYS, KEYS, YEARS, years, define, entities, events, observed,
                                   panel, query, scored)
 
 D = "::DOUBLE"
@@ -181,7 +181,7 @@ def split_summary(spark, d):
   FROM j, (VALUES ('event_count'), ('measure_sum'), ('measure_mean')) t(c) GROUP BY c""")
 def null_profile(spark, d):
     from daymosaic.functions.calendar import season_dates
-    skel = P.skeleton(entities(spark, d), KEYS, season_dates(YEARS))
+    skel = P.skeleton(entities(spark, d), KEYS, season_dates(years(spark, d)))
     j = skel.join(observed(spark, d), DAY_KEYS, "left")
     return A.null_profile(j, ["event_count", "measure_sum", "measure_mean"])
 

@@ -25,7 +25,7 @@ from daymosaic.session import materialise
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-YEARS = tuple(range(1995, 2002))
+YEARS = tuple(range(1995, 2002))  # only where a report's columns must be known beforehand
 KEYS = ["region", "entity"]
 DAY_KEYS = ["region", "entity", "date"]
 ROW_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate",
@@ -68,9 +68,16 @@ def events(spark, d) -> DataFrame:
                     "l_shipdate", "l_extendedprice"))
 
 
+def years(spark, d) -> tuple[int, ...]:
+    """The seasons from the table's first to its last date."""
+    y = F.year("l_shipdate")
+    first, last = table(spark, d, "lineitem").agg(F.min(y), F.max(y)).first()
+    return tuple(range(first, last + 1)) if first is not None else ()
+
+
 def season_events(spark, d) -> DataFrame:
     """Season rows only; the date ranges reach the Parquet scan."""
-    return events(spark, d).filter(in_season(F.col("l_shipdate").cast("date"), YEARS))
+    return events(spark, d).filter(in_season(F.col("l_shipdate").cast("date"), years(spark, d)))
 
 
 def observed(spark, d) -> DataFrame:
@@ -81,7 +88,7 @@ def observed(spark, d) -> DataFrame:
 
 def panel(spark, d) -> DataFrame:
     """Zero-filled, every metric (the first fill policy)."""
-    skel = P.skeleton(entities(spark, d), KEYS, season_dates(YEARS))
+    skel = P.skeleton(entities(spark, d), KEYS, season_dates(years(spark, d)))
     return P.zero_fill(skel, observed(spark, d), DAY_KEYS,
                        P.COUNT_METRICS + P.SUM_METRICS + P.MEAN_METRICS)
 
@@ -96,14 +103,14 @@ def shared_panel(spark, d, *metrics: str) -> DataFrame:
 def side(spark, d) -> DataFrame:
     """Daily order series per entity on the panel calendar."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    daily = (o.filter(in_season(F.col("o_orderdate").cast("date"), YEARS))
+    daily = (o.filter(in_season(F.col("o_orderdate").cast("date"), years(spark, d)))
              .join(c, o.o_custkey == c.c_custkey)
              .join(entities(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
              .groupBy("region", "entity", F.col("o_orderdate").cast("date").alias("date"))
              .agg(F.round(F.sum("o_totalprice"), 2).alias("side_value"),
                   F.count(F.lit(1)).alias("side_count"),
                   F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("side_high")))
-    skel = P.skeleton(entities(spark, d), KEYS, season_dates(YEARS))
+    skel = P.skeleton(entities(spark, d), KEYS, season_dates(years(spark, d)))
     return P.zero_fill(skel, daily, DAY_KEYS, ["side_value", "side_count", "side_high"])
 
 
@@ -137,8 +144,9 @@ PRELUDE = {
       l.l_suppkey, l.l_linenumber, l.l_shipdate, l.l_extendedprice
       FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
       JOIN ent e ON s.s_nationkey = e.n_nationkey""",
-    "cal": """SELECT CAST(g AS DATE) AS date FROM generate_series(DATE '1995-10-01',
-      DATE '2001-11-30', INTERVAL 1 DAY) t(g) WHERE month(g) IN (10, 11)""",
+    "cal": """SELECT CAST(g AS DATE) AS date FROM (SELECT make_date(min(year(l_shipdate)), 10, 1) AS first_day,
+      make_date(max(year(l_shipdate)), 11, 30) AS last_day FROM lineitem) r,
+      generate_series(first_day, last_day, INTERVAL 1 DAY) t(g) WHERE month(g) IN (10, 11)""",
     "obs": """SELECT region, entity, date, count(*) AS event_count, sum(measure) AS measure_sum,
       avg(measure) AS measure_mean, max(measure) AS measure_max,
       count(*) FILTER (WHERE confidence = 'R') AS high_count,

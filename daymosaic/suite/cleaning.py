@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from daymosaic.functions import text
 from daymosaic.functions.calendar import horizon_days, in_season
 from daymosaic.operators import cleaning as C
-from daymosaic.suite.base import DAY_KEYS, KEYS, YEARS, events, panel, query, scored, table
+from daymosaic.suite.base import DAY_KEYS, KEYS, events, years, panel, query, scored, table
 
 # text dates, one form per event type, so that some rows do not parse
 RAW_DATE = """CASE WHEN event_type = 'error' THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d') END"""
@@ -66,7 +66,7 @@ def drop_null(spark, d):
 @query("in_season", """SELECT year(l_shipdate)::INTEGER AS year, count(*) AS n FROM lineitem
   WHERE month(l_shipdate) IN (10, 11) GROUP BY ALL""")
 def in_season_(spark, d):
-    line = table(spark, d, "lineitem").filter(in_season(F.to_date("l_shipdate"), YEARS))
+    line = table(spark, d, "lineitem").filter(in_season(F.to_date("l_shipdate"), years(spark, d)))
     return line.groupBy(F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 

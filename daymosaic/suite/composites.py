@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daymosaic.plans import panels as PL
-from daymosaic.suite.base import KEYS, YEARS, define, query, side, table
+from daymosaic.suite.base import KEYS, years, define, query, side, table
 from daymosaic.suite.spatial import RES, TILE, located, polygons
 
 def shapes(spark, d):
@@ -43,7 +43,7 @@ def detailed(spark, d):
 @query("count_panel", f"""SELECT k.region, k.entity, k.date, coalesce(event_count, 0) AS event_count, {PARTS}
   FROM skel k LEFT JOIN spotobs o ON o.region = k.region AND o.entity = k.entity AND o.date = k.date""")
 def count_panel(spark, d):
-    return PL.count_panel(located(spark, d), shapes(spark, d), YEARS, TILE)
+    return PL.count_panel(located(spark, d), shapes(spark, d), years(spark, d), TILE)
 
 
 METRIC = ", ".join(f"coalesce({c}, 0) AS {c}" for c in (
@@ -54,12 +54,12 @@ METRIC = ", ".join(f"coalesce({c}, 0) AS {c}" for c in (
 @query("metric_panel", f"""SELECT k.region, k.entity, k.date, {METRIC}, {PARTS} FROM skel k
   LEFT JOIN spotobs o ON o.region = k.region AND o.entity = k.entity AND o.date = k.date""")
 def metric_panel(spark, d):
-    return PL.metric_panel(detailed(spark, d), shapes(spark, d), YEARS, TILE,
+    return PL.metric_panel(detailed(spark, d), shapes(spark, d), years(spark, d), TILE,
                            F.col("confidence") == "R", F.col("daynight") == "O", F.col("daynight") == "F")
 
 
 def built(spark, d, resolution=RES):
-    return PL.grid_panel(located(spark, d), shapes(spark, d), YEARS, resolution, TILE)
+    return PL.grid_panel(located(spark, d), shapes(spark, d), years(spark, d), resolution, TILE)
 
 
 @query("grid_panel_cells", f"""SELECT k.region, k.grid_x, k.grid_y, k.cell_id, k.entity, k.date, k.event_count,

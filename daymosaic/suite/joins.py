@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from daymosaic.functions.calendar import day_of_season, season_dates
 from daymosaic.operators import joins as J
 from daymosaic.operators import panel as P
-from daymosaic.suite.base import (DAY_KEYS, KEYS, ROW_KEYS, YEARS, entities, events, observed,
+from daymosaic.suite.base import (DAY_KEYS, KEYS, ROW_KEYS, YEARS, entities, events, observed, years,
                                   panel, query, scored, side, table)
 from daymosaic.suite.base import define
 
 
 @query("calendar_skeleton", "SELECT region, entity, date FROM skel")
 def calendar_skeleton(spark, d):
-    return P.skeleton(entities(spark, d), KEYS, season_dates(YEARS))
+    return P.skeleton(entities(spark, d), KEYS, season_dates(years(spark, d)))
 
 
 @query("zero_fill_all", "SELECT * FROM panel")
@@ -32,7 +32,7 @@ define("panel_nulls", """SELECT k.region, k.entity, k.date, coalesce(event_count
 
 @query("zero_fill_counts_only", "SELECT * FROM panel_nulls")
 def zero_fill_counts_only(spark, d):
-    skel = P.skeleton(entities(spark, d), KEYS, season_dates(YEARS))
+    skel = P.skeleton(entities(spark, d), KEYS, season_dates(years(spark, d)))
     obs = observed(spark, d).select(*DAY_KEYS, "event_count", "measure_sum", "measure_mean",
                                     "measure_max", "high_count")
     return P.zero_fill(skel, obs, DAY_KEYS, ["event_count", "measure_sum", "high_count"])

@@ -10,7 +10,7 @@ from daymosaic.operators import neighbours as NB
 from daymosaic.operators import spatial as S
 from daymosaic.session import materialise
 from daymosaic.sources import polygons as PG
-from daymosaic.suite.base import KEYS, YEARS, define, entities, query, table
+from daymosaic.suite.base import KEYS, years, define, entities, query, table
 
 TILE = 0.5
 RES, COARSE = 0.5, 1.0
@@ -304,7 +304,7 @@ for _n, _r in (("half", RES), ("whole", COARSE)):
 
 
 def cell_counts(spark, d, resolution):
-    rows = placed(spark, d, "inner").filter(in_season("date", YEARS))
+    rows = placed(spark, d, "inner").filter(in_season("date", years(spark, d)))
     return NB.with_grid(rows, resolution).groupBy("region", "grid_x", "grid_y", "date").agg(
         F.count(F.lit(1)).alias("event_count"), F.sum("measure").alias("measure_sum"))
 
@@ -325,8 +325,8 @@ def neighbour_degree(spark, d):
 
 def moore(spark, d, resolution):
     cells = mapping(spark, d, resolution).select("region", "grid_x", "grid_y", "cell_id", "entity")
-    return NB.moore_neighbours(cell_counts(spark, d, resolution), cells, season_dates(YEARS),
-                               in_season("previous_date", YEARS))
+    return NB.moore_neighbours(cell_counts(spark, d, resolution), cells, season_dates(years(spark, d)),
+                               in_season("previous_date", years(spark, d)))
 
 
 @query("moore_neighbours", "SELECT * FROM half_moore")
