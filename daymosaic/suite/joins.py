@@ -92,18 +92,20 @@ def weighted_split(spark, d):
 
 
 @query("seasonal_prior", """WITH h AS (SELECT *, date - make_date(year(date), 10, 1) + 1 AS dos FROM obs),
-  pr AS (SELECT region, entity, dos, avg(event_count) AS prior FROM h WHERE year(date) < 2000
+  pr AS (SELECT region, entity, dos, avg(event_count) AS prior FROM h WHERE year(date) < (SELECT max(year(l_shipdate)) FROM lineitem)
     GROUP BY ALL),
-  l AS (SELECT *, date - make_date(year(date), 10, 1) + 1 AS dos FROM skel WHERE year(date) = 2000)
+  l AS (SELECT *, date - make_date(year(date), 10, 1) + 1 AS dos FROM skel WHERE year(date) = (SELECT max(year(l_shipdate)) FROM lineitem))
   SELECT l.region, l.entity, l.date, coalesce(o.event_count::DOUBLE, pr.prior) AS event_count,
     o.event_count IS NULL AND pr.prior IS NOT NULL AS filled_event_count
   FROM l LEFT JOIN obs o ON l.region = o.region AND l.entity = o.entity AND l.date = o.date
   LEFT JOIN pr ON l.region = pr.region AND l.entity = pr.entity AND l.dos = pr.dos""")
 def seasonal_prior(spark, d):
+    """The newest season, its empty days filled from the seasons before."""
+    newest = max(years(spark, d))
     o = observed(spark, d).select(*DAY_KEYS, "event_count")
-    skel = P.skeleton(entities(spark, d), KEYS, season_dates([2000]))
+    skel = P.skeleton(entities(spark, d), KEYS, season_dates([newest]))
     live = skel.join(o, DAY_KEYS, "left").withColumn("day_of_season", day_of_season("date"))
-    hist = o.filter(F.year("date") < 2000).withColumn("day_of_season", day_of_season("date"))
+    hist = o.filter(F.year("date") < newest).withColumn("day_of_season", day_of_season("date"))
     return J.seasonal_prior(live, hist, [*KEYS, "day_of_season"], ["event_count"]).select(
         *DAY_KEYS, "event_count", "filled_event_count")
 

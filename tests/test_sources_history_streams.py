@@ -229,3 +229,11 @@ def test_table_stream_goes_on_after_a_restart(spark, tmp_path):
         ST.run_to_table(ST.ingest(ST.event_stream(spark, str(tmp_path / "in/*"), df.schema), ["event_id"]), "x",
                         path=str(tmp_path / "out"), checkpoint=str(tmp_path / "state"))
     assert rows(spark.read.parquet(str(tmp_path / "out")), "event_id") == [(1,), (2,), (3,)]
+
+
+def test_a_year_filter_prunes_directories(spark, tmp_path):
+    df = spark.createDataFrame([(1999, 1), (2000, 2), (2000, 3)], "year int, n int")
+    path = SK.write_table(df, str(tmp_path / "t"), ["year"])
+    one = spark.read.parquet(path).filter("year = 1999")
+    assert "PartitionFilters: [isnotnull(year" in one._jdf.queryExecution().executedPlan().toString()
+    assert rows(one) == [(1, 1999)]
