@@ -70,3 +70,51 @@ def test_nulls_repeats_and_empty_table(spark):
     kept = simhash.one_of_each(df, similar.near_copies(df)).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["3", "7", "8", "None"]
     assert similar.near_copies(df.limit(0)).count() == 0
+
+
+def exact_components(texts):
+    """Smallest id reachable over pairs of true Jaccard similarity 0.8 and more."""
+    ids = sorted(texts)
+    root = {i: i for i in ids}
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if jaccard(texts[a], texts[b]) >= 0.8]
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def components_of(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    return {r["doc_id"]: r["component_id"] for r in similar.near_copies(df).collect()}
+
+
+def test_decision_is_the_true_jaccard_near_the_bar(spark):
+    rng = random.Random(5)
+    texts = {}
+    for i in range(250):
+        a = [f"w{rng.randrange(10 ** 6)}" for _ in range(rng.choice([8, 12, 25, 60, 204]))]
+        b = list(a)
+        # a replaced last word changes one shingle, one in the middle up to five: similarities around 0.8, also on it
+        n = max(1, round(len(a) * rng.uniform(0.05, 0.14)))
+        b[-n:] = [f"v{rng.randrange(10 ** 6)}" for _ in range(n)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(a), " ".join(b)
+    sims = [jaccard(texts[2 * i], texts[2 * i + 1]) for i in range(250)]
+    assert sum(0.75 < s < 0.8 for s in sims) > 20 and sum(0.8 <= s < 0.85 for s in sims) > 20
+    got = components_of(spark, texts)
+    assert [got[2 * i] == got[2 * i + 1] for i in range(250)] == [s >= 0.8 for s in sims]
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_tables_against_true_jaccard(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    ids = sorted(texts)
+    words = {i: texts[i].encode().lower().split() for i in ids}
+    sets = {i: {b" ".join(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    root = {i: i for i in ids}
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if min(len(sets[a]), len(sets[b])) >= 0.8 * max(
+        len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r["doc_id"]: r["component_id"] for r in similar.near_copies(docs).collect()} == root
