@@ -104,6 +104,36 @@ def test_decision_is_the_true_jaccard_near_the_bar(spark):
     assert [got[2 * i] == got[2 * i + 1] for i in range(250)] == [s >= 0.8 for s in sims]
 
 
+@pytest.mark.parametrize("held", [similar.HELD, 4000])
+def test_pairs_in_a_template_group(spark, monkeypatch, held):
+    monkeypatch.setattr(similar, "HELD", held)
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(300)]
+    texts = {}
+    for i in range(60):  # any two of different i share the template alone: 0.57
+        a = template + [f"w{rng.randrange(10 ** 6)}" for _ in range(110)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(a), " ".join(edited(rng, a, 4))
+    want = exact_components(texts)
+    assert 0.5 < jaccard(texts[0], texts[2]) < 0.65
+    assert sum(want[2 * i + 1] == 2 * i for i in range(60)) == 60
+    assert components_of(spark, texts) == want
+
+
+def test_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 40, (5, 60))
+    sets = [np.unique(np.concatenate([rng.permutation(base[k % 5])[:52], rng.integers(0, 1 << 40, 4)])) for k in range(50)]
+    union, zero = simhash.Union(50), np.zeros(50, dtype=np.int64)
+    for i in range(50):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.7:
+                union.join(np.array([i]), np.array([j]))
+    got = simhash.Union(50)
+    got.join(*similar.links(sets, np.arange(50), zero, 0.7))
+    assert got.roots().tolist() == union.roots().tolist() and len(set(union.roots())) < 50
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
 def test_tables_against_true_jaccard(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
