@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from daymosaic.llm.base import batch, materialise, query, slices, table
 
-#: Declared texts that the trigram model is fitted on, at most about so many, the first by a hash of their id.
+#: Texts of each declared language that the trigram model is fitted on, at most about so many, the first by a hash of their id.
 SAMPLE = 20_000
 BUCKETS = 1 << 15
 #: Trigrams that a text's likelihood counts for at most: neighbours overlap and repeat, so more are not independent.
@@ -26,8 +26,10 @@ EVIDENCE = 200
 UNITS, NONE_PRIOR, CONFIDENT = 20.0, 0.01, 0.5
 #: Share of the rows that makes a host or declared language hot.
 HOT = 1e-3
-#: A declared language is a class if it has this share of the sample.
-SHARE = 0.001
+#: A declared language is a class if it has this share of the declared texts, or so many texts, however many there are.
+SHARE, ENOUGH = 0.001, 20
+#: Languages that a task counts before it sends them.
+HELD = 200
 UND = "und"
 OUTSIDE = re.compile(r"[\W\d_]+")
 
@@ -53,32 +55,37 @@ def fit(docs: DataFrame, id_col: str, text_col: str, declared_col: str) -> tuple
     """Classes and the log probabilities of the trigrams by class; ``und`` is the last."""
     said = F.lower(F.trim(F.col(declared_col).cast("string")))
     known = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), said.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    n = docs.select(id_col).count()
-    sample = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30)) + 1)
+    sizes = known.filter((F.col("lang") != "") & (F.col("lang") != UND)).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialise(sizes, "languages")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    most = F.least(F.lit(1.0), F.lit(SAMPLE) / F.col("n")) * (1 << 30)
+    classes = materialise(sizes.filter(F.col("n") >= min(SHARE * total, ENOUGH)).select("lang", most.alias("most")), "classes")
+    names = sorted(r["lang"] for r in classes.collect())
+    sample = known.join(F.broadcast(classes), "lang").filter(
+        F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= F.col("most")).select("lang", "text")
     fields = [("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())]
 
+    def counted(held):
+        for l, c in held.items():
+            at = np.flatnonzero(c)
+            yield batch(fields, [l] * len(at), pa.array(at.astype(np.int32)), pa.array(c[at]))
+
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for b in slices(batches):
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
-            for l in {x for x in langs if x and x != UND}:
-                if l not in held and len(held) > 1000:
-                    continue  # a class must be frequent; a task's thousandth first sight is not
+            for l in set(langs):
                 g, _ = trigrams([t for t, x in zip(texts, langs) if x == l])
-                held[l] = held.get(l, np.zeros(BUCKETS + 1, dtype=np.int64))
-                held[l][:BUCKETS] += np.bincount(g, minlength=BUCKETS)
-                held[l][BUCKETS] += sum(x == l for x in langs)
-        for l, c in held.items():
-            at = np.flatnonzero(c)
-            yield batch(fields, [l] * len(at), pa.array(at.astype(np.int32)), pa.array(c[at]))
+                held[l] = held.get(l, np.zeros(BUCKETS, dtype=np.int64)) + np.bincount(g, minlength=BUCKETS)
+            if len(held) > HELD:
+                yield from counted(held)
+                held = {}
+        yield from counted(held)
 
     got = materialise(sample.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(
         F.sum("n").alias("n")), "trigrams")
-    sizes = got.filter(F.col("bucket") == BUCKETS)
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    names = sorted(r["lang"] for r in sizes.filter(F.col("n") >= SHARE * total).collect())
     logs = np.zeros((BUCKETS, len(names) + 1))
-    rows = got.filter(F.col("lang").isin(names) & (F.col("bucket") < BUCKETS)).toArrow() if names else None
+    rows = got.toArrow() if names else None
     for i, l in enumerate(names):
         at = np.array(rows.column("lang").to_pylist()) == l
         logs[rows.column("bucket").to_numpy()[at], i] = rows.column("n").to_numpy()[at]

@@ -74,3 +74,17 @@ def test_trigrams_do_not_cross_texts():
 def test_empty_and_null_tables(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert G.identify(df, spark.createDataFrame([], "page_id long, url string, html string")).count() == len(rows)
+
+
+def test_a_small_language_is_a_class_in_any_table(spark, monkeypatch):
+    monkeypatch.setattr(G, "SAMPLE", 200)
+    monkeypatch.setattr(G, "SHARE", 0.05)
+    monkeypatch.setattr(G, "HELD", 1)
+    rows = [(i, "the man and the house of the dog with the cat", "en", None) for i in range(3000)]
+    rows += [(3000 + i, "kuca pored reke gde zive ljudi i psi", "sr", None) for i in range(30)]
+    rows += [(4000 + i, "zzz qqq", "odd", None) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert G.fit(docs, "doc_id", "text", "lang")[0] == ["en", "sr", G.UND]
+    got = {r["doc_id"]: r for r in G.identify(docs).collect()}
+    assert all(got[3000 + i]["language"] == "sr" and got[3000 + i]["accepted"] for i in range(30))
+    assert all(got[i]["language"] == "en" for i in range(0, 3000, 100))
