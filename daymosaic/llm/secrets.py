@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 Each text starts a worklist with itself. A layer is scanned, then unwrapped: percent runs, Unicode escapes and look-alikes,
-base64 runs (bare or around gzip, zlib, bzip2, xz or zstandard data). Every unwrapped layer goes on the worklist unless the
+base64 runs (also over several lines, bare or around gzip, zlib, bzip2, xz or zstandard data). Every unwrapped layer goes on the worklist unless the
 same content over the same place was seen, so the loop ends at a fixpoint also for data that decode to themselves. Each layer
 keeps, for every character, the place in the original text it came from, and spans are reported there.
 """
@@ -40,9 +40,16 @@ ESCAPE = re.compile(
     r"|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|apos|amp|equals|colon);"
     r"|[\uFF01-\uFF5E]|[\u00AD\u200B-\u200D\u2060\uFEFF]")
 #: The shortest finding, token=12345678, has 14 bytes and so 19 base64 characters without padding.
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*")
+BREAK = re.compile(r"[\x20\t]*\r?\n[\x20\t]*")
 #: A run that says nothing as a whole may be base64 between separators, as in a path.
 PIECE = re.compile(r"[A-Za-z0-9]{19,}")
+#: What a layer must hold to be text: so many characters without a control or a byte that is not UTF-8 between them; likewise
+#: for UTF-16 in ASCII characters.
+CLEAN = re.compile(r"[^\x00-\x08\x0e-\x1f\udc80-\udcff]{14}")
+WIDE = re.compile(rb"\x00?(?:[\t\n\r\x20-\x7e]\x00){13,}[\t\n\r\x20-\x7e]?")
+#: How base64 of the compressed formats begins.
+MAGIC = ("H4sI", "eA", "eF", "eJ", "eN", "Qlpo", "/Td6", "_Td6", "KLUv")
 #: Bytes that one unwrapped layer may have. A larger one is reported as a span of kind oversize, never dropped unseen.
 MAX_LAYER = 64 << 20
 
@@ -84,42 +91,70 @@ def escape(run: str) -> list[tuple[str, int, int]]:
     return [(x, 0, len(run)) for x in c]
 
 
-def inflate(raw: bytes) -> bytes | None:
-    """One compressed layer; None if it is none, MemoryError if it would exceed MAX_LAYER."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-        elif raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                out = r.read(MAX_LAYER + 1)
-            if len(out) > MAX_LAYER:
-                raise MemoryError
-            return out
-        else:
-            return None
-        out = d.decompress(raw, MAX_LAYER + 1)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, RuntimeError):
-        return None
-    except Exception as exc:  # zstandard has its own error class
-        if type(exc).__name__ == "ZstdError":
-            return None
-        raise
-    if len(out) > MAX_LAYER:
-        raise MemoryError
-    return out
+def stream(raw: bytes):
+    """A decompressor for data that begin as one of the formats do."""
+    if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
 
 
-def readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if len(text) >= 14 and not re.search(r"[\x00-\x08\x0e-\x1f]", text) else None
+def inflate(raw: bytes) -> tuple[bytes, bytes] | None:
+    """One compressed layer of one or more streams, as far as it is whole, and the bytes after it.
+
+    None if it is none, MemoryError if it would exceed MAX_LAYER.
+    """
+    out, rest, n, any_ = [], raw, 0, False
+    while (d := stream(rest)) is not None:
+        got, at, step = [], 0, 1024
+        try:
+            while not d.eof and at < len(rest):  # small steps, so that what a step gives is bounded for all formats
+                got.append(d.decompress(rest[at:at + step]))
+                at += step
+                n += len(got[-1])
+                if n > MAX_LAYER:
+                    raise MemoryError
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError, RuntimeError):
+            pass
+        except Exception as exc:  # zstandard has its own error class
+            if type(exc).__name__ != "ZstdError":
+                raise
+        out += got
+        any_ |= d.eof or any(got)
+        if not d.eof:
+            rest = b""
+            break
+        rest = d.unused_data + rest[at:]
+    return (b"".join(out), rest) if any_ else None
+
+
+def readings(raw: bytes) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts that bytes stand for, with the first byte of each character and the one after it.
+
+    Bytes that are not UTF-8 are lone surrogates, which no pattern takes, so what is around them is read.
+    """
+    text = raw.decode("utf-8", "surrogateescape")
+    if CLEAN.search(text):
+        last = np.cumsum([len(c.encode("utf-8", "surrogateescape")) for c in text])
+        yield text, np.append(0, last[:-1]), last
+    if b"\x00" in raw:
+        ways = set()
+        for m in WIDE.finditer(raw):
+            first, last = m.group()[0], m.group()[-1]
+            if first or not last:  # a run from NUL to letter is whole in big-endian order alone
+                ways.add(("utf-16-le", (m.start() + (not first)) % 2))
+            if last:
+                ways.add(("utf-16-be", (m.start() + (first > 0)) % 2))
+        for name, odd in sorted(ways):
+            text = raw[odd:len(raw) - (len(raw) - odd) % 2].decode(name, "replace")
+            last = odd + 2 * np.cumsum([1 + (c > "\uffff") for c in text])
+            yield text, np.append(odd, last[:-1]), last
 
 
 class Layer:
@@ -156,36 +191,53 @@ def unwrap(layer: Layer) -> Iterator[Layer | tuple[int, int]]:
     if x := layer.replaced(ESCAPE, escape) if ESCAPE.search(layer.text) else None:
         yield x
     for m in BASE64.finditer(layer.text):
-        found = list(decoded(layer, *m.span()))
+        lines, at = [], m.start()
+        for x in BREAK.finditer(layer.text, *m.span()):
+            lines.append((at, x.start()))
+            at = x.end()
+        found = list(decoded(layer, [*lines, (at, m.end())]))
         if not found:
             for p in PIECE.finditer(layer.text, *m.span()):
                 if p.span() != m.span():
-                    found += decoded(layer, *p.span())
+                    found += decoded(layer, [p.span()])
         yield from found
 
 
-def decoded(layer: Layer, at: int, to: int) -> Iterator[Layer | tuple[int, int]]:
-    """What a base64 run holds, if it is text or compressed text."""
-    run = layer.text[at:to]
-    if len(run) % 4 == 1:
-        return
-    raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
-    a, b = layer.place(at, to)
-    if (text := readable(raw)) is not None:
-        n = np.array([len(c.encode()) for c in text])
-        last = np.cumsum(n)
-        s, e = at + (last - n) * 4 // 3, at + (last * 4 + 2) // 3
-        yield Layer(text, s if layer.starts is None else layer.starts[s], e if layer.ends is None else layer.ends[e - 1])
-        return
-    try:
-        seen = {hashlib.md5(raw).digest()}
-        while (raw := inflate(raw)) is not None and (h := hashlib.md5(raw).digest()) not in seen:
-            seen.add(h)
-            if (text := readable(raw)) is not None:
-                yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-                return
-    except MemoryError:
-        yield (a, b)
+def decoded(layer: Layer, lines: list[tuple[int, int]]) -> Iterator[Layer | tuple[int, int]]:
+    """What a base64 run over one or more lines holds, if it is text or compressed text.
+
+    Up to three letters may be glued to its front, and lines of other words may stand before compressed data.
+    """
+    run = "".join(layer.text[a:b] for a, b in lines)
+    at = np.concatenate([np.arange(a, b) for a, b in lines])
+    starts = np.cumsum([0] + [b - a for a, b in lines[:-1]]).tolist()
+    for first in sorted({0, 1, 2, 3, *(x for x in starts if run.startswith(MAGIC, x))}):
+        n = len(run) - first
+        n -= n % 4 == 1
+        if n < 19:
+            continue
+        raw = base64.b64decode(run[first:first + n].replace("-", "+").replace("_", "/") + "=" * (-n % 4))
+        a, b = layer.place(int(at[first]), int(at[first + n - 1]) + 1)
+        try:
+            if (got := inflate(raw)) is None:
+                for text, low, high in readings(raw) if first < 4 else ():
+                    s, e = at[first + low * 4 // 3], at[first + (high * 4 + 2) // 3 - 1] + 1
+                    yield Layer(text, s if layer.starts is None else layer.starts[s],
+                                e if layer.ends is None else layer.ends[e - 1])
+                continue
+            work, seen = [*got], set()
+            while work:
+                x = work.pop()
+                if not x or (h := hashlib.md5(x).digest()) in seen:
+                    continue
+                seen.add(h)
+                if (got := inflate(x)) is not None:
+                    work += got
+                    continue
+                for text, _, _ in readings(x):
+                    yield Layer(text, np.full(len(text), a), np.full(len(text), b))
+        except MemoryError:
+            yield (a, b)
 
 
 def spans(text: str) -> list[tuple[str, int, int, bool]]:

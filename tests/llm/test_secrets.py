@@ -1,6 +1,9 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import zlib
 
@@ -93,3 +96,49 @@ def test_empty_table_and_clashing_columns(spark):
     assert S.digest(S.scan(df)).count() == 0
     twice = spark.createDataFrame([(None, "token=abcdefgh"), (1, None), (1, None)], "doc_id long, text string")
     assert S.scan(twice, with_text=True).count() == 3
+
+
+GOT = "token=abcdefgh12345678"
+
+
+def found_in(text):
+    return [text[a:b] for _, a, b, own in S.spans(text) if not own]
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n", "\n  "])
+@pytest.mark.parametrize("width", [64, 76])
+def test_wrapped_base64(width, newline):
+    rng = random.Random(1)
+    for lead in (40, 50, 57, 70):  # the finding lies over a line break or not
+        raw = ("x" * lead + " " + GOT + " " + "".join(rng.choice("abc ") for _ in range(120))).encode()
+        code = base64.b64encode(raw).decode()
+        text = "see:\n" + newline.join(code[i:i + width] for i in range(0, len(code), width)) + "\nend"
+        marks = [m for m in S.spans(text) if not m[3]]
+        assert [m[0] for m in marks] == ["assign"]
+        inside = text[marks[0][1]:marks[0][2]].replace("\r", "").replace("\n", "").replace(" ", "")
+        assert inside in code and len(inside) in range(29, 34)
+    noise = "".join(rng.choice("abcdefghij klmnop") for _ in range(900))
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        code = base64.b64encode(pack((noise + GOT).encode())).decode()
+        for head in ("", "some_long_word_before_it\n"):
+            assert len(found_in(head + newline.join(code[i:i + width] for i in range(0, len(code), width)))) == 1
+
+
+def test_all_streams_and_what_follows_them():
+    import zstandard
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        for raw in (pack(b"nothing in here") + pack(GOT.encode()), pack(b"nothing in here") + b" then " + GOT.encode()):
+            assert found_in(base64.b64encode(raw).decode())
+
+
+def test_layers_that_are_not_clean_utf8():
+    for raw in (b"caf\xe9 " + GOT.encode(), GOT.encode() + b"\x00\x01", GOT.encode("utf-16"), GOT.encode("utf-16-le"),
+                GOT.encode("utf-16-be"), b"\x07" + GOT.encode("utf-16-be")):
+        assert len(found_in("a: " + base64.b64encode(raw).decode() + " z")) == 1, raw
+    assert not S.spans(base64.b64encode(bytes(random.Random(3).randrange(256) for _ in range(3000))).decode())
+
+
+def test_letters_glued_to_base64():
+    code = base64.b64encode(GOT.encode()).decode().rstrip("=")
+    for glue in ("x", "xy", "xyz", "xyzw"):
+        assert len(found_in(glue + code)) == 1 and len(found_in(code + glue)) == 1
