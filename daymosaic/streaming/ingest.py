@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from daymosaic.session import run_folder
+from daymosaic.sources.sinks import replace_partitions
 
 OVERLAP = "2 days"
 
@@ -79,6 +81,51 @@ def run_batches(stream: DataFrame, label: str, step: Callable[[DataFrame, int],
     return q
 
 
-def rows_dropped_late(q: StreamingQuery) -> int:
-    """Rows the stateful operators refused because the watermark had passed them."""
-    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+@dataclass(frozen=True)
+class LateRows:
+    """A foreachBatch step that keeps late rows instead of dropping them.
+
+    The line of a batch is the newest event time of all batches before it, less ``delay_days``. A row whose day had ended
+    by then is refused and stored apart, with its batch; other rows are accepted. Each batch leaves a record of its
+    observed metrics, from which later batches take their line, so a replayed batch judges its rows as it did before. The
+    stream's checkpoint belongs to this folder: pass ``checkpoint_path`` to ``run_batches``.
+    """
+
+    folder: str
+    time_col: str = "ts"
+    delay_days: int = 2
+
+    @property
+    def checkpoint_path(self) -> str:
+        return self.folder + "/checkpoint"
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        line = F.lit(None).cast("timestamp")
+        if batch_id:
+            before = self.batches(spark).filter(F.col("batch_id") < batch_id)
+            line = F.lit(before.agg(F.max("newest")).first()[0]) - F.expr(f"INTERVAL {self.delay_days} DAYS")
+        closed = F.date_add(F.to_date(self.time_col), 1).cast("timestamp") <= line
+        seen = Observation()
+        judged = batch.withColumn("refused", F.coalesce(closed, F.lit(False))).withColumn("batch_id", F.lit(batch_id)).observe(
+            seen, F.count(F.lit(1)).alias("rows"), F.count_if("refused").alias("late"),
+            F.max(F.col(self.time_col).cast("timestamp")).alias("newest"))
+        replace_partitions(judged, self.folder + "/rows", ["batch_id", "refused"])
+        m = seen.get
+        record = spark.createDataFrame([(batch_id, m["rows"], m["late"], m["newest"])],
+                                       "batch_id int, rows bigint, late bigint, newest timestamp")
+        replace_partitions(record, self.folder + "/batches", ["batch_id"])
+
+    def accepted(self, spark: SparkSession) -> DataFrame:
+        return self._rows(spark, False).drop("batch_id")
+
+    def refused(self, spark: SparkSession) -> DataFrame:
+        """The quarantined rows, with the batch that brought them."""
+        return self._rows(spark, True)
+
+    def _rows(self, spark: SparkSession, refused: bool) -> DataFrame:
+        return spark.read.parquet(self.folder + "/rows").filter(F.col("refused").cast("boolean") == refused).drop("refused")
+
+    def batches(self, spark: SparkSession) -> DataFrame:
+        """batch_id, rows, late, newest: one record for each batch."""
+        return spark.read.schema("rows bigint, late bigint, newest timestamp, batch_id int").parquet(self.folder + "/batches")

@@ -10,6 +10,7 @@ from daymosaic.functions.text import risk_label
 from daymosaic.session import run_folder
 from daymosaic.streaming import ingest as ST
 from daymosaic.streaming import live as SL
+from daymosaic.streaming import state as SS
 from daymosaic.suite.base import query, table
 
 
@@ -66,11 +67,11 @@ def delivered(spark, d, drain):
         drain(ST.event_stream(spark, path + "/*", schema))
 
 
-@query("late_data_stream", """SELECT date, user_id, count(*) AS event_count
+@query("late_data_watermark", """SELECT date, user_id, count(*) AS event_count
   FROM (SELECT *, CAST(ts AS DATE) AS date FROM events) WHERE ts >= TIMESTAMP '2024-01-20'
     OR date + 1 > (SELECT max(ts) FROM events) - INTERVAL 2 DAY
   GROUP BY ALL HAVING date + 1 <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
-def late_data_stream(spark, d):
+def late_data_watermark(spark, d):
     """One delivery a batch. A watermark takes effect one batch after it was reached, so the third delivery comes too late
     and its closed days are refused."""
     path, schema, parts = deliveries(spark, d)
@@ -81,13 +82,43 @@ def late_data_stream(spark, d):
     return spark.read.parquet(out)
 
 
+def judged(spark, d):
+    """Three deliveries, the newest days first, judged by the days that were closed when each came."""
+    late = ST.LateRows(run_folder(spark, "late-rows"))
+    delivered(spark, d, lambda s: ST.run_batches(s, "late-rows", late, checkpoint=late.checkpoint_path))
+    return late
+
+
+OPEN = f"(ts >= TIMESTAMP '{CUTS[0]}' OR date + 1 > (SELECT max(ts) FROM events) - INTERVAL 2 DAY)"
+
+
+@query("late_data_stream", f"""SELECT date, user_id, count(*) FILTER (WHERE {OPEN}) AS event_count,
+    count(*) FILTER (WHERE NOT {OPEN}) AS dropped FROM (SELECT *, CAST(ts AS DATE) AS date FROM events) GROUP BY ALL""")
+def late_data_stream(spark, d):
+    """Accepted and refused rows by day and user; late rows go to quarantine and are counted."""
+    late = judged(spark, d)
+    by = [F.to_date("ts").alias("date"), "user_id"]
+    kept = late.accepted(spark).groupBy(*by).agg(F.count(F.lit(1)).alias("event_count"))
+    gone = late.refused(spark).groupBy(*by).agg(F.count(F.lit(1)).alias("dropped"))
+    return kept.join(gone, ["date", "user_id"], "full").fillna(0, ["event_count", "dropped"])
+
+
+@query("late_batches", f"""WITH b AS (SELECT CASE WHEN ts >= TIMESTAMP '{CUTS[0]}' THEN 0 WHEN ts >= TIMESTAMP '{CUTS[1]}' THEN 1 ELSE 2 END
+    AS batch_id, ts, {OPEN} AS accepted FROM (SELECT *, CAST(ts AS DATE) AS date FROM events))
+  SELECT batch_id, count(*) AS rows, count(*) FILTER (WHERE NOT accepted) AS late, CAST(max(ts) AS DATE) AS newest
+  FROM b GROUP BY batch_id""")
+def late_batches(spark, d):
+    """What each batch's observed metrics were."""
+    return judged(spark, d).batches(spark).withColumn("newest", F.to_date("newest"))
+
+
 def rolled(spark, d):
     rolling = SL.RollingFeatures(run_folder(spark, "rolling"))
     delivered(spark, d, lambda s: ST.run_batches(keyed(s), "rolling", rolling, checkpoint=rolling.checkpoint_path))
     return rolling
 
 
-@query("rolling_state_stream", f"""WITH c AS (SELECT region, entity, date, count(*) AS event_count FROM {KEYED} k GROUP BY ALL),
+ROLLED = f"""WITH c AS (SELECT region, entity, date, count(*) AS event_count FROM {KEYED} k GROUP BY ALL),
   b AS (SELECT region, entity, min(date) AS a, max(date) AS z FROM c GROUP BY ALL),
   s AS (SELECT region, entity, CAST(g AS DATE) AS date FROM b, generate_series(a, z, INTERVAL 1 DAY) t(g)),
   p AS (SELECT s.*, coalesce(event_count, 0) AS event_count FROM s LEFT JOIN c ON c.region = s.region
@@ -98,12 +129,29 @@ def rolled(spark, d):
     CASE WHEN count(*) OVER w7 = 7 THEN avg(event_count) OVER w7 END AS event_mean_7d FROM p
   WINDOW w AS (PARTITION BY region, entity ORDER BY date),
     w3 AS (PARTITION BY region, entity ORDER BY date ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
-    w7 AS (PARTITION BY region, entity ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
+    w7 AS (PARTITION BY region, entity ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""
+
+
+@query("rolling_state_stream", ROLLED)
 def rolling_state_stream(spark, d):
     """Older events arrive in later batches and correct the lags of later days."""
     return rolled(spark, d).features(spark)
 
 
+@query("rolling_keyed_state", ROLLED)
+def rolling_keyed_state(spark, d):
+    """The same rows from keyed state: four deliveries in order of time, the query stopped and started again for each."""
+    e = keyed(table(spark, d, "events"))
+    source, keep = run_folder(spark, "ordered"), SS.KeepNewest(run_folder(spark, "keyed-state"))
+    low, high = e.agg(F.unix_timestamp(F.min("ts").cast("timestamp")), F.unix_timestamp(F.max("ts").cast("timestamp"))).first()
+    part = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - low) * 4 / F.lit(high - low + 1))
+    for i in range(4):
+        e.filter(part == i).write.parquet(f"{source}/{i}")
+        files = ST.event_stream(spark, source + "/*", e.schema)
+        ST.run_batches(SS.rolling_features(files), "keyed-state", keep, "update", keep.checkpoint_path)
+    return keep.rows(spark)
+
+
 def score(df):
     p = (F.col("event_count") % 10).cast("double") / F.lit(10.0)
     return df.withColumn("risk_probability", p).withColumn("risk_label", risk_label("risk_probability", 0.5))
@@ -157,3 +205,38 @@ def verify_stream(spark, d):
         actuals = ST.event_stream(spark, source + "/*", counts.schema, files_per_trigger=1)
         ST.run_batches(actuals, "verify", verify, checkpoint=state)
     return verify.tracker(spark)
+
+
+JOINED = f"""{DAILY}, j AS (SELECT h.prediction_date, h.region, h.entity, h.risk_label, c.event_count AS actual_count
+    FROM h LEFT JOIN c ON c.region = h.region AND c.entity = h.entity AND c.date = h.prediction_date),
+  l AS (SELECT least(max(prediction_date), (SELECT max(date) FROM c)) - 2 AS line FROM h)"""
+
+
+@query("verify_join_stream", f"""WITH {JOINED} SELECT *, CASE WHEN actual_count IS NULL THEN 'Pending'
+    WHEN (actual_count > 2) = (risk_label = 'Elevated') THEN 'Correct' ELSE 'Incorrect' END AS verification_status
+  FROM j, l WHERE actual_count IS NOT NULL OR prediction_date + 1 <= line""".replace("SELECT *, CASE", "SELECT j.*, CASE"))
+def verify_join_stream(spark, d):
+    """Predictions and daily counts as two streams in day order, counts a day late, with a stop after each of three
+    deliveries. A prediction without a count is Pending once both streams are past its day."""
+    history = spark.read.parquet(scored_history(spark, d)).select(
+        F.col("prediction_date").cast("timestamp").alias("prediction_time"), "region", "entity", "risk_label")
+    counts = keyed(table(spark, d, "events")).groupBy(F.to_date("ts").cast("timestamp").alias("count_time"), "region", "entity").agg(
+        F.count(F.lit(1)).alias("event_count"))
+    source, out, state = (run_folder(spark, x) for x in ("two-streams", "verified", "verified-state"))
+    low, high = history.agg(F.min("prediction_time"), F.max("prediction_time")).first()
+    cuts = [low + (high - low) * i / 3 for i in range(1, 3)] + [high + dt.timedelta(days=1)]
+    since = low - dt.timedelta(days=2)
+    for i, cut in enumerate(cuts):
+        mine = F.col("prediction_time")
+        history.filter((mine >= F.lit(since)) & (mine < F.lit(cut))).write.parquet(f"{source}/predictions/{i}")
+        its = F.date_add(F.to_date("count_time"), 1 if i < 2 else 0).cast("timestamp")  # a day late, but for the last ones
+        before = F.date_add(F.to_date("count_time"), 1).cast("timestamp")
+        counts.filter(((before >= F.lit(since)) if i else F.lit(True)) & (its < F.lit(cut))).write.parquet(f"{source}/counts/{i}")
+        since = cut
+        two = [ST.event_stream(spark, f"{source}/{x}/*", f.schema) for x, f in (("predictions", history), ("counts", counts))]
+        ST.run_to_table(SS.join_counts(*two), "verified", path=out, checkpoint=state)
+    status = F.when(F.col("actual_count").isNull(), "Pending").when(
+        (F.col("actual_count") > 2) == (F.col("risk_label") == "Elevated"), "Correct").otherwise("Incorrect")
+    return spark.read.parquet(out).select(
+        F.to_date("prediction_time").alias("prediction_date"), "region", "entity", "risk_label",
+        F.col("event_count").alias("actual_count")).withColumn("verification_status", status)
