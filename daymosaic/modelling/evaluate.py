@@ -1,4 +1,4 @@
-"""Scoring, threshold locks, experiments over arms and horizons, bootstrap."""
+"""Scoring, threshold locks, experiments over arms and horizons."""
 
 from __future__ import annotations
 
@@ -7,9 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daymosaic.functions.numeric import close_to, hash_uniform, poisson_one, ratio_or_zero
+from daymosaic.functions.numeric import close_to
 from daymosaic.operators import metrics as M
-from daymosaic.operators.running import percentiles
 from daymosaic.session import materialise
 from daymosaic.sources.sinks import read_run_record, run_record, write_run_record
 
@@ -89,53 +88,3 @@ def swap_columns(a: DataFrame, b: DataFrame, keys: Sequence[str], swap: Sequence
     """Table ``a`` with the given columns taken from ``b`` at the same keys."""
     rest = [c for c in a.columns if c not in swap]
     return a.select(*rest).join(b.select(*keys, *swap), list(keys)).select(*a.columns)
-
-
-def paired_bootstrap(paired: DataFrame, groups: Sequence[str], row_key: Sequence[str], replicates: int,
-                     seed: int, alpha: float = 0.05) -> DataFrame:
-    """Percentile intervals of candidate (b) minus reference (a) for F1 and average precision.
-
-    ``paired`` holds y_true, pred_a, pred_b, score_a, score_b per row. A replicate
-    gives each row a Poisson(1) weight drawn from (seed, replicate, row key), the
-    same for both models, so resampling needs no random state and a lost task
-    redraws the same weights. Replicate 0 weighs every row once: the point
-    estimate. Rows are multiplied by replicate and model inside the task and
-    counted per (group, replicate, model, score, prediction) before the shuffle,
-    which also spreads a hot group over its replicates and scores.
-    """
-    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate")
-    rows = paired.select(*groups, *row_key, "y_true", "pred_a", "pred_b", "score_a", "score_b")
-    # each row is worked on once per replicate: spread the rows first, whatever the file layout
-    drawn = rows.repartition(*row_key).select("*", reps)
-    weight = F.when(F.col("replicate") == 0, 1).otherwise(
-        poisson_one(hash_uniform(F.lit(seed), "replicate", *row_key)))
-    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"pred_{m}").alias("pred"),
-                                          F.col(f"score_{m}").alias("score")) for m in "ab"])).alias("m")
-    by = [*groups, "replicate", "model"]
-    counts = (drawn.withColumn("w", weight)
-              .select(*groups, "replicate", "y_true", "w", models).select(*groups, "replicate", "y_true", "w", "m.*")
-              .groupBy(*by, "score", "pred").agg(
-                  F.sum(F.when(F.col("y_true") == 1, F.col("w")).otherwise(0)).alias("pos"),
-                  F.sum(F.when(F.col("y_true") == 0, F.col("w")).otherwise(0)).alias("neg"))
-              .filter("pos + neg > 0"))
-    counts = materialise(counts, "bootstrap-counts")
-    said = F.col("pred") == 1
-    tp, fp, fn = (F.sum(F.when(t, F.col(c)).otherwise(0)) for t, c in ((said, "pos"), (said, "neg"), (~said, "pos")))
-    f1 = counts.groupBy(*by).agg(ratio_or_zero(2 * tp, 2 * tp + fp + fn).alias("f1"))
-    frame = M.with_running_counts(counts.groupBy(*by, "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), by)
-    both = f1.join(M.fold_ranks(frame, by).select(*by, "average_precision"), by)
-    pick = lambda c, m: F.max(F.when(F.col("model") == m, F.col(c)))
-    deltas = both.groupBy(*groups, "replicate").agg(F.array(*[
-        F.struct(F.lit(c).alias("metric"), (pick(c, "b") - pick(c, "a")).alias("delta"))
-        for c in ("f1", "average_precision")]).alias("r"))
-    deltas = materialise(deltas.select(*groups, "replicate", F.explode("r").alias("r")).select(
-        *groups, "replicate", "r.*"), "bootstrap-deltas")
-    key = [*groups, "metric"]
-    drawn_deltas = deltas.filter((F.col("replicate") > 0) & F.col("delta").isNotNull())
-    ci = percentiles(drawn_deltas, key, "delta", [alpha / 2, 1 - alpha / 2], prefix="q")
-    low, high = [c for c in ci.columns if c not in key]
-    valid = drawn_deltas.groupBy(*key).agg(F.count(F.lit(1)).alias("valid_replicates"))
-    return (deltas.filter("replicate = 0").join(ci, key).join(valid, key)
-            .select(*key, F.col("delta").alias("difference"), F.col(low).alias("ci_lower"),
-                    F.col(high).alias("ci_upper"), "valid_replicates"))

@@ -78,13 +78,3 @@ def test_threshold_lock_detects_change(spark, data, tmp_path):
 def test_class_weights_balance(data):
     w = PR.class_weight(data, "y", "balanced").groupBy("y").agg(F.sum("class_weight").alias("w"))
     assert [r["w"] for r in w.collect()] == pytest.approx([400.0, 400.0])
-
-
-def test_bootstrap_interval_covers_and_repeats(data):
-    p = data.select(F.lit("all").alias("g"), "id", F.col("y").alias("y_true"),
-                    (F.col("b") > 0).cast("int").alias("pred_a"), (F.col("a") > 0.2).cast("int").alias("pred_b"),
-                    (1 / (1 + F.exp(-F.col("b")))).alias("score_a"), (1 / (1 + F.exp(-F.col("a")))).alias("score_b"))
-    first = rows(EV.paired_bootstrap(p, ["g"], ["id"], 40, 7))
-    assert first == rows(EV.paired_bootstrap(p.repartition(3), ["g"], ["id"], 40, 7))
-    for _, metric, diff, low, high, n in first:
-        assert low < diff < high and low > 0 and n == 40
