@@ -53,7 +53,11 @@ class Fitted:
         """Add the probability of the positive class; helper vectors are dropped."""
         s = self.model.transform(self.imputer.transform(df))
         s = s.withColumn(out, vector_to_array("probability")[1])
-        return s.drop(*[c for c in s.columns if c in HELPER_COLUMNS or c.endswith(("__index", "__hot"))])
+        return drop_helpers(s)
+
+
+def drop_helpers(scored: DataFrame) -> DataFrame:
+    return scored.drop(*[c for c in scored.columns if c in HELPER_COLUMNS or c.endswith(("__index", "__hot"))])
 
 
 def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], learner,

