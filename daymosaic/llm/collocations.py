@@ -37,14 +37,22 @@ SEGMENTS, WORDS = 64, 1024
 #: Parts that a language's phrases are ranked in before the parts' first ones are ranked together.
 RANKED = 64
 MASK, BASE = (1 << 64) - 1, 0x9E3779B97F4A7C15
-BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 ROW = [("lang", pa.string()), ("prefix", pa.binary()), ("seg", pa.int32()), ("words", pa.list_(pa.binary())),
        ("counts", pa.list_(pa.int32())), ("rest", pa.int64())]
 MERGED = [("lang", pa.string()), ("prefix", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("hash", pa.int64())]
 
+#: Bytes by kind (of a word, blank, end of a piece) and in lower case.
+KIND, SMALL = np.zeros(256, dtype=np.uint8), np.arange(256, dtype=np.uint8)
+KIND[list(b" \t")], KIND[list(b".,;:!?\n\x0b\x0c\r")] = 1, 2
+SMALL[65:91] += 32
 
-def word_hash(word: bytes, lang: str) -> int:
-    return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+
+def lang_hash(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
+def word_hash(word: bytes, lang: int) -> int:
+    return (xxhash.xxh3_64_intdigest(word) ^ lang) * BASE & MASK
 
 
 def extend(h: int, word: int) -> int:
@@ -52,69 +60,117 @@ def extend(h: int, word: int) -> int:
     return (h * BASE + word) & MASK
 
 
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each value among the distinct ones, and these."""
+    d = pa.array(x).dictionary_encode()
+    return d.indices.to_numpy().astype(np.int64), d.dictionary.to_numpy()
+
+
+def words_of(texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """The words of all texts in lower case; for each a number that rises from piece to piece, and its text's place."""
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]]
+    begin = ends[:-1] - ends[0]
+    kind = KIND[data]
+    word = kind == 0
+    fresh = word.copy()
+    fresh[1:] &= ~word[:-1]
+    fresh[begin[begin < len(data)]] = word[begin[begin < len(data)]]
+    start = np.flatnonzero(fresh)
+    text = np.searchsorted(begin, start, "right") - 1
+    kept = np.cumsum(word, dtype=np.int32)
+    offsets = np.append(kept[start] - 1, kept[-1] if len(kept) else 0).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(SMALL[data[word]])])
+    return found, np.cumsum(kind == 2)[start] + text, text
+
+
 class Words:
-    """The words of a task's texts as codes, 0 where a piece ends. A code stands for a word in a language."""
+    """The words of a task's texts, the piece that each is in, and its language."""
 
     def __init__(self):
-        self.codes: list[np.ndarray] = []
-        self.held = 0
-        self.by_lang: dict[str, tuple[int, dict[bytes, int]]] = {}
-        self.words: list[bytes] = [b""]
-        self.langs: list[int] = [0]
-        self.hashes: list[int] = [0]
-
-    def add(self, lang: str, text: bytes) -> None:
-        at, known = self.by_lang.setdefault(lang, (len(self.by_lang), {b".": 0}))
-        tokens = text.lower().translate(BREAKS).replace(b".", b" . ").split()
-        new = set(tokens).difference(known)
-        for w in sorted(new):
-            known[w] = len(self.words)
-            self.words.append(w)
-            self.langs.append(at)
-            self.hashes.append(word_hash(w, lang))
-        self.codes.append(np.array([known[w] for w in tokens] + [0], dtype=np.int64))
-        self.held += len(tokens) + 1
+        self.chunks: list[pa.BinaryArray] = []
+        self.pieces: list[np.ndarray] = []
+        self.at: list[np.ndarray] = []
+        self.langs: dict[str, int] = {}
+        self.held = self.last = 0
+
+    def add(self, b: pa.RecordBatch) -> None:
+        found, piece, text = words_of(b.column("text"))
+        if len(found):
+            langs = np.array([self.langs.setdefault(x, len(self.langs)) for x in b.column("lang").to_pylist()])
+            self.chunks.append(found)
+            self.pieces.append(piece + self.last + 1)
+            self.at.append(langs[text])
+            self.last = int(self.pieces[-1][-1])
+            self.held += len(found)
+
+
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, least first, and how often each occurs."""
+    x = np.sort(x)
+    begin = np.flatnonzero(np.concatenate(([len(x) > 0], x[1:] != x[:-1])))
+    return x[begin], np.diff(np.append(begin, len(x)))
 
 
 def local_stripes(held: Words, m: int, bitmap: np.ndarray | None, bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The stripes of all prefixes of m words in the texts held."""
-    code = np.concatenate([*held.codes, np.zeros(m + 1, dtype=np.int64)])
-    hashes, size, langs = np.array(held.hashes, dtype=np.uint64), len(held.words), np.array(held.langs)
-    if m == 0:
-        at = np.flatnonzero(code)
-        prefix, nxt, is_hot = langs[code[at]], code[at], np.ones(len(at), dtype=bool)
-    else:
-        h = hashes[code]
-        gram, whole, end = h.copy(), code > 0, len(code) - m - 1
+    coded = pa.chunked_array(held.chunks, pa.binary()).combine_chunks().dictionary_encode()
+    code, vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    lang, piece, size = np.concatenate(held.at), np.concatenate(held.pieces), len(vocabulary) + 1
+    word = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()], dtype=np.uint64)
+    seed = np.array([lang_hash(x) for x in held.langs], dtype=np.uint64)
+    prefix, nxt, parents = lang, code + 1, []
+    if m:
+        h = (word[code] ^ seed[lang]) * np.uint64(BASE)
+        gram = h.copy()
         for j in range(1, m):
             gram[:-j] = gram[:-j] * np.uint64(BASE) + h[j:]
-            whole[:-j] &= code[j:] > 0
-        whole[whole] = has(bitmap, bits, gram[whole])
-        at = np.flatnonzero(whole[:end])
-        nxt = np.where(whole[at + 1], code[at + m], 0)
-        prefix = code[at]
-        for j in range(1, m):
-            prefix = np.unique(prefix * size + code[at + j], return_inverse=True)[1]
-        is_hot = np.isin(gram[at], hot)
-    if not len(at):
+        inside = np.zeros(len(code) + 1, dtype=bool)  # m words of one piece begin here
+        inside[:max(0, len(code) - m + 1)] = piece[m - 1:] == piece[:max(0, len(code) - m + 1)]
+        some = np.flatnonzero(inside)
+        inside[some] = has(bitmap, bits, gram[some])
+        at = np.flatnonzero(inside)
+        after = np.minimum(at + m, len(code) - 1)
+        nxt = np.where(inside[at + 1] & (piece[after] == piece[at]) & (at + m < len(code)), code[after] + 1, 0)
+        prefix = lang[at] * size + code[at]
+        for j in range(1, m):  # a prefix is the number of the one before and a word
+            prefix, values = numbered(prefix)
+            parents.append(values)
+            prefix = prefix * size + code[at + j]
+        if m > 1:
+            prefix, values = numbered(prefix)
+            parents.append(values)
+    if not len(prefix):
         return
-    pair, first, n = np.unique(prefix * size + nxt, return_index=True, return_counts=True)
+    pair, n = counted(prefix * size + nxt)
     prefix, nxt = np.divmod(pair, size)
-    seg = np.where(is_hot[first] & (nxt > 0), hashes[nxt] % np.uint64(SEGMENTS if m else WORDS), np.uint64(0)).astype(np.int64)
-    order = np.lexsort((nxt, seg, prefix))
-    prefix, nxt, n, seg, first = prefix[order], nxt[order], n[order], seg[order], at[first[order]]
-    begins = np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (seg[1:] != seg[:-1])))
+    at, own = np.unique(prefix, return_inverse=True)  # from here on each prefix once
+    path, left = [], at
+    for values in parents[::-1]:
+        left, last = np.divmod(values[left], size)
+        path.insert(0, last)
+    if m == 1:
+        left, last = np.divmod(left, size)
+        path = [last]
+    gram = np.zeros(len(at), dtype=np.uint64)
+    for c in path:
+        gram = gram * np.uint64(BASE) + (word[c] ^ seed[left]) * np.uint64(BASE)
+    is_hot = np.isin(gram, hot) if m else np.ones(len(at), dtype=bool)
+    parts = SEGMENTS if m else WORDS
+    seg = np.where(is_hot[own] & (nxt > 0), word[nxt - 1] % np.uint64(parts), np.uint64(0)).astype(np.int64)
+    row = own * parts + seg
+    if is_hot.any():
+        order = np.argsort(row, kind="stable")
+        own, nxt, n, seg, row = own[order], nxt[order], n[order], seg[order], row[order]
+    begins = np.concatenate(([True], row[1:] != row[:-1]))
     row, begin = np.cumsum(begins) - 1, np.flatnonzero(begins)
-    some = nxt > 0
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[some], minlength=len(begin)))))
-    vocabulary = pa.array(held.words, pa.binary())
-    place = first[begin]
-    lang = pa.array(list(held.by_lang), pa.string()).take(pa.array(langs[code[place]]))
-    text = pc.binary_join_element_wise(*[vocabulary.take(pa.array(code[place + j])) for j in range(m)], b" ") if m else (
+    some, stripe = nxt > 0, own[begin]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[some], minlength=len(begin))))).astype(np.int32))
+    text = pc.binary_join_element_wise(*[vocabulary.take(pa.array(c[stripe])) for c in path], b" ") if m else (
         pa.array([b""] * len(begin), pa.binary()))
-    out = batch(ROW, lang, text, pa.array(seg[begin].astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), vocabulary.take(pa.array(nxt[some]))),
-                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(n[some].astype(np.int32))),
+    out = batch(ROW, pa.array(list(held.langs), pa.string()).take(pa.array(left[stripe])), text, pa.array(seg[begin].astype(np.int32)),
+                pa.ListArray.from_arrays(offsets, vocabulary.take(pa.array(nxt[some] - 1))),
+                pa.ListArray.from_arrays(offsets, pa.array(n[some].astype(np.int32))),
                 pa.array(np.bincount(row, weights=n * ~some, minlength=len(begin)).astype(np.int64)))
     yield from slices([out], 20_000)
 
@@ -127,11 +183,10 @@ def stripes(texts: DataFrame, m: int, bitmap: np.ndarray | None, bits: int, hot:
         bitmap, bits, hot = sent.value
         held = Words()
         for b in slices(batches):
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                held.add(lang, text)
-                if held.held >= HELD:
-                    yield from local_stripes(held, m, bitmap, bits, hot)
-                    held = Words()
+            held.add(b)
+            if held.held >= HELD:
+                yield from local_stripes(held, m, bitmap, bits, hot)
+                held = Words()
         if held.held:
             yield from local_stripes(held, m, bitmap, bits, hot)
 
@@ -139,47 +194,79 @@ def stripes(texts: DataFrame, m: int, bitmap: np.ndarray | None, bits: int, hot:
     return texts.mapInArrow(run, kinds)
 
 
+class Stripes:
+    """Partial stripes in order of their keys, to be merged elementwise. The last key stays open until another one comes."""
+
+    def __init__(self, least: int):
+        self.least = least
+        self.key: tuple | None = None
+        self.words, self.counts, self.rest = pa.array([], pa.binary()), np.empty(0, dtype=np.int64), 0
+
+    def add(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The merged stripes of all keys but the last."""
+        key = [numbered_text(b.column("lang")), numbered_text(b.column("prefix")), b.column("seg").to_numpy()]
+        new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in key], axis=0)))
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        keys = list(zip(*(b.column(c).take(pa.array(first)).to_pylist() for c in ("lang", "prefix", "seg"))))
+        ends = b.column("words").offsets.to_numpy()
+        row = np.repeat(group, np.diff(ends))
+        words, counts = b.column("words").flatten(), b.column("counts").flatten().to_numpy().astype(np.int64)
+        rest = np.bincount(group, weights=b.column("rest").to_numpy()).astype(np.int64)
+        if self.key is not None:
+            if keys[0] != self.key:
+                keys, row, rest = [self.key, *keys], row + 1, np.concatenate(([0], rest))
+            row = np.concatenate((np.zeros(len(self.counts), dtype=np.int64), row))
+            words, counts = pa.concat_arrays([self.words, words]), np.concatenate((self.counts, counts))
+            rest[0] += self.rest
+        # elementwise: one entry for each key and word
+        coded = words.dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        number, pair = numbered(row * size + coded.indices.to_numpy())
+        n = np.bincount(number, weights=counts, minlength=len(pair)).astype(np.int64)
+        row, word = np.divmod(pair, size)
+        last = row == len(keys) - 1
+        self.key, self.rest = keys[-1], int(rest[-1])
+        self.words, self.counts = coded.dictionary.take(pa.array(word[last])), n[last]
+        if len(keys) > 1:
+            yield self.closed(keys[:-1], row[~last], word[~last], n[~last], rest[:-1], coded.dictionary)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.key is not None:
+            yield self.closed([self.key], np.zeros(len(self.counts), dtype=np.int64), np.arange(len(self.counts)), self.counts,
+                              np.array([self.rest]), self.words)
+
+    def closed(self, keys, row, word, n, rest, vocabulary) -> pa.RecordBatch:
+        total, top = rest + np.bincount(row, weights=n, minlength=len(keys)).astype(np.int64), np.zeros(len(keys), dtype=np.int64)
+        np.maximum.at(top, row, n)
+        out = [(lang, prefix.decode("utf-8", "surrogatepass"), None, t, x) for (lang, prefix, _), t, x in zip(keys, total.tolist(), top.tolist())]
+        many = np.flatnonzero(n >= self.least)
+        hashes: dict[int, int] = {}
+        for k, w, c in zip(row[many].tolist(), vocabulary.take(pa.array(word[many])).to_pylist(), n[many].tolist()):
+            lang, prefix, _ = keys[k]
+            seed = lang_hash(lang)
+            if k not in hashes:
+                h = 0
+                for p in prefix.split(b" ") if prefix else ():
+                    h = extend(h, word_hash(p, seed))
+                hashes[k] = h
+            x = extend(hashes[k], word_hash(w, seed))
+            out.append((lang, out[k][1], w.decode("utf-8", "surrogatepass"), c, x - (x >> 63 << 64)))
+        return batch(MERGED, *map(list, zip(*out)))
+
+
+def numbered_text(column: pa.Array) -> np.ndarray:
+    return column.dictionary_encode().indices.to_numpy()
+
+
 def merge(rows: DataFrame, least: int) -> DataFrame:
     """lang, prefix, word, n, hash: extensions with at least ``least``, and for each stripe or segment a row without a word,
     whose n is its sum and whose hash is its largest count."""
     def run(batches):
-        key, stripe, rest, out = None, {}, 0, []
-
-        def close():
-            lang, prefix, _ = key
-            text = prefix.decode("utf-8", "surrogatepass")
-            out.append((lang, text, None, rest + sum(stripe.values()), max(stripe.values(), default=0)))
-            many = [(w, n) for w, n in stripe.items() if n >= least]
-            if many:
-                h = 0
-                for w in prefix.split(b" ") if prefix else ():
-                    h = extend(h, word_hash(w, lang))
-                for w, n in many:
-                    x = extend(h, word_hash(w, lang))
-                    out.append((lang, text, w.decode("utf-8", "surrogatepass"), n, x - (x >> 63 << 64)))
-
+        stripes = Stripes(least)
         for b in batches:
-            words, counts = b.column("words"), b.column("counts")
-            ends = words.offsets.to_numpy()
-            flat, n = words.flatten().to_pylist(), counts.flatten().to_numpy().tolist()
-            ends = (ends - ends[0]).tolist()
-            keys = zip(*(b.column(c).to_pylist() for c in ("lang", "prefix", "seg")))
-            for k, lo, hi, more in zip(keys, ends, ends[1:], b.column("rest").to_pylist()):
-                if k != key:
-                    if key is not None:
-                        close()
-                    key, rest = k, 0
-                    stripe = dict(zip(flat[lo:hi], n[lo:hi]))
-                else:
-                    for w, c in zip(flat[lo:hi], n[lo:hi]):
-                        stripe[w] = stripe.get(w, 0) + c
-                rest += more
-            if out:
-                yield batch(MERGED, *map(list, zip(*out)))
-                out.clear()
-        if key is not None:
-            close()
-            yield batch(MERGED, *map(list, zip(*out)))
+            if b.num_rows:
+                yield from stripes.add(b)
+        yield from stripes.end()
 
     dealt = rows.repartition("lang", "prefix", "seg").sortWithinPartitions("lang", "prefix", "seg")
     return dealt.mapInArrow(run, "lang string, prefix string, word string, n bigint, hash bigint")
