@@ -46,6 +46,20 @@ def test_large_components_stay_exact():
     assert T.exact(x, x, np.array([0]), np.array([0]))[0] == 2 ** 60 + 1
 
 
+def test_huge_components_and_repeated_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [-5.0, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 3.0]), (3, [1e300, -1e300]), (4, [0.5, 0.5]),
+            (4, [0.5, 0.5]), (20, [1e300, 1e300]), (40, [1e9, 1e9]), (41, [1e9, 9e8])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ok = [(i, [min(high, max(low, math.floor(64 * x))) for x in v]) for i, v in rows]
+    want = set()
+    for q in (0, 20, 40):
+        a = min(v for i, v in ok if i == q)
+        s = sorted((-min(high, max(low, sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q)[:20]
+        want |= {(q, r + 1, i, -m) for r, (m, i) in enumerate(s)}
+    assert {tuple(r) for r in T.top_k(df, F.col("vec_id") % 20 == 0).collect()} == want
+
+
 def test_few_rows_and_empty_table(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in T.top_k(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]
