@@ -29,7 +29,7 @@ from daymosaic.operators.joins import join_small
 
 UND = "und"
 #: Words that a task holds before it sends their stripes.
-HELD = 4_000_000
+HELD = 2_000_000
 #: A prefix is hot with more than this share of all words, so there are fewer hot ones than its inverse.
 HOT = 1e-4
 #: Segments of a hot prefix's stripe, and of the empty prefix's.
@@ -97,7 +97,7 @@ class Words:
     def add(self, b: pa.RecordBatch) -> None:
         found, piece, text = words_of(b.column("text"))
         if len(found):
-            langs = np.array([self.langs.setdefault(x, len(self.langs)) for x in b.column("lang").to_pylist()])
+            langs = np.array([self.langs.setdefault(x, len(self.langs)) for x in b.column("lang").to_pylist()], dtype=np.int32)
             self.chunks.append(found)
             self.pieces.append(piece + self.last + 1)
             self.at.append(langs[text])
@@ -119,7 +119,7 @@ def local_stripes(held: Words, m: int, bitmap: np.ndarray | None, bits: int, hot
     lang, piece, size = np.concatenate(held.at), np.concatenate(held.pieces), len(vocabulary) + 1
     word = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()], dtype=np.uint64)
     seed = np.array([lang_hash(x) for x in held.langs], dtype=np.uint64)
-    prefix, nxt, parents = lang, code + 1, []
+    prefix, nxt, parents = lang.astype(np.int64), code + 1, []
     if m:
         h = (word[code] ^ seed[lang]) * np.uint64(BASE)
         gram = h.copy()
@@ -132,7 +132,8 @@ def local_stripes(held: Words, m: int, bitmap: np.ndarray | None, bits: int, hot
         at = np.flatnonzero(inside)
         after = np.minimum(at + m, len(code) - 1)
         nxt = np.where(inside[at + 1] & (piece[after] == piece[at]) & (at + m < len(code)), code[after] + 1, 0)
-        prefix = lang[at] * size + code[at]
+        prefix = lang[at].astype(np.int64) * size + code[at]
+        del h, gram, inside, some, after
         for j in range(1, m):  # a prefix is the number of the one before and a word
             prefix, values = numbered(prefix)
             parents.append(values)
