@@ -1,11 +1,12 @@
 """Hidden Markov language model: Baum-Welch counts aggregated across partitions, exact likelihood by scaled forward recursion.
 
-States emit one of the most frequent words, the end, or the class of all other words; a word of that class then has its
-add-one share of the class, with one share for words never seen. So a text's probability is the chain's, times those shares.
-The chain's tables have a fixed size and are broadcast; counts of other words stay a table and are joined.
+States emit one of the most frequent words, the end, or a class of words; a word of a class then has its add-one share of the
+class, with one share for words never seen. So a text's probability is the chain's, times those shares. Words beyond the most
+frequent ones that still occur LEAST times are dealt to hashed classes, so each of them counts towards its states; one more class
+holds the rare and unseen words. The chain's tables have a fixed size and are broadcast, with a bitmap that says which words have a
+hashed class; counts of words in classes stay a table and are joined.
 
-Training sequences are texts cut into segments. The first rounds read a fixed fraction of the training texts, the last rounds
-read all of them. Scoring runs over whole texts, however long.
+Training sequences are texts cut into segments, and every round reads all of them. Scoring runs over whole texts, however long.
 """
 
 from __future__ import annotations
@@ -22,25 +23,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daymosaic.llm.base import batch, id_bytes, materialise, query, slices, table
-
-#: Words with their own emission; states; words of a training segment.
-SYMBOLS, STATES, SEGMENT = 131_072, 8, 128
-#: Rounds on one text in EIGHTH, then on all. Texts that the first states are drawn from (a bound for the start values only).
-EIGHTH, EARLY, FULL, START_TEXTS = 8, 6, 2, 1000
-#: Distinct words that a task counts before it sends them.
-HELD = 500_000
-#: Rarer training words belong to the class.
+from daymosaic.llm.substrings import FILTER_BITS, bit_filter, has
+
+#: Words with their own emission; hashed classes of other words; states; words of a training segment.
+SYMBOLS, HASHED, STATES, SEGMENT = 131_072, 131_072, 8, 128
+#: Rounds over the training texts. Segments that the start values are drawn from (a bound for these alone).
+ROUNDS, STARTS = 3, 4_000
+#: Distinct words that a task counts before it sends them, and words in classes whose symbols it remembers.
+HELD, KNOWN = 500_000, 300_000
+#: Rarer training words share one class.
 LEAST = 5
 
 
 @dataclass
 class Model:
-    """Symbol 0 is the end, 1 to m words, m + 1 the class of other words."""
+    """Symbol 0 is the end, 1 to m words, m + 1 the class of rare words, and the hashed classes follow if there are any."""
 
     words: list[bytes]
     counts: np.ndarray      # training counts of symbols 0 to m
     total: int              # N, training tokens
     distinct: int           # V, distinct training tokens
+    hashed: tuple[np.ndarray, int] | None = None  # bitmap of the words that have a hashed class, and its bits
+    classes: np.ndarray = None  # (training tokens, distinct words) of the classes
     start: np.ndarray = None
     later: np.ndarray = None
     move: np.ndarray = None
@@ -51,19 +55,33 @@ class Model:
         return len(self.words) + 1
 
     @property
-    def others(self) -> tuple[int, int]:
-        """Training tokens and distinct words of the class."""
-        return self.total - int(self.counts.sum()), max(0, self.distinct - len(self.words) - (self.total > 0))
+    def symbols(self) -> int:
+        return self.other + 1 + (HASHED if self.hashed else 0)
 
     def corpus(self) -> np.ndarray:
-        """Add-one shares of the symbols; the class has one unit for words never seen."""
-        n = np.append(self.counts, self.others[0] + 1).astype(np.float64)
+        """Add-one shares of the symbols; each class has one unit for words never seen."""
+        n = np.concatenate([self.counts, self.classes[:, 0] + 1]).astype(np.float64)
         return n / n.sum()
 
+    def class_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The class of words without an emission of their own, 0 for the rare ones, from their hashes."""
+        if self.hashed is None:
+            return np.zeros(len(hashes), dtype=np.int32)
+        return np.where(has(*self.hashed, hashes), 1 + (hashes >> np.uint64(40)) % np.uint64(HASHED), 0).astype(np.int32)
+
     def codes(self, text: bytes, code: dict[bytes, int]) -> np.ndarray:
-        other = self.other
-        get = code.get
-        return np.array([*(get(w, other) for w in text.lower().split()), 0], dtype=np.int32)
+        """The text's symbols. ``code`` grows by the words met, and is emptied before it grows too large."""
+        words = text.lower().split()
+        new = set(words).difference(code)
+        if new:
+            if len(code) > len(self.words) + KNOWN:
+                code.clear()
+                code.update((w, i + 1) for i, w in enumerate(self.words))
+                new = set(words).difference(code)
+            new = list(new)
+            at = self.class_of(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in new), dtype=np.uint64, count=len(new)))
+            code.update(zip(new, (self.other + at).tolist()))
+        return np.array([*map(code.__getitem__, words), 0], dtype=np.int32)
 
 
 def training(texts: DataFrame) -> DataFrame:
@@ -147,18 +165,16 @@ class Counts:
                      *(pa.array(values[:, i]) for i in range(k)))
 
 
-def baum_welch(encoded: DataFrame, m: Model, from_text: bool) -> float:
+def baum_welch(encoded: DataFrame, m: Model) -> float:
     """One round over the partitions; updates the model and returns the training texts' log likelihood by segments."""
     k = len(m.start)
     sent = encoded.sparkSession.sparkContext.broadcast(m)
 
     def run(batches):
         m = sent.value
-        counts, code = Counts(k, m.other + 1), {w: i + 1 for i, w in enumerate(m.words)} if from_text else {}
+        counts = Counts(k, m.symbols)
         for b in slices(batches, 512):
-            texts = b.column("text").to_pylist()
-            codes = [m.codes(t, code) for t in texts] if from_text else [np.frombuffer(t, dtype="<i4") for t in texts]
-            cut, lengths, first = segments(codes)
+            cut, lengths, first = segments([np.frombuffer(t, dtype="<i4") for t in b.column("text").to_pylist()])
             for i in range(0, len(cut), 1024):
                 counts.add(m, cut[i:i + 1024], lengths[i:i + 1024], first[i:i + 1024])
         yield counts.rows()
@@ -171,7 +187,7 @@ def baum_welch(encoded: DataFrame, m: Model, from_text: bool) -> float:
     values = np.stack([got.column(f"c{i}").to_numpy() for i in range(k)], axis=1)
     extra = np.zeros((k + 3, k))
     extra[-1 - keys[keys < 0]] = values[keys < 0]
-    emit = np.zeros((m.other + 1, k))
+    emit = np.zeros((m.symbols, k))
     emit[keys[keys >= 0]] = values[keys >= 0]
     # the corpus distribution weighs as many words as the state has distinct ones (Witten-Bell)
     emit += (1 + (emit >= 0.5).sum(axis=0)) * m.corpus()[:, None]
@@ -181,10 +197,9 @@ def baum_welch(encoded: DataFrame, m: Model, from_text: bool) -> float:
     return float(extra[k + 2][0])
 
 
-def begin(m: Model, texts: list[bytes], states: int) -> None:
-    """Start values: clusters of a few texts by their frequent words, so that states differ from the first round on."""
-    code = {w: i + 1 for i, w in enumerate(m.words)}
-    rows = [m.codes(t, code) for t in texts] or [np.zeros(1, dtype=np.int32)]
+def begin(m: Model, rows: list[np.ndarray], states: int) -> None:
+    """Start values: clusters of some segments by their frequent words, so that states differ from the first round on."""
+    rows = rows or [np.zeros(1, dtype=np.int32)]
     top = min(512, m.other)
     x = np.sqrt(np.array([np.bincount(r[r <= top], minlength=top + 1)[1:] for r in rows], dtype=np.float64))
     x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
@@ -206,14 +221,37 @@ def begin(m: Model, texts: list[bytes], states: int) -> None:
     m.move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
 
 
-def train(texts: DataFrame, counts: DataFrame, symbols: int, states: int) -> Model:
-    """Fit on ``texts`` (id, text bytes) whose word counts are stored in ``counts``."""
+def vocabulary(texts: DataFrame, counts: DataFrame, symbols: int) -> Model:
+    """The symbols: words, classes and their training counts."""
     ends = texts.count()
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    total, distinct, enough = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") >= LEAST)).first()
     top = counts.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(symbols).toArrow()
     m = Model(top.column("word").to_pylist(), np.concatenate([[ends], top.column("n").to_numpy()]).astype(np.int64),
               total + ends, distinct + (ends > 0))
-    part = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(EIGHTH)) == 0
+    if enough > len(m.words):
+        m.hashed = bit_filter(counts.filter(F.col("n") >= LEAST).select(F.xxhash64("word").alias("h")), "h", enough, FILTER_BITS)
+    sent = counts.sparkSession.sparkContext.broadcast((m, set(m.words)))
+
+    def sums(batches):
+        m, own = sent.value
+        n = np.zeros((m.symbols - m.other, 2), dtype=np.int64)
+        for b in batches:
+            words, c = b.column("word").to_pylist(), b.column("n").to_numpy()
+            rest = np.array([i for i, w in enumerate(words) if w not in own], dtype=np.int64)
+            at = m.class_of(np.fromiter((xxhash.xxh64_intdigest(words[i], 42) for i in rest), dtype=np.uint64, count=len(rest)))
+            np.add.at(n, (at, 0), c[rest])
+            np.add.at(n, (at, 1), 1)
+        at = np.flatnonzero(n[:, 1])
+        yield batch([("class", pa.int64()), ("n", pa.int64()), ("v", pa.int64())], pa.array(at), pa.array(n[at, 0]), pa.array(n[at, 1]))
+
+    got = counts.mapInArrow(sums, "class bigint, n bigint, v bigint").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+    m.classes = np.zeros((m.symbols - m.other, 2), dtype=np.int64)
+    m.classes[got.column("class").to_numpy()] = np.stack([got.column("n").to_numpy(), got.column("v").to_numpy()], axis=1)
+    return m
+
+
+def encoded(texts: DataFrame, m: Model) -> DataFrame:
+    """The texts as symbols."""
     sent = texts.sparkSession.sparkContext.broadcast(m)
 
     def encode(batches):
@@ -221,13 +259,23 @@ def train(texts: DataFrame, counts: DataFrame, symbols: int, states: int) -> Mod
         code = {w: i + 1 for i, w in enumerate(m.words)}
         for b in slices(batches):
             yield batch([("text", pa.binary())], [m.codes(t, code).tobytes() for t in b.column("text").to_pylist()])
+    return texts.select("text").mapInArrow(encode, "text binary")
+
 
-    begin(m, [r["text"] for r in texts.filter(part).limit(START_TEXTS).collect()], states)
-    early = materialise(texts.filter(part).select("text").mapInArrow(encode, "text binary"), "segments")
-    for _ in range(EARLY):
-        baum_welch(early, m, False)
-    for _ in range(FULL):
-        baum_welch(texts, m, True)
+def train(texts: DataFrame, counts: DataFrame, symbols: int, states: int) -> Model:
+    """Fit on ``texts`` (id, text bytes) whose word counts are stored in ``counts``.
+
+    The start values come from one segment each of the texts whose symbols hash lowest, so they do not depend on the layout of
+    the files.
+    """
+    m = vocabulary(texts, counts, symbols)
+    codes = materialise(encoded(texts, m), "segments")
+    size = 4 * SEGMENT
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.ceil(F.length("text") / size)) * size
+    drawn = codes.select(F.xxhash64("text").alias("h"), F.substring("text", place + 1, F.lit(size)).alias("text"))
+    begin(m, [np.frombuffer(r["text"], dtype="<i4") for r in drawn.orderBy("h", "text").limit(STARTS).collect()], states)
+    for _ in range(ROUNDS):
+        baum_welch(codes, m)
     return m
 
 
@@ -255,7 +303,7 @@ def score(docs: DataFrame, symbols: int = SYMBOLS, states: int = STATES, id_col:
 
     Trains on the rows that are not held out. A null text is empty and has the end alone; a null id counts as an empty string
     for the split; repeated rows are trained on and scored each. Without training rows both scores are 0. Words of
-    the class are joined on their 64-bit hash.
+    the classes are joined on their 64-bit hash. ``symbols`` words have an emission of their own.
     """
     spark = docs.sparkSession
     texts = training(id_bytes(docs, id_col, text_col))
@@ -264,47 +312,47 @@ def score(docs: DataFrame, symbols: int = SYMBOLS, states: int = STATES, id_col:
     m = train(known, counts, symbols, states)
     sent = spark.sparkContext.broadcast(m)
     fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-              ("base", pa.float64()), ("chain", pa.float64()), ("n_other", pa.int64()),
+              ("base", pa.float64()), ("chain", pa.float64()), ("shares", pa.float64()),
               ("others", pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int32())])))]
 
     def run(batches):
         m, at = sent.value, TaskContext.get().partitionId() << 36
         code = {w: i + 1 for i, w in enumerate(m.words)}
-        logs = np.append(np.log10(m.counts + 1.0), 0.0)
-        seen = np.append(m.counts > 0, False)
+        logs = np.append(np.log10(m.counts + 1.0), np.zeros(len(m.classes)))
+        seen = np.append(m.counts > 0, np.zeros(len(m.classes), dtype=bool))
+        shares = np.append(np.zeros(m.other), np.log10(m.classes.sum(axis=1) + 1.0))
         for b in slices(batches, 4096):
             rows, codes = [], []
             for doc, text, held in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "held_out"))):
                 c = m.codes(text, code)
-                where = np.flatnonzero(c == m.other)
+                where = np.flatnonzero(c >= m.other)
                 words = text.lower().split() if len(where) else ()
                 tf = Counter(words[i] for i in where.tolist())
                 others = [{"h": h if h < 1 << 63 else h - (1 << 64), "tf": n}
                           for h, n in ((xxhash.xxh64_intdigest(w, 42), n) for w, n in tf.items())]
                 codes.append(c)
-                rows.append((at, doc, held, len(c), int(seen[c].sum()), float(logs[c].sum()), len(where), others))
+                rows.append((at, doc, held, len(c), int(seen[c].sum()), float(logs[c].sum()), float(shares[c].sum()), others))
                 at += 1
             if rows:
-                *cols, n_other, others = map(list, zip(*rows))
-                yield batch(fields, *cols, pa.array(forward(m, codes)), n_other, others)
+                *cols, shared, others = map(list, zip(*rows))
+                yield batch(fields, *cols, pa.array(forward(m, codes)), shared, others)
 
     first = materialise(texts.mapInArrow(
         run, "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, chain double, "
-             "n_other bigint, others array<struct<h: bigint, tf: int>>"), "scores")
+             "shares double, others array<struct<h: bigint, tf: int>>"), "scores")
     rest = counts.filter(F.col("n") <= int(m.counts[1:].min())) if len(m.words) else counts
     rest = rest.select(F.xxhash64("word").alias("key"), "n")
     pairs = first.select("row", F.inline("others"))
     joined = pairs.join(rest, pairs.h == rest.key).groupBy("row").agg(
         F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"), F.sum("tf").alias("also")).withColumnRenamed("row", "r")
-    n, v = m.others
-    all_, class_ = math.log10(m.total + m.distinct + 1), math.log10(n + v + 1)
+    all_ = math.log10(m.total + m.distinct + 1)
     logs, also = F.coalesce("logs", F.lit(0.0)), F.coalesce("also", F.lit(0))
     none = m.total == 0
     return first.join(joined, F.col("row") == F.col("r"), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + also).alias("n_known"),
         F.lit(m.total).cast("bigint").alias("train_tokens"),
         F.lit(0.0).alias("base_score") if none else (F.col("base") + logs - F.col("n_tokens") * all_).alias("base_score"),
-        F.lit(0.0).alias("score") if none else (F.col("chain") / math.log(10) + logs - F.col("n_other") * class_).alias("score"))
+        F.lit(0.0).alias("score") if none else (F.col("chain") / math.log(10) + logs - F.col("shares")).alias("score"))
 
 
 @query("op5_hmm_scores")

@@ -35,7 +35,7 @@ def test_base_equals_the_contract_and_the_model_beats_it(spark, monkeypatch, sym
 def small(k=3, symbols=4, seed=0):
     rng = np.random.default_rng(seed)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-    m = L.Model([b"a", b"b"][:symbols - 2], np.array([5, 4, 3]), 20, 6)
+    m = L.Model([b"a", b"b"][:symbols - 2], np.array([5, 4, 3]), 20, 6, None, np.array([[8, 3]]))
     m.start, m.later, m.move = norm(rng.random(k)), norm(rng.random(k)), norm(rng.random((k, k)))
     m.emit = norm(rng.random((k, symbols))).T
     return m
@@ -77,11 +77,39 @@ def test_rounds_raise_the_likelihood(spark):
     texts = L.id_bytes(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     counts = L.materialise(L.word_counts(texts), "words")
     m = L.train(texts, counts, 1000, 4)
-    a = L.baum_welch(texts, m, True)
-    b = L.baum_welch(texts, m, True)
+    assert m.hashed is not None and m.classes[1:, 1].sum() > 0  # words beyond the first 1000
+    codes = L.materialise(L.encoded(texts, m), "codes")
+    a = L.baum_welch(codes, m)
+    b = L.baum_welch(codes, m)
     assert b > a and np.allclose(m.emit.sum(axis=0), 1) and np.allclose(m.move.sum(axis=1), 1)
 
 
+@pytest.mark.parametrize("symbols", [L.SYMBOLS, 300])
+def test_scores_do_not_depend_on_the_layout(spark, symbols):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, two = ({r["doc_id"]: r["score"] for r in L.score(x, symbols=symbols).collect()} for x in (df, df.repartition(7, "text")))
+    assert max(abs(one[i] - two[i]) for i in one) < 0.01
+
+
+def test_shares_of_all_words_sum_to_one(spark):
+    """Every symbol's probability is spread over its words, with one share of each class for words never seen."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = L.id_bytes(df)
+    counts = L.materialise(L.word_counts(texts), "words")
+    m = L.vocabulary(texts, counts, 200)
+    code = {w: i + 1 for i, w in enumerate(m.words)}
+    total = np.zeros(m.symbols - m.other)
+    for r in counts.collect():
+        c = m.codes(r["word"], code)[0]
+        assert c != 0
+        if c >= m.other:
+            total[c - m.other] += r["n"] + 1
+        else:
+            assert m.words[c - 1] == r["word"] and m.counts[c] == r["n"]
+    assert (total == m.classes.sum(axis=1)).all()
+    assert m.classes[:, 0].sum() + m.counts.sum() == m.total
+
+
 def test_nulls_long_texts_and_empty_table(spark):
     rows = [(None, "a b"), (1, None), (2, ""), (2, ""), (3, "A b c " * 20000), (4, "x " * 130), (5, "İ q")]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double")
