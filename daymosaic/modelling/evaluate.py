@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from daymosaic.operators import metrics as M
 from daymosaic.session import materialise
 from daymosaic.sources.sinks import read_run_record, run_record, write_run_record
 
+#: Fits that run at the same time.
+AT_ONCE = 4
+
 
 def score_checks(df: DataFrame, score: str) -> DataFrame:
     """One row: rows, missing scores, scores outside [0, 1]."""
@@ -52,27 +58,48 @@ def full_metrics(scored: DataFrame, keys: Sequence[str], score: str, y: str, pre
 
 def run_arms(data: DataFrame, arms: Mapping[str, Callable[[DataFrame, str], object]],
              horizons: Sequence[int], target: Callable[[int], object], splits: Callable[[DataFrame], Mapping[str, DataFrame]],
-             keep: Sequence[str], lock_path: str, candidates: str = "grid") -> DataFrame:
+             keep: Sequence[str], lock_path: str, candidates: str = "grid", at_once: int = AT_ONCE) -> DataFrame:
     """Long predictions (arm, horizon, keys, y_true, score, threshold, y_pred).
 
-    The loop runs over a short configuration; each fit is a Spark job. An arm is
-    a function (train, label) -> model with ``score``. The threshold is locked on
-    the validation rows before the test rows are scored.
+    An arm is a function (train, label) -> model with ``score``. The threshold is locked on the validation rows before the
+    test rows are scored. Rows with all targets are stored once. A fit is many small jobs that leave executors idle in between, so
+    ``at_once`` fits are submitted from threads, each in a job group and a pool of its own: with the FAIR scheduler they share
+    the executors evenly, and a failed fit cancels the jobs of the others.
     """
-    out = None
-    for h in horizons:
-        labelled = data.withColumn("y_true", target(h)).filter(F.col("y_true").isNotNull())
-        parts = splits(labelled)
-        for arm, fit_arm in arms.items():
-            model = fit_arm(parts["train"], "y_true")
-            name = f"{arm}+{h}d"
-            lock_threshold(model.score(parts["val"]), lock_path, name, "score", "y_true", candidates)
-            t = locked_threshold(data.sparkSession, lock_path, name)
-            p = model.score(parts["test"]).select(
-                F.lit(arm).alias("arm"), F.lit(h).alias("horizon"), *keep, "y_true", "score",
-                F.lit(t).alias("threshold"), (F.col("score") >= t).cast("int").alias("y_pred"))
-            p = materialise(p, f"predictions-{arm}-{h}")
-            out = p if out is None else out.unionByName(p)
+    spark = data.sparkSession
+    sc = spark.sparkContext
+    stored = materialise(data.withColumns({f"__y_{h}": target(h) for h in horizons}), "arms")
+    run = uuid.uuid4().hex[:8]
+
+    def one(arm: str, h: int) -> DataFrame:
+        name = f"{arm}+{h}d"
+        sc.setJobGroup(f"{run}:{name}", name, interruptOnCancel=True)
+        sc.setLocalProperty("spark.scheduler.pool", f"{run}:{name}")
+        labelled = stored.withColumn("y_true", F.col(f"__y_{h}")).drop(*[f"__y_{x}" for x in horizons])
+        parts = splits(labelled.filter(F.col("y_true").isNotNull()))
+        model = arms[arm](parts["train"], "y_true")
+        own = f"{lock_path}/{name}"  # locks are appended, and appends to one folder exclude each other
+        lock_threshold(model.score(parts["val"]), own, name, "score", "y_true", candidates)
+        t = locked_threshold(spark, own, name)
+        p = model.score(parts["test"]).select(
+            F.lit(arm).alias("arm"), F.lit(h).alias("horizon"), *keep, "y_true", "score",
+            F.lit(t).alias("threshold"), (F.col("score") >= t).cast("int").alias("y_pred"))
+        return materialise(p, f"predictions-{arm}-{h}")
+
+    todo = [(arm, h) for h in horizons for arm in arms]
+    with ThreadPoolExecutor(min(at_once, len(todo))) as pool:
+        fits = [pool.submit(inheritable_thread_target(spark)(one), *x) for x in todo]
+        try:
+            done = [f.result() for f in fits]
+        except BaseException:
+            for f in fits:
+                f.cancel()
+            for arm, h in todo:
+                sc.cancelJobGroup(f"{run}:{arm}+{h}d")
+            raise
+    out = done[0]
+    for p in done[1:]:
+        out = out.unionByName(p)
     return out
 
 

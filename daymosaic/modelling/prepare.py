@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import (ElementwiseProduct, HashingTF, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
+                                VectorAssembler)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +24,6 @@ def temporal_split(df: DataFrame, years: Mapping[str, int | Sequence[int]],
     return {name: df.filter(y.isin(*([v] if isinstance(v, int) else v))) for name, v in years.items()}
 
 
-def range_split(df: DataFrame, ranges: Mapping[str, tuple[dt.date, dt.date]],
-                date_col: str = "date") -> dict[str, DataFrame]:
-    return {name: df.filter(F.col(date_col).between(F.lit(a), F.lit(b)))
-            for name, (a, b) in ranges.items()}
-
-
 def split_counts(splits: Mapping[str, DataFrame], y: str) -> DataFrame:
     """Rows and positives per split, for row-count gates."""
     out = None
@@ -101,9 +95,25 @@ class PopulationScaler(StandardScaler):
         return PipelineModel(stages=[model, stretch])
 
 
+#: Distinct values up to which a category has a column for each, and the columns that a wider one's values are hashed to.
+WIDE, HASHED = 10_000, 4_096
+
+
+def split_by_width(train: DataFrame, categorical: Sequence[str], wide: int = WIDE) -> tuple[list[str], list[str]]:
+    """(narrow, wide) categories by their distinct values, counted without bringing them to the driver."""
+    if not categorical:
+        return [], []
+    n = train.agg(*[F.count_distinct(F.col(c)).alias(c) for c in categorical]).first()
+    return [c for c in categorical if n[c] <= wide], [c for c in categorical if n[c] > wide]
+
+
 def encoder(numeric: Sequence[str], categorical: Sequence[str], scale: bool = False,
-            out: str = "features") -> Pipeline:
-    """One-hot with a train-only vocabulary (unseen values give all zeros) and assembly."""
+            out: str = "features", hashed: Sequence[str] = (), width: int = HASHED) -> Pipeline:
+    """One-hot with a train-only vocabulary (unseen values give all zeros) and assembly.
+
+    ``hashed`` categories have no vocabulary: each value, seen or not, counts in one of ``width`` columns that its hash names, and a
+    NULL in none. Nothing about them is kept on the driver, however many values there are.
+    """
     index = [f"{c}__index" for c in categorical]
     hot = [f"{c}__hot" for c in categorical]
     stages = []
@@ -112,6 +122,11 @@ def encoder(numeric: Sequence[str], categorical: Sequence[str], scale: bool = Fa
         stages = [StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep",
                                 stringOrderType="alphabetAsc"),
                   OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True)]
+    if hashed:
+        terms = ", ".join(f"concat('{c}=', `{c}`)" for c in hashed)
+        stages += [SQLTransformer(statement=f"SELECT *, array_compact(array({terms})) AS hashed__terms FROM __THIS__"),
+                   HashingTF(inputCol="hashed__terms", outputCol="hashed__hot", numFeatures=width)]
+        hot = [*hot, "hashed__hot"]
     if scale:
         stages += [VectorAssembler(inputCols=list(numeric), outputCol="numeric__raw"),
                    PopulationScaler(inputCol="numeric__raw", outputCol="numeric__scaled"),

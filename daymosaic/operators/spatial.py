@@ -131,6 +131,13 @@ def unmatched_report(joined: DataFrame, entity: str, lon: str = "lon", lat: str
         F.min(F.when(out, F.col(lat))).alias("lat_min"), F.max(F.when(out, F.col(lat))).alias("lat_max"))
 
 
+def unmatched_sample(joined: DataFrame, entity: str, row_key: Sequence[str], n: int = 20) -> DataFrame:
+    """The ``n`` unmatched rows whose key hashes lowest, to look at: the same ones in every run, from all over the table."""
+    out = joined.filter(F.col(entity).isNull())
+    order = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in row_key]))
+    return out.withColumn("_hash", order).orderBy("_hash", *row_key).limit(n).drop("_hash")
+
+
 def interior_points(polygons: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One point inside each polygon: the middle of the widest span at mid-height."""
     all_edges = F.flatten(F.transform("rings", ring_edges))

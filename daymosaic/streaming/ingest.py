@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -87,7 +87,7 @@ class LateRows:
 
     The line of a batch is the newest event time of all batches before it, less ``delay_days``. A row whose day had ended
     by then is refused and stored apart, with its batch; other rows are accepted. Each batch leaves a record of its
-    observed metrics, from which later batches take their line, so a replayed batch judges its rows as it did before. The
+    counts and its newest time, from which later batches take their line, so a replayed batch judges its rows as it did before. The
     stream's checkpoint belongs to this folder: pass ``checkpoint_path`` to ``run_batches``.
     """
 
@@ -106,14 +106,12 @@ class LateRows:
             before = self.batches(spark).filter(F.col("batch_id") < batch_id)
             line = F.lit(before.agg(F.max("newest")).first()[0]) - F.expr(f"INTERVAL {self.delay_days} DAYS")
         closed = F.date_add(F.to_date(self.time_col), 1).cast("timestamp") <= line
-        seen = Observation()
-        judged = batch.withColumn("refused", F.coalesce(closed, F.lit(False))).withColumn("batch_id", F.lit(batch_id)).observe(
-            seen, F.count(F.lit(1)).alias("rows"), F.count_if("refused").alias("late"),
-            F.max(F.col(self.time_col).cast("timestamp")).alias("newest"))
+        judged = batch.withColumn("refused", F.coalesce(closed, F.lit(False))).withColumn("batch_id", F.lit(batch_id))
         replace_partitions(judged, self.folder + "/rows", ["batch_id", "refused"])
-        m = seen.get
-        record = spark.createDataFrame([(batch_id, m["rows"], m["late"], m["newest"])],
-                                       "batch_id int, rows bigint, late bigint, newest timestamp")
+        # counted on what was stored; an Observation would leave the session with a part that fitted models cannot travel with
+        stored = spark.read.parquet(self.folder + "/rows").filter(F.col("batch_id") == batch_id)
+        record = stored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("refused").cast("boolean")).alias("late"),
+                            F.max(F.col(self.time_col).cast("timestamp")).alias("newest"), F.lit(batch_id).alias("batch_id"))
         replace_partitions(record, self.folder + "/batches", ["batch_id"])
 
     def accepted(self, spark: SparkSession) -> DataFrame:

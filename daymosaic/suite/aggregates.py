@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from daymosaic.operators import aggregates as A
 from daymosaic.operators import lags as L
 from daymosaic.operators import panel as P
+from daymosaic.operators import sketches as SK
+from daymosaic.session import materialise
 from daymosaic.suite.base import (DAY_KEYS, KEYS, YEARS, years, define, entities, events, observed,
                                   panel, query, scored)
 
@@ -258,3 +262,29 @@ def year_totals(spark, d):
 def prob_summary(spark, d):
     out = A.prob_summary(scored(spark, d), ["horizon", "transition"], "score")
     return out.withColumns({c: F.round(c, 9) for c in ("mean", "p10", "p25", "p50", "p75", "p90")})
+
+
+LENGTHS, POINTS, SMALL = (31, 365), (0.5, 0.9), 200
+
+
+@query("sketch_windows", f"""WITH w AS (SELECT make_date(y, 12, 31) AS ending, days FROM (SELECT unnest(range(min(year(l_shipdate)),
+    max(year(l_shipdate)) + 1))::INTEGER AS y FROM lineitem), (VALUES {", ".join(f"({n})" for n in LENGTHS)}) l(days))
+  SELECT region, ending, days, count(*) AS n, true AS p50_within, true AS p90_within FROM ev JOIN w
+    ON date <= ending AND ending - date < days GROUP BY ALL""")
+def sketch_windows(spark, d):
+    """Medians and 90th percentiles of the last month and of the whole of every year, from one table of day sketches; their
+    ranks are counted on the rows of the window and must be within the sketches' error."""
+    e = events(spark, d).select("region", "date", F.col("l_extendedprice").alias("price"))
+    days = materialise(SK.day_sketches(e, ["region"], "price", SMALL), "day-sketches")
+    ends = [dt.date(y, 12, 31) for y in years(spark, d)]
+    q = materialise(SK.quantiles(SK.trailing(days, ["region"], ends, LENGTHS, SMALL), POINTS), "quantiles")
+    inside = (F.col("date") <= F.col("ending")) & (F.datediff("ending", "date") < F.col("days"))
+    j = e.join(F.broadcast(q), "region").filter(inside)  # a row for each region, year and length
+    # the error holds for 99 windows in 100 a point; three times it for all of them
+    slack = 3 * SK.rank_error(SMALL)
+
+    def within(p):
+        c = f"p{round(p * 100):02d}"
+        below, upto = F.avg((F.col("price") < F.col(c)).cast("int")), F.avg((F.col("price") <= F.col(c)).cast("int"))
+        return ((below - slack <= p) & (F.lit(p) <= upto + slack)).alias(f"{c}_within")
+    return j.groupBy("region", "ending", "days", "n").agg(*[within(p) for p in POINTS])

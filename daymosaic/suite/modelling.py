@@ -1,6 +1,7 @@
 """Splits, preparation, learners, experiments and bootstrap on derived features.
 
-Learner queries have no SQL counterpart; they return metric tables.
+A fitted model's scores are not SQL. Its queries return what SQL can know of them: the rows and positives that were scored, and
+checks that hold for any right fit (``judged``). ``logistic_metrics`` shows the metric table as it is.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ NUMERIC = ["event_count", "measure_sum", "side_value", "side_count", "sin_year",
            "event_lag_1d", "event_lag_2d", "event_lag_3d", "event_lag_7d", "event_mean_3d",
            "event_sparse_mean_7d", "measure_lag_1d", "measure_mean_3d"]
 CATEGORICAL = ["region", "entity"]
-TREES, DEPTH, ROUNDS = 20, 6, 10
 
 
 def splits(spark, d):
@@ -52,26 +52,63 @@ def labelled(spark, d):
 
 
 def forest(train, y, weight=None):
-    return LN.fit(train, NUMERIC, CATEGORICAL, LN.forest(y, TREES, DEPTH, weight))
+    return LN.fit(train, NUMERIC, CATEGORICAL, LN.forest(y, weight=weight))
 
 
 def boosted(train, y, weight=None):
-    return LN.fit(train, NUMERIC, CATEGORICAL, LN.boosted(y, ROUNDS, 3, weight))
+    return LN.fit(train, NUMERIC, CATEGORICAL, LN.boosted(y, weight=weight))
 
 
 def logistic(train, y):
     return LN.fit(train, NUMERIC, CATEGORICAL, LN.logistic(y, train.count()), scale=True)
 
 
-def evaluated(spark, d, fit_one):
+def predicted(spark, d, fit_one):
+    """The fitted model, its training rows, and the test rows scored under a threshold locked on the validation rows."""
     parts = PR.temporal_split(labelled(spark, d), splits(spark, d))
     model = fit_one(parts["train"], "y_true")
     path = run_folder(spark, "locks")
     EV.lock_threshold(model.score(parts["val"]), path, "model", "score", "y_true")
     t = EV.locked_threshold(spark, path, "model")
-    p = materialise(model.score(parts["test"]).select(
-        *DAY_KEYS, "y_true", "score", (F.col("score") >= t).cast("int").alias("y_pred")), "predictions")
-    return EV.full_metrics(p, ["region"], "score", "y_true", "y_pred")
+    p = model.score(parts["test"]).withColumn("y_pred", (F.col("score") >= t).cast("int")).withColumn("threshold", F.lit(t))
+    return model, parts["train"], materialise(p, "predictions")
+
+
+def judged(p, keys):
+    """Checks by key: scores are probabilities, predictions follow a threshold of the grid, and the metrics agree with the counts."""
+    step = (F.col("threshold") - 0.01) / (0.98 / 198)
+    base = p.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("y_true").alias("positives"),
+        F.count_if(F.col("score").isNull() | F.isnan("score") | ~F.col("score").between(0, 1)).alias("outside"),
+        F.every((F.col("score") >= F.col("threshold")) == (F.col("y_pred") == 1)).alias("follows_threshold"),
+        F.every(F.abs(step - F.round(step)) < 1e-6).alias("on_grid"))
+    m = EV.full_metrics(p, keys, "score", "y_true", "y_pred").select(
+        *keys, "tp", "tn", "fp", "fn", "precision", "recall", "f1", "roc_auc", "average_precision")
+    j = base.join(m, list(keys))
+    counted = (F.col("tp") + F.col("fn") == F.col("positives")) & (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn") == F.col("rows"))
+    twice = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    agree = (F.abs(F.col("f1") * twice - 2 * F.col("tp")) < 1e-6) & (F.abs(F.col("recall") * F.col("positives") - F.col("tp")) < 1e-6)
+    one_class = (F.col("positives") == 0) | (F.col("positives") == F.col("rows"))
+    ranked = F.when(one_class, F.col("roc_auc").isNull()).otherwise(F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1))
+    return j.select(*keys, "rows", "positives", "outside", "follows_threshold", "on_grid", (counted & agree).alias("counted"), ranked.alias("ranked"))
+
+
+def learned(model, train):
+    """The log loss on the training rows is below that of their base rate."""
+    p = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("score")))
+    loss = -F.avg(F.when(F.col("y_true") == 1, F.ln(p)).otherwise(F.ln(1 - p)))
+    rate = F.avg("y_true")
+    return model.score(train).agg((loss < -(rate * F.ln(rate) + (1 - rate) * F.ln(1 - rate))).alias("x")).first()[0]
+
+
+def evaluated(spark, d, fit_one):
+    model, train, p = predicted(spark, d, fit_one)
+    return judged(p, ["region"]).withColumn("learned", F.lit(learned(model, train)))
+
+
+JUDGED = "true AS follows_threshold, true AS on_grid, true AS counted, true AS ranked, 0::BIGINT AS outside"
+TESTED = f"""SELECT region, count(*) AS rows, sum(y_true)::BIGINT AS positives, {JUDGED}, true AS learned FROM mlrows
+  WHERE split = 'test' GROUP BY region"""
 
 
 define("mlsplit", """SELECT p.region, p.entity, p.date, p.measure_sum, p.event_count, p.event_lag_1d,
@@ -136,17 +173,26 @@ def scale_features(spark, d):
         *DAY_KEYS, F.round(vector_to_array("features")[0], 6).alias("scaled"))
 
 
-@query("scale_logistic")
+@query("logistic_metrics")
+def logistic_metrics(spark, d):
+    """Metrics by region of the logistic model."""
+    return EV.full_metrics(predicted(spark, d, logistic)[2], ["region"], "score", "y_true", "y_pred")
+
+
+@query("scale_logistic", TESTED.replace("true AS learned", "true AS learned, true AS stationary"))
 def scale_logistic(spark, d):
-    return evaluated(spark, d, logistic)
+    """The gradient of the penalised log loss is zero at the fitted coefficients."""
+    model, train, p = predicted(spark, d, logistic)
+    out = judged(p, ["region"]).withColumn("learned", F.lit(learned(model, train)))
+    return out.withColumn("stationary", F.lit(LN.gradient(model, train, "y_true") < 1e-3))
 
 
-@query("random_forest")
+@query("random_forest", TESTED)
 def random_forest(spark, d):
     return evaluated(spark, d, forest)
 
 
-@query("boosted_trees")
+@query("boosted_trees", TESTED)
 def boosted_trees(spark, d):
     return evaluated(spark, d, boosted)
 
@@ -167,16 +213,17 @@ def class_weight_totals(spark, d):
     return out
 
 
-@query("class_weight_arms")
+@query("class_weight_arms", f"""SELECT arm, 1 AS horizon, count(*) AS rows, sum(y_true)::BIGINT AS positives, {JUDGED} FROM mlrows,
+  (VALUES ('none'), ('balanced'), ('weight_1_5'), ('weight_2'), ('weight_3')) a(arm) WHERE split = 'test' GROUP BY arm""")
 def class_weight_arms(spark, d):
     """Each weighting through the same split, threshold rule and metrics."""
-    f = ml_rows(spark, d)
+    f, parts = ml_rows(spark, d), splits(spark, d)
+
     def arm(spec, train, y):
         return forest(PR.class_weight(train, y, spec), y, "class_weight")
     arms = {a: partial(arm, s) for a, s in PR.CLASS_WEIGHTS.items()}
-    p = EV.run_arms(f, arms, [1], lambda h: target(f, h), lambda x: PR.temporal_split(x, splits(spark, d)), DAY_KEYS,
-                    run_folder(spark, "locks"))
-    return EV.full_metrics(p, ["arm", "horizon"], "score", "y_true", "y_pred")
+    p = EV.run_arms(f, arms, [1], lambda h: target(f, h), lambda x: PR.temporal_split(x, parts), DAY_KEYS, run_folder(spark, "locks"))
+    return judged(p, ["arm", "horizon"])
 
 
 def busy():
@@ -184,28 +231,24 @@ def busy():
     return F.col("event_count") > F.col("event_mean_3d")
 
 
-@query("regime_route")
+@query("regime_route", TESTED.replace("true AS learned", "true AS learned, count(*) FILTER (WHERE event_count > event_mean_3d) AS continuation_rows"))
 def regime_route(spark, d):
     """One model where today is above its recent mean, another where it is not."""
-    return evaluated(spark, d, lambda train, y: LN.fit_routed(train, busy(), lambda t: forest(t, y)))
+    model, train, p = predicted(spark, d, lambda train, y: LN.fit_routed(train, busy(), lambda t: forest(t, y)))
+    routed = p.groupBy("region").agg(F.count_if(busy()).alias("continuation_rows"))
+    return judged(p, ["region"]).join(routed, "region").withColumn("learned", F.lit(learned(model, train)))
 
 
-@query("specialist")
+@query("specialist", f"""SELECT arm, 1 AS horizon, count(*) AS rows, sum(y_true)::BIGINT AS positives, {JUDGED} FROM mlrows,
+  (VALUES ('plain'), ('region_balanced')) a(arm) WHERE split = 'test' AND event_count <= event_mean_3d GROUP BY arm""")
 def specialist(spark, d):
-    """Trained on calm rows only, with and without region balance."""
-    parts = PR.temporal_split(labelled(spark, d), splits(spark, d))
-    calm = {k: v.filter(~busy()) for k, v in parts.items()}
-    out = None
-    for name, weighted in (("plain", False), ("region_balanced", True)):
-        train = M.balance_weights(calm["train"], "region") if weighted else calm["train"]
-        model = forest(train, "y_true", "weight" if weighted else None)
-        best = M.pick_threshold(model.score(calm["val"]).withColumn("arm", F.lit(name)), ["arm"], "score", "y_true")
-        cut = best.select("threshold").scalar()  # one number for the arm
-        p = model.score(calm["test"]).withColumn("arm", F.lit(name))
-        p = p.select("arm", "y_true", "score", (F.col("score") >= cut).cast("int").alias("y_pred"))
-        p = materialise(p, "specialist")
-        out = p if out is None else out.unionByName(p)
-    return EV.full_metrics(out, ["arm"], "score", "y_true", "y_pred")
+    """Trained and tested on calm rows only, with and without region balance."""
+    f, parts = ml_rows(spark, d), splits(spark, d)
+    arms = {"plain": lambda train, y: forest(train, y),
+            "region_balanced": lambda train, y: forest(M.balance_weights(train, "region"), y, "weight")}
+    y = target(f, 1)
+    p = EV.run_arms(f.filter(~busy()), arms, [1], lambda h: y, lambda x: PR.temporal_split(x, parts), DAY_KEYS, run_folder(spark, "locks"))
+    return judged(p, ["arm", "horizon"])
 
 
 @query("persistence", """SELECT region, count(*) AS total, count(*) FILTER (WHERE later > 2 AND now > 2) AS tp,
@@ -233,17 +276,52 @@ def climatology(spark, d):
                                      F.max("rate").alias("rate"))
 
 
-@query("platt_calibration")
+def calibrated_checks(fit_rows, rows, keys):
+    """What a logistic map of a score satisfies: it stays a probability, and on the rows that it was fitted on it has
+    their rate of positives and no higher log loss than the score."""
+    platt = LN.fit_platt(fit_rows, "score", "y_true")
+    c = platt.transform(rows, "score")
+    p = lambda x: F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(x)))
+    loss = lambda x: -F.avg(F.when(F.col("y_true") == 1, F.ln(p(x))).otherwise(F.ln(1 - p(x))))
+    at = platt.transform(fit_rows, "score").agg(
+        (F.abs(F.avg("calibrated") - F.avg("y_true")) < 1e-4).alias("mean"), (loss("calibrated") <= loss("score") + 1e-9).alias("loss")).first()
+    out = c.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("y_true").cast("bigint").alias("positives"),
+                               F.count_if(~F.col("calibrated").between(0, 1)).alias("outside"))
+    return out.withColumns({"keeps_rate": F.lit(at["mean"]), "no_worse": F.lit(at["loss"])})
+
+
+PERIOD = "CASE WHEN year(date) = last - 3 THEN 'check' ELSE 'test' END AS period"
+LAST = "(SELECT max(year(l_shipdate)) AS last FROM lineitem) y"
+CALIBRATED = "0::BIGINT AS outside, true AS keeps_rate, true AS no_worse"
+
+
+@query("platt_calibration", f"""SELECT {PERIOD}, count(*) AS rows, sum(y_true)::BIGINT AS positives, {CALIBRATED}
+  FROM scored, {LAST} WHERE year(date) >= last - 3 GROUP BY period""")
 def platt_calibration(spark, d):
-    """Fitted on 1995-1997, checked on 1998, applied to the rest: scores before and after."""
-    s = scored(spark, d)
+    """Fitted on the seasons up to the fourth last, checked on that, applied to the last three."""
+    s, last = scored(spark, d), years(spark, d)[-1]
     y = F.year("date")
-    platt = LN.fit_platt(s.filter(y <= 1997), "score", "y_true")
-    c = platt.transform(s.filter(y > 1997), "score").withColumn("period", F.when(y == 1998, "check").otherwise("test"))
-    raw = M.prob_scores(c, ["period"], "score", "y_true").join(M.ece(c, ["period"], "score", "y_true"), "period")
-    cal = M.prob_scores(c, ["period"], "calibrated", "y_true").join(
-        M.ece(c, ["period"], "calibrated", "y_true"), "period")
-    return raw.withColumn("variant", F.lit("raw")).unionByName(cal.withColumn("variant", F.lit("calibrated")))
+    later = s.filter(y >= last - 3).withColumn("period", F.when(y == last - 3, "check").otherwise("test"))
+    return calibrated_checks(s.filter(y < last - 3), later, ["period"])
+
+
+@query("platt_by_horizon", f"""SELECT horizon, {PERIOD.replace("last - 3", "last - 2")}, count(*) AS rows, sum(y)::BIGINT AS positives, {CALIBRATED}
+  FROM (SELECT m.date, h.horizon, (f.measure_sum > (SELECT avg(measure_sum) FROM mlsplit))::INTEGER AS y FROM mlsplit m,
+    (VALUES (1), (2), (3), (5), (7)) h(horizon) JOIN panel f ON f.region = m.region AND f.entity = m.entity AND f.date = m.date + horizon) r, {LAST}
+  WHERE year(date) >= last - 2 GROUP BY horizon, period""")
+def platt_by_horizon(spark, d):
+    """A model for each horizon; its own scores of one season fit the map, the next season checks it, the last two apply it."""
+    f, ys = ml_rows(spark, d), years(spark, d)
+    parts = {"train": list(ys[:-4]), "fit": list(ys[-4:-3]), "rest": list(ys[-3:])}
+    out = None
+    for h in L.DEFAULT_HORIZONS:
+        x = PR.temporal_split(f.withColumn("y_true", target(f, h)).filter("y_true is not null"), parts)
+        model = logistic(x["train"], "y_true")
+        last = F.year("date") == ys[-3]
+        rest = model.score(x["rest"]).withColumn("period", F.when(last, "check").otherwise("test"))
+        one = calibrated_checks(materialise(model.score(x["fit"]), "fit-scores"), rest, ["period"]).withColumn("horizon", F.lit(h))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("score_checks", """SELECT count(*) AS rows, 0::BIGINT AS missing, 0::BIGINT AS outside FROM mlrows
@@ -267,22 +345,29 @@ def threshold_lock(spark, d):
     return spark.range(1).select(F.lit("valid").alias("name"), F.round(F.lit(t), 9).alias("threshold"))
 
 
-@query("feature_importance")
+@query("feature_importance", f"""SELECT unnest([{", ".join(repr(c) for c in NUMERIC)}]) AS feature, true AS a_share, true AS shares_sum_to_one
+  UNION ALL SELECT 'region=' || region, true, true FROM mlrows WHERE split = 'train' GROUP BY region
+  UNION ALL SELECT 'entity=' || entity, true, true FROM mlrows WHERE split = 'train' GROUP BY entity""")
 def feature_importance(spark, d):
     train = PR.temporal_split(labelled(spark, d), splits(spark, d))["train"]
-    return LN.feature_importance(forest(train, "y_true"), train)
+    f = materialise(LN.feature_importance(forest(train, "y_true"), train), "importance")
+    total = f.agg(F.sum("importance")).first()[0]
+    return f.select("feature", F.col("importance").between(0, 1).alias("a_share"), F.lit(abs(total - 1) < 1e-9).alias("shares_sum_to_one"))
 
 
-@query("arms_by_horizon")
+@query("arms_by_horizon", f"""SELECT arm, horizon, count(*) AS rows, sum((f.measure_sum > (SELECT avg(measure_sum) FROM mlsplit))::INTEGER)::BIGINT
+    AS positives, {JUDGED} FROM mlrows m, (VALUES (1), (2), (3), (5), (7)) h(horizon), (VALUES ('base'), ('with_history')) a(arm),
+    panel f WHERE f.region = m.region AND f.entity = m.entity AND f.date = m.date + horizon AND split = 'test' GROUP BY arm, horizon""")
 def arms_by_horizon(spark, d):
     """Two feature sets over all horizons on one split."""
-    f = ml_rows(spark, d)
+    f, parts = ml_rows(spark, d), splits(spark, d)
+
     def arm(cols, train, y):
-        return LN.fit(train, cols, CATEGORICAL, LN.forest(y, TREES, DEPTH))
+        return LN.fit(train, cols, CATEGORICAL, LN.forest(y))
     arms = {"base": partial(arm, NUMERIC[:6]), "with_history": partial(arm, NUMERIC)}
-    p = EV.run_arms(f, arms, L.DEFAULT_HORIZONS, lambda h: target(f, h), lambda x: PR.temporal_split(x, splits(spark, d)), DAY_KEYS,
+    p = EV.run_arms(f, arms, L.DEFAULT_HORIZONS, lambda h: target(f, h), lambda x: PR.temporal_split(x, parts), DAY_KEYS,
                     run_folder(spark, "locks"))
-    return EV.full_metrics(p, ["arm", "horizon"], "score", "y_true", "y_pred")
+    return judged(p, ["arm", "horizon"])
 
 
 @query("reproduction_gate", """WITH m AS (SELECT horizon, avg(y_true) AS rate FROM scored GROUP BY horizon)
@@ -302,10 +387,11 @@ def swap_columns(spark, d):
     return EV.swap_columns(a, other, DAY_KEYS, ["side_value"])
 
 
-@query("side_swap_experiment")
+@query("side_swap_experiment", f"""SELECT variant, count(*) AS rows, sum(y_true)::BIGINT AS positives, {JUDGED}
+  FROM mlrows, (VALUES ('original'), ('swapped')) v(variant) WHERE split = 'test' GROUP BY variant""")
 def side_swap_experiment(spark, d):
     """The same rows and model with the side series replaced."""
-    f = ml_rows(spark, d)
+    f, cut = ml_rows(spark, d), 0.5  # the middle of the grid
     doubled = side(spark, d).select(*DAY_KEYS, (F.col("side_value") * 2).alias("side_value"),
                                     (F.col("side_count") + 1).alias("side_count"))
     g = materialise(EV.swap_columns(f, doubled, DAY_KEYS, ["side_value", "side_count"]), "swapped")
@@ -313,11 +399,11 @@ def side_swap_experiment(spark, d):
     for name, data in (("original", f), ("swapped", g)):
         parts = PR.temporal_split(data.withColumn("y_true", target(f, 1)), splits(spark, d))
         model = logistic(parts["train"], "y_true")
-        p = model.score(parts["test"]).select(F.lit(name).alias("variant"), "y_true", "score",
-                                              (F.col("score") >= 0.5).cast("int").alias("y_pred"))
+        p = model.score(parts["test"]).select(F.lit(name).alias("variant"), "y_true", "score", F.lit(cut).alias("threshold"),
+                                              (F.col("score") >= cut).cast("int").alias("y_pred"))
         p = materialise(p, "swap")
         out = p if out is None else out.unionByName(p)
-    return EV.full_metrics(out, ["variant"], "score", "y_true", "y_pred")
+    return judged(out, ["variant"])
 
 
 REPS, SEED = 10_000, 11

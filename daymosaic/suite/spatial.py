@@ -109,6 +109,14 @@ def unmatched_report(spark, d):
     return S.unmatched_report(placed(spark, d), "entity")
 
 
+@query("unmatched_sample", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l.lon, l.lat FROM located l
+  LEFT JOIN placed p ON l.lon = p.lon AND l.lat = p.lat WHERE entity IS NULL
+  ORDER BY md5(concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber)), l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 20""")
+def unmatched_sample(spark, d):
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return S.unmatched_sample(placed(spark, d), "entity", key).select(*key, "lon", "lat")
+
+
 @query("interior_points", """WITH m AS (SELECT region, entity, (min(y1) + max(y1)) / 2 AS lat
     FROM polyedge GROUP BY ALL),
   x AS (SELECT m.region, m.entity, lat, x1 + (lat - y1) * (x2 - x1) / (y2 - y1) AS x,

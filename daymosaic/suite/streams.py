@@ -108,7 +108,7 @@ def late_data_stream(spark, d):
   SELECT batch_id, count(*) AS rows, count(*) FILTER (WHERE NOT accepted) AS late, CAST(max(ts) AS DATE) AS newest
   FROM b GROUP BY batch_id""")
 def late_batches(spark, d):
-    """What each batch's observed metrics were."""
+    """The records that the batches left."""
     return judged(spark, d).batches(spark).withColumn("newest", F.to_date("newest"))
 
 

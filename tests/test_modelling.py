@@ -78,3 +78,35 @@ def test_threshold_lock_detects_change(spark, data, tmp_path):
 def test_class_weights_balance(data):
     w = PR.class_weight(data, "y", "balanced").groupBy("y").agg(F.sum("class_weight").alias("w"))
     assert [r["w"] for r in w.collect()] == pytest.approx([400.0, 400.0])
+
+
+def test_wide_categories_are_hashed_and_unseen_values_defined(spark):
+    """A million values: no vocabulary is made, so the model's size does not depend on them."""
+    wide = spark.range(1_000_000).select(F.concat(F.lit("e"), "id").alias("c"), (F.rand(3) * 2 - 1).alias("a")).withColumn(
+        "y", (F.col("a") > 0).cast("int"))
+    m = LN.fit(wide, ["a"], ["c"], LN.logistic("y", 1_000_000).setMaxIter(5), scale=True)
+    kinds = [type(s).__name__ for s in m.model.stages]
+    assert "HashingTF" in kinds and not any("Indexer" in k for k in kinds)
+    assert len(m.model.stages[-1].coefficients) == 1 + PR.HASHED
+    probe = spark.createDataFrame([("e5", 0.9), ("never seen", -0.9), (None, 0.9)], "c string, a double")
+    p = [r["score"] for r in m.score(probe).collect()]
+    assert p[0] > 0.6 and p[1] < 0.4 and p[2] > 0.6
+    assert PR.split_by_width(wide.limit(50), ["c"], 50) == (["c"], []) and PR.split_by_width(wide, []) == ([], [])
+
+
+def test_arms_run_together_as_one_after_the_other(spark, data, tmp_path):
+    day = data.withColumn("date", F.make_date(F.lit(2020) + F.col("id") % 4, F.lit(10), F.lit(1)))
+    arms = {"a": lambda t, y: LN.fit(t, ["a"], [], LN.logistic(y, 400), scale=True),
+            "ac": lambda t, y: LN.fit(t, ["a"], ["c"], LN.logistic(y, 400), scale=True)}
+    years = {"train": [2020, 2021], "val": 2022, "test": 2023}
+
+    def run(at_once):
+        return EV.run_arms(day, arms, [1, 2], lambda h: F.when(F.col("id") % 7 >= h, F.col("y")), lambda x: PR.temporal_split(x, years),
+                           ["id"], str(tmp_path / f"locks{at_once}"), at_once=at_once)
+    assert rows(run(4)) == rows(run(1)) and run(4).select("arm", "horizon").distinct().count() == 4
+
+    def broken(t, y):
+        raise RuntimeError("this arm fails")
+    with pytest.raises(RuntimeError, match="this arm fails"):
+        EV.run_arms(day, arms | {"broken": broken}, [1], lambda h: F.col("y"), lambda x: PR.temporal_split(x, years), ["id"],
+                    str(tmp_path / "broken"))
