@@ -161,8 +161,9 @@ class Counts:
         extra = [*self.move, self.start, self.later, np.full(k, self.log)]
         keys = np.concatenate([seen, -1 - np.arange(len(extra))])
         values = np.concatenate([self.emit[seen], np.array(extra)])
-        return batch([("symbol", pa.int64())] + [(f"c{i}", pa.float64()) for i in range(k)], pa.array(keys),
-                     *(pa.array(values[:, i]) for i in range(k)))
+        # a task's own sums in single precision, as the forward and backward passes are; they are added up in double
+        return batch([("symbol", pa.int64())] + [(f"c{i}", pa.float32()) for i in range(k)], pa.array(keys),
+                     *(pa.array(values[:, i].astype(np.float32)) for i in range(k)))
 
 
 def baum_welch(encoded: DataFrame, m: Model) -> float:
@@ -179,9 +180,9 @@ def baum_welch(encoded: DataFrame, m: Model) -> float:
                 counts.add(m, cut[i:i + 1024], lengths[i:i + 1024], first[i:i + 1024])
         yield counts.rows()
 
-    kinds = "symbol bigint, " + ", ".join(f"c{i} double" for i in range(k))
+    kinds = "symbol bigint, " + ", ".join(f"c{i} float" for i in range(k))
     got = encoded.select("text").mapInArrow(run, kinds).groupBy("symbol").agg(
-        *(F.sum(f"c{i}").alias(f"c{i}") for i in range(k))).toArrow()
+        *(F.sum(F.col(f"c{i}").cast("double")).alias(f"c{i}") for i in range(k))).toArrow()
     sent.unpersist()
     keys = got.column("symbol").to_numpy()
     values = np.stack([got.column(f"c{i}").to_numpy() for i in range(k)], axis=1)
