@@ -1,13 +1,35 @@
 import corpus_pipeline as C
-import numpy as np
 import pytest
 
-from daymosaic.llm import decontamination, language_id, secrets, similar
+from daymosaic.llm import decontamination, language_id, secrets
 from tests.llm.test_packing import checked
 
 D = "/root/testdata/sf0.001"
 
 
+def groups(texts):
+    """The smallest id reachable over pairs whose sets of five-word shingles have a similarity of at least 0.8."""
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    same = {}
+    for i, s in sets.items():
+        same.setdefault(frozenset(s), []).append(i)
+    ids = [min(g) for g in same.values()]
+    up = {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and root(i) != root(j) and (both := len(a & b)) / max(
+                    1, len(a) + len(b) - both) >= 0.8:
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(min(g)) for g in same.values() for i in g}
+
+
 @pytest.mark.parametrize("folder", [D, "/root/testdata/sf0.01"])
 def test_run_equals_the_stages_in_plain_python(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -16,20 +38,8 @@ def test_run_equals_the_stages_in_plain_python(spark, folder):
     ok = {r["doc_id"] for r in language_id.identify(docs, pages).collect() if r["accepted"]}
     texts = {i: t for i, t in texts.items() if i in ok}
     assert len(texts) > 0.95 * docs.count()
-    sig = {i: similar.signature(t.encode().lower().split(), 5) for i, t in texts.items()}
-    x = np.array(list(sig.values()), dtype=np.uint64)
-    near = [np.flatnonzero(np.bitwise_count(x ^ row).sum(axis=1) <= 116) for row in x]
-    ids = list(sig)
-    root = list(range(len(ids)))
-    for _ in range(len(ids)):  # the least position reachable
-        new = [min(root[j] for j in [k, *near[k]]) for k in range(len(ids))]
-        if new == root:
-            break
-        root = new
-    least = {}
-    for k, i in enumerate(ids):
-        least[root[k]] = min(i, least.get(root[k], i))
-    texts = {i: texts[i] for k, i in enumerate(ids) if least[root[k]] == i}
+    least = groups(texts)
+    texts = {i: t for i, t in texts.items() if least[i] == i}
     items = decontamination.Items([(r["item_id"], r["text"]) for r in bench.collect()], 3)
     every = {k * len(items.ids) + i for k, ps in enumerate(items.places) for i, _ in ps}
     texts = {i: t for i, t in texts.items() if not decontamination.search(t, items, every, decontamination.THRESHOLD)}
