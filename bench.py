@@ -18,7 +18,7 @@ HEADLINES = [
     "roc_auc", "average_precision", "threshold_sweep", "pick_threshold_scores", "prob_summary",
     "dedup_events", "point_in_polygon_inner", "cell_overlaps", "moore_neighbours",
     "grid_panel_entities", "verify_predictions", "complete_panel", "paired_bootstrap",
-    "daily_counts_stream", "rolling_state_stream", "random_forest", "boosted_trees", "specialist",
+    "daily_counts_stream", "rolling_state_stream", "sketch_windows", "deploy_model",
 ]
 
 
