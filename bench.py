@@ -17,7 +17,7 @@ HEADLINES = [
     "features_trend", "features_neighbour", "features_grid", "grouped_metrics", "agreement",
     "roc_auc", "average_precision", "threshold_sweep", "pick_threshold_scores", "prob_summary",
     "dedup_events", "point_in_polygon_inner", "cell_overlaps", "moore_neighbours",
-    "grid_panel_entities", "verify_predictions", "complete_panel", "paired_bootstrap",
+    "grid_panel_entities", "verify_predictions", "complete_panel",
     "daily_counts_stream", "rolling_state_stream", "sketch_windows", "deploy_model",
 ]
 

@@ -25,7 +25,7 @@ from daymosaic.session import materialise
 
 POOLED = "POOLED"
 #: Rows of a block, replicates whose weights are drawn at a time, and replicates that travel in one vector.
-BLOCK, AT_ONCE, VECTOR = 16_384, 256, 2_048
+BLOCK, AT_ONCE, VECTOR = 16_384, 128, 2_048
 
 GOLDEN, MIX_A, MIX_B = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -56,9 +56,11 @@ def weights(hashes: np.ndarray, first: int, last: int) -> np.ndarray:
     x = (x ^ (x >> np.uint64(27))) * MIX_B
     x ^= x >> np.uint64(31)
     u = x.astype("<u8", copy=False).view("<u4")[:, first % 2:first % 2 + last - first]
-    w = np.zeros(u.shape, dtype=np.int32)
+    u = np.ascontiguousarray(u)
+    w, over = np.zeros(u.shape, dtype=np.uint8), np.empty(u.shape, dtype=bool)
     for edge in EDGES:
-        w += u >= edge
+        np.greater_equal(u, edge, out=over)
+        np.add(w, over.view(np.uint8), out=w)
     if first == 0:
         w[:, 0] = 1
     return w
@@ -97,11 +99,12 @@ def _planned(rows: DataFrame) -> DataFrame:
 def _sums(replicates: int):
     def run(key, t):
         y, said, h = (t.column(c).to_numpy() for c in ("y", "pred", "h"))
-        flags = np.stack([y == 1, y == 0, (y == 1) & (said == 1), (y == 0) & (said == 1)]).astype(np.float64)
+        flags = np.stack([y == 1, y == 0, (y == 1) & (said == 1), (y == 0) & (said == 1)]).astype(np.float32)
         tie, out = t.column("tie")[0].as_py(), []
         for chunk, (a, b) in enumerate(spans(replicates, VECTOR)):
-            parts = [flags @ weights(h.view(np.uint64), i, min(i + AT_ONCE, b)) for i in range(a, b, AT_ONCE)]
-            out.append([*(k.as_py() for k in key), chunk, tie, *np.concatenate(parts, axis=1)])
+            # a block's sums are whole numbers below 2**24, which single precision holds
+            parts = [flags @ weights(h.view(np.uint64), i, min(i + AT_ONCE, b)).astype(np.float32) for i in range(a, b, AT_ONCE)]
+            out.append([*(k.as_py() for k in key), chunk, tie, *np.concatenate(parts, axis=1).astype(np.float64)])
         names = ["_group", "model", "block", "part", "chunk", "tie", *VECTORS]
         kinds = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), *[pa.list_(pa.float64())] * 4]
         return pa.table({n: pa.array(list(c), k) for n, k, c in zip(names, kinds, zip(*out))})
@@ -180,8 +183,8 @@ def _gains(replicates: int):
         gain = np.zeros(replicates + 1)
         for a, b in spans(replicates, AT_ONCE):
             w = weights(h, a, b)
-            pos = np.cumsum(w * (y == 1)[:, None], axis=0, dtype=np.int64)[last]
-            both = np.cumsum(w, axis=0, dtype=np.int64)[last] + (before["cum_pos"] + before["cum_neg"])[a:b]
+            pos = np.cumsum(w * (y == 1)[:, None], axis=0, dtype=np.int32)[last]
+            both = np.cumsum(w, axis=0, dtype=np.int32)[last] + (before["cum_pos"] + before["cum_neg"])[a:b]
             own = np.diff(pos, axis=0, prepend=0)
             pos = pos + before["cum_pos"][a:b]
             gain[a:b] = np.divide(own * pos, both, out=np.zeros(both.shape), where=both > 0).sum(axis=0)
