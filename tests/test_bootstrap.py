@@ -89,3 +89,30 @@ def test_empty_and_one_class(spark, data):
     assert B.replicate_metrics(data.filter("id < 0"), "g", ["id"], models, 5, 1).count() == 0
     none = B.replicate_metrics(data.withColumn("y_true", F.lit(0)), "g", ["id"], models, 5, 1).collect()
     assert len(none) == 18 and all(r["average_precision"] is None and r["f1"] == 0.0 for r in none)
+
+
+@pytest.mark.parametrize("crowd,block", [(1, 16_384), (2, 40), (20, 7)])
+def test_crowded_scores_draw_once_and_equal_row_by_row(data, monkeypatch, crowd, block):
+    """Crowded scores among others, the pooled sums of which come from the groups; no second pass over them."""
+    monkeypatch.setattr(B, "CROWD", crowd)
+    monkeypatch.setattr(B, "BLOCK", block)
+    models = {m: (f"pred_{c}", f"score_{c}") for m, c in (("a", "a"), ("b", "b"), ("ties", "t"))}
+    mixed = data.withColumn("score_a", F.when(F.col("id") % 3 == 0, F.round("score_a", 1)).otherwise(F.col("score_a")))
+    got = {(r["_group"], r["model"], r["replicate"]): (r["f1"], r["average_precision"])
+           for r in B.replicate_metrics(mixed.repartition(3), "g", ["id"], models, 9, 5).collect()}
+    held = mixed.withColumn("h", F.xxhash64(F.lit(5), "id")).collect()
+    assert len(got) == 3 * 3 * 10
+    for (g, m, k), (f1, ap) in got.items():
+        some = [r for r in held if g in (B.POOLED, r["g"])]
+        assert (f1, ap) == pytest.approx(brute(some, k, *models[m]), abs=1e-12)
+    planned = B._planned(B._long(mixed, "g", ["id"], models, "y_true", 5)).filter("model = 'ties'")
+    assert planned.filter("not tie or pooled_block is null").count() == 0
+
+
+def test_rows_without_truth_or_group_are_not_shared(spark, data):
+    models = {"t": ("pred_t", "score_t")}
+    odd = data.withColumn("score_t", F.lit(0.5))
+    for c, kind in (("y_true", "int"), ("g", "string")):
+        some = odd.withColumn(c, F.when(F.col("id") == 3, F.lit(None).cast(kind)).otherwise(F.col(c)))
+        assert B._planned(B._long(some, "g", ["id"], models, "y_true", 5)).filter("pooled_block is not null").count() == 0
+    assert B._planned(B._long(odd, "g", ["id"], models, "y_true", 5)).filter("pooled_block is null").count() == 0
