@@ -39,9 +39,19 @@ def fingerprint(words: list[bytes], size: int) -> int:
     hashes = np.fromiter((h(s, 42) for s in shingles), dtype=np.uint64, count=n)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, n, 8192):
-        ones += np.unpackbits(hashes[i:i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1,
-                              bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        ones += bit_counts(hashes[i:i + 8192])
+    return int(over_half(ones, n))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """(..., 64) counts of each bit over the last axis of hashes."""
+    octets = hashes.astype("<u8")[..., None].view(np.uint8)
+    return np.unpackbits(octets, axis=-1, bitorder="little").sum(axis=-2, dtype=np.int64)
+
+
+def over_half(ones: np.ndarray, n: int) -> np.ndarray:
+    """The fingerprints with the bits that are set in over half of n hashes."""
+    return np.packbits(2 * ones > n, axis=-1, bitorder="little").view("<u8")[..., 0]
 
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,21 +179,25 @@ def dealt(placed: DataFrame, task: int) -> DataFrame:
         F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))).alias("t"))
 
 
-def stars(distinct: DataFrame, bits: int) -> DataFrame:
-    """(fp, hub) for each fingerprint and each shard where it has others within reach; hubs may differ by shard."""
-    spark, n = distinct.sparkSession, distinct.count()
+def stars(distinct: DataFrame, bits: int, layers: int = 1, shard: int = SHARD) -> DataFrame:
+    """(fp, hub) for each fingerprint and each shard where it has others within reach; hubs may differ by shard.
+
+    With several ``layers`` only fingerprints of one ``layer`` (0 to layers - 1) meet; all are routed down the same tree.
+    """
+    n = distinct.count()
     share = min(1.0, SAMPLE / max(1, n))
     drawn = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
     sample = drawn.limit(2 * SAMPLE).toArrow().column("fp").to_numpy().view(np.uint64)
-    nodes = build_tree(np.sort(sample), bits, max(8.0, SHARD * len(sample) / max(1, n)))
+    nodes = build_tree(np.sort(sample), bits, max(8.0, shard * layers * len(sample) / max(1, n)))
 
     def send(batches):
         for b in batches:
-            x = b.column("fp").to_numpy()
-            for shard, idx in route(x.view(np.uint64), nodes, bits):
-                yield batch([("shard", pa.int64()), ("fp", pa.int64())], pa.array(np.full(len(idx), shard)), pa.array(x[idx]))
+            x, layer = b.column("fp").to_numpy(), b.column("layer").to_numpy()
+            for leaf, idx in route(x.view(np.uint64), nodes, bits):
+                yield batch([("shard", pa.int64()), ("fp", pa.int64())], pa.array(leaf * layers + layer[idx]), pa.array(x[idx]))
 
-    placed = materialise(distinct.select("fp").mapInArrow(send, "shard bigint, fp bigint"), "shards")
+    layer = (F.col("layer") if layers > 1 else F.lit(0)).cast("bigint").alias("layer")
+    placed = materialise(distinct.select("fp", layer).mapInArrow(send, "shard bigint, fp bigint"), "shards")
     tasks = dealt(placed, TASK)
 
     def compare(key, t):

@@ -1,16 +1,17 @@
-"""Near copies by similarity: candidates by minimum hashes, a decision by exact Jaccard similarity.
+"""Near copies by similarity: candidates by SimHash on vantage-point trees, a decision by exact Jaccard similarity.
 
-The least of a set's hashes is that of another set with a probability equal to their Jaccard similarity, whatever their sizes. A
-key is a hash of ``band_rows`` such minima, and a text has BANDS keys. At 0.8 these are four minima and 24 keys, so a
-pair there shares a key but for three in a million; at 0.85 but for one in a hundred million.
+One fingerprint of a whole text does not reach a bar of 0.8: there two fingerprints differ in 15 % of their bits, and with a
+radius that wide no border separates a tree's sides any more. So a text has LAYERS fingerprints, each the SimHash (majority bits) of a
+small sample of its word shingles. Sample j holds the shingles that are least by ``sample_size`` hashes of number j, and the least by
+a hash is the same for two sets with a probability equal to their Jaccard similarity, whatever their sizes. Equal samples have
+equal fingerprints. At 0.8 a sample has four shingles, so a pair there has an equal sample among 24 but for three in a million; at
+0.85 but for one in a hundred million. Each layer's fingerprints go down a vantage-point tree, where those within RADIUS bits meet
+(``simhash.stars``); fingerprints joined there are one key.
 
 A pair that shares a key is linked if the Jaccard similarity of the two sets of word shingles reaches the bar, counted on
 64-bit hashes of all their shingles. Texts are first compared with the first node of each key; then, in each key whose
 texts are not all in one component yet, every pair from two components is compared, so a pair is never left
 out because the first node is unlike. Equal texts are one node throughout.
-
-SimHash on vantage-point trees, the method of ``simhash``, does not reach this bar: at 0.8 two fingerprints differ in 15 % of their
-bits, and with a radius that wide no border separates the tree's sides any more.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daymosaic.llm import simhash as S
@@ -26,8 +27,10 @@ from daymosaic.llm.base import batch, id_bytes, materialise, slices
 from daymosaic.llm.language_id import join_hot
 from daymosaic.llm.substrings import FILTER_BITS, bit_filter, has
 
-#: Keys of a text, and the probability of sharing one that a pair at the bar must have.
-BANDS, MEET = 24, 0.99999
+#: Samples of a text, and the probability of an equal one that a pair at the bar must have.
+LAYERS, MEET = 24, 0.99999
+#: Differing bits up to which fingerprints meet, and the fingerprints of a layer that a shard of its tree should have.
+RADIUS, SHARD = 1, 65_536
 #: Shingles that are hashed at a time, and shingles of the texts that one task compares.
 CHUNK, HELD = 1 << 12, 1 << 22
 
@@ -45,41 +48,57 @@ def shingles(words: list[bytes], size: int) -> np.ndarray:
     return np.array(list({xxhash.xxh64_intdigest(b" ".join(words[i:i + size]), 42) for i in range(n)}), dtype=np.uint64)
 
 
-def band_rows(similarity: float) -> int:
-    """The most minima in a key with which a pair at the bar shares one of BANDS keys with probability MEET."""
-    rows = [r for r in range(1, 9) if 1 - (1 - similarity ** r) ** BANDS >= MEET]
-    if not rows:
-        raise ValueError(f"{BANDS} keys do not meet pairs at a similarity of {similarity}")
-    return max(rows)
+def sample_size(similarity: float) -> int:
+    """The most shingles in a sample with which a pair at the bar has an equal one among LAYERS with probability MEET."""
+    sizes = [n for n in range(1, 9) if 1 - (1 - similarity ** n) ** LAYERS >= MEET]
+    if not sizes:
+        raise ValueError(f"{LAYERS} samples do not meet pairs at a similarity of {similarity}")
+    return max(sizes)
 
 
-def band_keys(h: np.ndarray, rows: int) -> np.ndarray:
-    """BANDS keys of a set of hashes; none for an empty set."""
+def sample_fingerprints(h: np.ndarray, size: int) -> np.ndarray:
+    """The SimHash of each of LAYERS samples of a set of hashes; none for an empty set."""
     if not len(h):
         return np.empty(0, dtype=np.int64)
-    k = np.arange(1, BANDS * rows + 1, dtype=np.uint64)[:, None]
+    k = np.arange(1, LAYERS * size + 1, dtype=np.uint64)[:, None]
     mask, by = remix(k, 0), remix(k, 1) | np.uint64(1)
-    least = np.full(BANDS * rows, (1 << 64) - 1, dtype=np.uint64)
+    least = np.full(LAYERS * size, (1 << 64) - 1, dtype=np.uint64)
     for i in range(0, len(h), CHUNK):
         np.minimum(least, ((h[None, i:i + CHUNK] ^ mask) * by).min(axis=1), out=least)
-    keys = [xxhash.xxh3_64_intdigest(x.tobytes(), j) for j, x in enumerate(least.astype("<u8").reshape(BANDS, rows))]
-    return np.array(keys, dtype=np.uint64).view(np.int64)
+    # a least value has few high bits, so it is hashed again; the number of its hash keeps layers apart
+    sample = remix(least ^ mask[:, 0], 2).reshape(LAYERS, size)
+    return S.over_half(S.bit_counts(sample), size).view(np.int64)
 
 
 def node_of(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words))
 
 
-def sketches(docs: DataFrame, size: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (hash of the words) and keys."""
-    fields = [("doc_id", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))]
+def sketches(docs: DataFrame, size: int, sample: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, node (hash of the words) and fps, the fingerprints of its samples."""
+    fields = [("doc_id", pa.int64()), ("node", pa.int64()), ("fps", pa.list_(pa.int64()))]
 
     def run(batches):
         for b in slices(batches):
             words = [t.lower().split() for t in b.column("text").to_pylist()]
             node = np.array([node_of(w) for w in words], dtype=np.uint64).view(np.int64)
-            yield batch(fields, b.column("doc_id"), pa.array(node), [band_keys(shingles(w, size), rows) for w in words])
-    return id_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, node bigint, keys array<bigint>")
+            yield batch(fields, b.column("doc_id"), pa.array(node), [sample_fingerprints(shingles(w, size), sample) for w in words])
+    return id_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, node bigint, fps array<bigint>")
+
+
+def key_members(sketched: DataFrame) -> DataFrame:
+    """key, node, first: the nodes whose fingerprints of one layer meet in its tree, and the first of them.
+
+    A key is the least of the fingerprints that are joined; most are alone but for their equals.
+    """
+    held = sketched.groupBy("node").agg(F.min("fps").alias("fps")).select("node", F.posexplode("fps").alias("layer", "fp"))
+    distinct = materialise(held.groupBy("layer", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    joined = S.components(S.stars(distinct, RADIUS, LAYERS, SHARD).select(F.col("fp").alias("a"), F.col("hub").alias("b")))
+    joined = joined.select(F.col("node").alias("fp"), "root")
+    keyed = distinct.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("key"), "first", "n")
+    key = Window.partitionBy("key")
+    many = keyed.withColumns({"first": F.min("first").over(key), "n": F.sum("n").over(key)}).filter("n > 1").select("fp", "key", "first")
+    return held.select("node", "fp").distinct().join(many, "fp").select("key", "node", "first").distinct()
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -182,10 +201,8 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     Similarity is the Jaccard similarity of the sets of ``size``-word shingles. Null texts are empty, and equal to each
     other alone; a null id is never the smallest where another is present; other columns are not read.
     """
-    all_ = materialise(sketches(docs, size, band_rows(similarity), id_col, text_col), "sketches")
-    short = all_.groupBy("node").agg(F.min("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
-    many = short.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    members = materialise(short.join(many, "key"), "members")
+    all_ = materialise(sketches(docs, size, sample_size(similarity), id_col, text_col), "sketches")
+    members = materialise(key_members(all_), "members")
     sets = materialise(shingle_sets(docs, materialise(members.select("node").distinct(), "candidates"), size, id_col, text_col), "sets")
     linked = materialise(first_links(members, sets, similarity), "first-links")
     linked = linked.unionAll(other_links(members, sets, S.components(linked), similarity))
