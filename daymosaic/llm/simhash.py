@@ -217,6 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is a table in the shared folder; a round ends the loop when no label changes.
     """
     edges = materialise(edges.filter("a <> b").distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
     while True:

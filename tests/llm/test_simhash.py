@@ -92,3 +92,17 @@ def test_nulls_repeats_and_empty_table(spark):
     got = sorted(map(tuple, S.near_duplicates(df).collect()), key=str)
     assert {r[2] for r in got if r[1] == "0" * 16} == {3} and [r[2] for r in got if r[1] != "0" * 16] == [9, 9, 9]
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_layers_meet_apart(spark):
+    """Fingerprints of one layer are linked as all pairs of it; equal distances across layers are not."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 63, 300).astype(np.uint64))
+    rows = [(int(x.view(np.int64)), i % 3) for i, x in enumerate(base)]
+    rows += [(int(x.view(np.int64)), i % 3 if i % 2 else (i + 1) % 3) for i, x in enumerate(near)]
+    df = spark.createDataFrame(rows, "fp long, layer int").repartition(4)
+    want = {tuple(sorted((rows[i][0], rows[300 + i][0]))) for i in range(300) if i % 2}
+    for shard in (16, S.SHARD):
+        got = S.stars(df, 1, layers=3, shard=shard).filter("fp <> hub").collect()
+        assert {tuple(sorted((r["fp"], r["hub"]))) for r in got} == want

@@ -125,3 +125,16 @@ def test_tables_against_true_jaccard(spark, folder):
         for a, b in pairs:
             root[a] = root[b] = min(root[a], root[b])
     assert {r["doc_id"]: r["component_id"] for r in similar.near_copies(docs).collect()} == root
+
+
+def test_candidates_meet_on_the_trees(spark, monkeypatch):
+    """Equal samples have equal fingerprints, and what the trees join is compared, and nothing else."""
+    a = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    one, two = (similar.sample_fingerprints(x, 4) for x in (a, np.concatenate([a[20:], a[:5] + np.uint64(1)])))
+    assert len(one) == len(set(one.tolist())) == similar.LAYERS and 4 < (one == two).sum() < similar.LAYERS
+    text = " ".join(f"x{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text + " end"), (3, "some other words of a text")], "doc_id long, text string")
+    calls, stars = [], simhash.stars
+    monkeypatch.setattr(simhash, "stars", lambda *x: calls.append(x[1:]) or stars(*x))
+    assert sorted(map(tuple, similar.near_copies(df).collect())) == [(1, 1), (2, 1), (3, 3)]
+    assert calls == [(similar.RADIUS, similar.LAYERS, similar.SHARD)]
