@@ -14,7 +14,7 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact Jaccard similarity of five-word shingles at 0.8, a bar that fingerprints on the trees do not reach (see the README)."""
+    """SimHash fingerprints of shingle samples meet on vantage-point trees; exact Jaccard similarity of five-word shingles, at 0.8, decides."""
     return simhash.one_of_each(docs, similar.near_copies(docs))
 
 
