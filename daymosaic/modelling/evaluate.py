@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daymosaic.functions.numeric import close_to
+from daymosaic.modelling.learners import TASK_ROWS
 from daymosaic.operators import metrics as M
 from daymosaic.session import materialise
 from daymosaic.sources.sinks import read_run_record, run_record, write_run_record
@@ -68,7 +70,9 @@ def run_arms(data: DataFrame, arms: Mapping[str, Callable[[DataFrame, str], obje
     """
     spark = data.sparkSession
     sc = spark.sparkContext
-    stored = materialise(data.withColumns({f"__y_{h}": target(h) for h in horizons}), "arms")
+    # few rows are one file: the order in which files are listed, and so that of sums in a fit, changes from run to run
+    files = max(1, math.ceil(data.count() / TASK_ROWS))
+    stored = materialise(data.withColumns({f"__y_{h}": target(h) for h in horizons}).coalesce(files), "arms")
     run = uuid.uuid4().hex[:8]
 
     def one(arm: str, h: int) -> DataFrame:
