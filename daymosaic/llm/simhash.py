@@ -214,7 +214,8 @@ def stars(distinct: DataFrame, bits: int, layers: int = 1, shard: int = SHARD) -
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph of (a, b) edges: labels fall to the least neighbour's, then to their label's label.
 
-    Each round is a table in the shared folder; a round ends the loop when no label changes.
+    Each round is stored in the shared folder before labels are handed on, so that no join runs twice and the round in which
+    no label falls ends there.
     """
     edges = materialise(edges.filter("a <> b").distinct(), "edges")
     if edges.isEmpty():
@@ -224,15 +225,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
         new = labels.join(near, labels.node == near.a).select("node", "root", F.least("root", "near").alias("low"))
+        new = materialise(new, "lows")
+        if not new.filter("low < root").limit(1).count():
+            return labels
         # a root's own label may have fallen: hand the fall on to all that carry the root
         falls = new.groupBy("root").agg(F.min("low").alias("fall")).withColumnRenamed("root", "old")
-        jumped = new.join(falls, new.root == falls.old).select(
-            "node", "root", F.least("low", "fall").alias("low"))
-        step = materialise(jumped, "labels")
-        changed = step.filter("low < root").limit(1).count()
-        labels = step.select("node", F.col("low").alias("root"))
-        if not changed:
-            return labels
+        labels = materialise(new.join(falls, new.root == falls.old).select("node", F.least("low", "fall").alias("root")), "labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,14 +91,16 @@ def key_members(sketched: DataFrame) -> DataFrame:
 
     A key is the least of the fingerprints that are joined; most are alone but for their equals.
     """
-    held = sketched.groupBy("node").agg(F.min("fps").alias("fps")).select("node", F.posexplode("fps").alias("layer", "fp"))
+    nodes = sketched.groupBy("node").agg(F.min("fps").alias("fps"))
+    held = nodes.select("node", F.posexplode("fps").alias("layer", "fp"))
     distinct = materialise(held.groupBy("layer", "fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
     joined = S.components(S.stars(distinct, RADIUS, LAYERS, SHARD).select(F.col("fp").alias("a"), F.col("hub").alias("b")))
     joined = joined.select(F.col("node").alias("fp"), "root")
     keyed = distinct.join(joined, "fp", "left").select("fp", F.coalesce("root", "fp").alias("key"), "first", "n")
     key = Window.partitionBy("key")
     many = keyed.withColumns({"first": F.min("first").over(key), "n": F.sum("n").over(key)}).filter("n > 1").select("fp", "key", "first")
-    return held.select("node", "fp").distinct().join(many, "fp").select("key", "node", "first").distinct()
+    own = nodes.select("node", F.explode(F.array_distinct("fps")).alias("fp"))
+    return own.join(many, "fp").select("key", "node", "first").distinct()
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -166,7 +168,7 @@ def links(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, similarit
 
 
 def other_links(members: DataFrame, sets: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): similar nodes that share a key and are in different components so far.
+    """(a, b): different components so far, by their roots, of similar nodes that share a key.
 
     A key's texts go to one task, or those of a crowded key are cut into k blocks, and blocks i and j meet in task (i, j).
     """
@@ -183,12 +185,12 @@ def other_links(members: DataFrame, sets: DataFrame, joined: DataFrame, similari
 
     def compare(key, t):
         t = t.sort_by("node")
-        node = t.column("node").to_numpy()
+        root = t.column("root").to_numpy()
         held = t.column("set").combine_chunks()
         ends = held.offsets.to_numpy()
         flat = held.values.to_numpy()
-        a, b = links([flat[x:y] for x, y in zip(ends, ends[1:])], t.column("root").to_numpy(), t.column("own").to_numpy(), similarity)
-        return pa.table({"a": node[b], "b": node[a]})
+        a, b = links([flat[x:y] for x, y in zip(ends, ends[1:])], root, t.column("own").to_numpy(), similarity)
+        return pa.table({"a": root[b], "b": root[a]})
 
     return rows.select("key", "node", "root", "own", "t.i", "t.j", "set").groupBy("key", "i", "j").applyInArrow(
         compare, "a bigint, b bigint")
@@ -205,9 +207,11 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     members = materialise(key_members(all_), "members")
     sets = materialise(shingle_sets(docs, materialise(members.select("node").distinct(), "candidates"), size, id_col, text_col), "sets")
     linked = materialise(first_links(members, sets, similarity), "first-links")
-    linked = linked.unionAll(other_links(members, sets, S.components(linked), similarity))
     found = S.components(linked)
-    rooted = all_.join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("group"))
+    # components are joined by their roots, so that those of one piece already are not walked through again
+    wider = S.components(other_links(members, sets, found, similarity)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = all_.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(wider, "root", "left").select("doc_id", F.coalesce("top", "root").alias("group"))
     rooted = materialise(rooted, "groups")
     least = materialise(rooted.groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "least")
     # a text of its own is its own component; the others are joined, large groups apart

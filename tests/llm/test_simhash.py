@@ -86,6 +86,16 @@ def test_long_paths_become_one_component(spark):
     assert all(got[i] == 0 for i in range(101)) and got[201] == got[200] == 200
 
 
+def test_settled_labels_are_not_stored_again(spark, monkeypatch):
+    stored, materialise = [], S.materialise
+    monkeypatch.setattr(S, "materialise", lambda df, label: stored.append(label) or materialise(df, label))
+    star = spark.createDataFrame([(0, i) for i in range(1, 50)], "a long, b long")
+    assert {r["root"] for r in S.components(star).collect()} == {0} and stored.count("labels") == 1
+    path = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
+    assert {r["root"] for r in S.components(path).collect()} == {0}
+    assert stored.count("lows") == stored.count("labels")  # of each call one round less than the lows, and the first labels
+
+
 def test_nulls_repeats_and_empty_table(spark):
     df = spark.createDataFrame([(5, None, "a"), (3, "", "b"), (4, " \n", "c"), (None, "one two", "d"), (9, "One two", "e"),
                                 (9, "One two", "e")], "doc_id long, text string, fingerprint string")

@@ -96,6 +96,25 @@ def test_pairs_in_a_template_group(spark, monkeypatch, held):
     assert components_of(spark, texts) == want
 
 
+def test_components_are_joined_by_their_roots_alone(spark, monkeypatch):
+    """The links between components go by the components' roots: what is joined already is not walked through again."""
+    walked, components, first_links = [], simhash.components, similar.first_links
+
+    def record(edges):
+        found = components(edges)
+        walked.append(([tuple(r) for r in edges.select("a", "b").collect()], {r["node"]: r["root"] for r in found.collect()}))
+        return found
+    monkeypatch.setattr(simhash, "components", record)
+    monkeypatch.setattr(similar, "first_links", lambda *a: first_links(*a).filter("pmod(a, 4) = 0"))  # the others are left to find
+    rng = random.Random(8)
+    copied = [f"c{i}" for i in range(200)]
+    texts = {i: " ".join(edited(rng, copied, 1)) for i in range(30)}
+    texts |= {100 + i: f"apart {i} " + " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(90)) for i in range(20)}
+    assert components_of(spark, texts) == exact_components(texts)
+    _, (links, first), (more, _) = walked
+    assert links and more and all(first.get(x, x) == x for pair in more for x in pair) and all(a != b for a, b in more)
+
+
 def test_links_join_what_all_pairs_join():
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 40, (5, 60))
