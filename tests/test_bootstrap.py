@@ -116,3 +116,40 @@ def test_rows_without_truth_or_group_are_not_shared(spark, data):
         some = odd.withColumn(c, F.when(F.col("id") == 3, F.lit(None).cast(kind)).otherwise(F.col(c)))
         assert B._planned(B._long(some, "g", ["id"], models, "y_true", 5)).filter("pooled_block is not null").count() == 0
     assert B._planned(B._long(odd, "g", ["id"], models, "y_true", 5)).filter("pooled_block is null").count() == 0
+
+
+def test_gathered_sums_equal_weights_by_label():
+    """Labels of a few rows and of more than 256 times what a byte adds up, some rows with none."""
+    r = np.random.default_rng(4)
+    labels = np.where(r.random(9_000) < 0.7, 2, r.integers(-1, 400, 9_000))
+    h = r.integers(0, 2 ** 63, 9_000).astype(np.uint64)
+    w = np.zeros((9_001, 16), dtype=np.uint8)
+    w[:-1] = B.weights(h, 0, 16)
+    g = B.Gather(labels, 9_000)
+    assert g.labels.tolist() == sorted(set(labels.tolist()) - {-1}) and g.again is not None
+    got = g.sums(w.view(np.uint64), np.empty((len(g.rows), 2), dtype=np.uint64))
+    for x, sums in zip(g.labels, got):
+        assert sums.tolist() == w[:-1][labels == x].sum(axis=0, dtype=np.int64).tolist()
+
+
+@pytest.mark.parametrize("share,block", [((7, 60), 16_384), ((300, 300), 11)])
+def test_rows_draw_once_for_all_models_and_equal_row_by_row(data, monkeypatch, share, block):
+    """Several tasks a group, or one for all; scores of one model drawn apart; predictions and scores that are missing."""
+    for name, x in (("SHARE", share), ("TASKS", 3), ("BLOCK", block), ("CROWD", 2), ("SPREAD", 2), ("VECTOR", 5)):
+        monkeypatch.setattr(B, name, x)
+    models = {m: (f"pred_{c}", f"score_{c}") for m, c in (("a", "a"), ("b", "b"), ("ties", "t"))}
+    odd = data.withColumns({"score_b": F.round("score_b", 1), "pred_b": F.when(F.col("id") % 7 > 0, F.col("pred_b")),
+                            "score_t": F.when(F.col("id") % 11 > 0, F.col("score_t"))})
+    counts = B._counts(B._each(odd, "g", ["id"], models, "y_true", 5))
+    cells, places, size, tasks = B._cells(B._plan(counts), list(models))
+    dealt = B._dealt(odd, "g", ["id"], models, "y_true", 5, cells, places, size)
+    assert dealt.count() == 260 and dealt.select("task").distinct().count() == tasks  # not once for each model
+    assert {r["model"] for r in cells.collect()} == {"b", "ties"}
+    got = {(r["_group"], r["model"], r["replicate"]): (r["f1"], r["average_precision"])
+           for r in B.replicate_metrics(odd.repartition(3), "g", ["id"], models, 9, 5).collect()}
+    held = odd.withColumn("h", F.xxhash64(F.lit(5), "id")).collect()
+    assert len(got) == 3 * 3 * 10
+    for (g, m, k), (f1, ap) in got.items():
+        pred, score = models[m]
+        some = [r for r in held if g in (B.POOLED, r["g"]) and r[score] is not None]
+        assert (f1, ap) == pytest.approx(brute(some, k, pred, score), abs=1e-12)
